@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe
+from veritab.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return done.select("doc_id", simhash.hex_word("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash}
 ORACLE: dict[str, str] = {}
 
 

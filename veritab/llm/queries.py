@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, simhash
+from veritab.llm import bpe, decontam, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", simhash.hex_word("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontam.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate}
 ORACLE: dict[str, str] = {}
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, simhash
+from veritab.llm import bpe, decontam, line_dedup, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,13 +53,44 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate}
-ORACLE: dict[str, str] = {}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("long")
+    both = line_dedup.remove_boilerplate(docs.withColumn("before", F.col("text")))
+    return both.select("doc_id", lines("before").alias("n_lines"), (lines("before") - lines("text")).alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, chr(0)) AS site, text, row_number() OVER () AS r FROM documents),
+cut AS (SELECT r, site, string_split(text, chr(10)) AS parts FROM docs),
+l AS (SELECT r, site, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM cut),
+s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, len(regexp_extract_all(line, '\S+')) AS w FROM l),
+bad AS (SELECT t FROM s WHERE w >= 4 GROUP BY t HAVING count(DISTINCT site) >= 5),
+m AS (SELECT s.r, s.i, s.line, s.w >= 4 AND bad.t IS NOT NULL AS gone FROM s LEFT JOIN bad ON s.t = bad.t),
+d AS (SELECT r, sum(length(line)) AS total, sum(CASE WHEN gone THEN 0 ELSE length(line) END) AS kept, count(*) AS n,
+             count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS rest
+      FROM m GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_lines, CASE WHEN n IS NULL OR kept < 0.5 * total OR g > 0.5 * n THEN 0 ELSE g END AS n_removed,
+       sha256(CASE WHEN kept < 0.5 * total OR g > 0.5 * n THEN text ELSE coalesce(rest, text) END) AS text_sha256
+FROM docs LEFT JOIN d USING (r)
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    import corpus_pipeline
+
+    return ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -40,6 +40,8 @@ from veritab.llm.graph import components
 
 #: Nodes of a bucket from which it is dealt into chunks of this size.
 SPLIT = 8192
+#: Rows to drop up to which they are sent to every task.
+SMALL = 200_000
 #: Rows that a comparing task works on at once, and word pairs of a step.
 ROWS, STEP = 1 << 18, 4096
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -276,6 +278,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: i
     return prints.select(id_col, "fp").join(named, "fp")
 
 
+def keep_one(docs: DataFrame, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: of the least id, and of its least text hash where ids repeat.
+
+    Only ids and hashes are compared; the rows to drop are sent to every task
+    if there are at most SMALL of them, and joined otherwise.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")).alias("row"), F.col(text_col).alias("text"))
+    rows = rows.select(F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.hash").alias("row"), "text")
+    found = staged(near_duplicates(rows, shingle, radius, width, smallest, "row", "text").select("row", "component_id"), "components")
+    dropped = found.where("row != component_id").select("row").distinct()
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("hash"))
+    if dropped.count() <= SMALL:
+        dropped = F.broadcast(dropped)
+    kept = docs.withColumn("__row", key).join(dropped.withColumnRenamed("row", "__row"), "__row", "left_anti")
+    repeated = found.where("row = component_id").groupBy("row").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["__row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _as_long(fp: str) -> F.Column:
     """The signed long of 8 bytes, least significant first."""
     text = F.hex(F.col(fp))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, line_dedup, quality, simhash
+from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", simhash.hex_word("fp").alias("fingerprint"), "component_id")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    back = media.from_images(media.to_images(docs))
+    tail = F.expr("substring(payload, -32, 32)")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("image").cast("long").alias("media_bytes"),
+        F.sha2("image", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,11 +92,16 @@ FROM docs LEFT JOIN d USING (r)
 """
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_store.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store
+from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.with_references(table(spark, sf_dir, "pages"))
+    back = warc.read_archives(warc.normalise(warc.write_archives(rows)))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("long")
@@ -101,7 +107,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store, warc
+from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return done.select("doc_id", simhash.hex_word("fp").alias("fingerprint"), "component_id")
@@ -107,8 +111,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
-ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op3_url_filter": url_filter.duckdb_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
 
 
 def queries() -> dict[str, Query]:

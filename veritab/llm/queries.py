@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, line_dedup, media, quality, simhash, token_store, url_filter, warc
+from veritab.llm import bpe, decontam, html_extract, line_dedup, media, quality, simhash, token_store, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -111,7 +116,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.duckdb_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
 
 

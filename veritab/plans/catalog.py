@@ -1,17 +1,607 @@
-"""The registered queries of the table-checking operators."""
+"""The registered queries of the table-checking operators, with DuckDB oracles.
+
+The tables given hold no papers, so each query derives what its operator reads
+(published cells, markup, scripts, recipes) from whole tables in Spark.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritab.functions import latex, names, numbers, scalars
+from veritab.operators import align, budget, extract, grade, harvest, profile, report, scripts
+from veritab.schema import RESULTS, checked_failure, checked_version
 
 FLAGSHIP = "grade_segments"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _registered(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _text(x: Column, digits: int) -> Column:
+    """A fixed number of decimals."""
+    return F.round(x, digits).cast(f"decimal(20,{digits})").cast("string")
+
+
+# --- grading ---------------------------------------------------------------------------------------
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _segment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published: whole thousands of the mean price by segment and status, with a spread for the P column."""
+    mean = _priced(spark, sf_dir).groupBy("c_mktsegment", "o_orderstatus").agg(F.avg("o_totalprice").alias("mean"))
+    thousands = F.round(F.col("mean") / 1000)
+    return mean.select(
+        F.dense_rank().over(_over("c_mktsegment", "o_orderstatus")).alias("ord"), F.col("c_mktsegment").alias("table_id"),
+        names.make_address(F.lit("Table 1"), F.array("c_mktsegment"), F.array("o_orderstatus")).alias("address"), thousands.cast("string").alias("text"), F.lit(True).alias("is_numeric"),
+        thousands.alias("value"), F.when(F.col("o_orderstatus") == "P", 2.0).alias("uncertainty"), F.lit("none").alias("unit"),
+    )
+
+
+def _over(*columns: str):
+    from pyspark.sql import Window
+
+    # The cells of one paper: a handful of rows.
+    return Window.orderBy(*columns)
+
+
+def _segment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rerun: the median in thousands; some entries fail, one segment is missing, each is listed twice and the last counts."""
+    got = _priced(spark, sf_dir).where("c_mktsegment != 'FURNITURE'").groupBy("c_mktsegment", "o_orderstatus").agg((F.percentile("o_totalprice", 0.5) / 1000).alias("v"))
+    fails = (F.col("c_mktsegment") == "MACHINERY") & (F.col("o_orderstatus") == "F")
+    entry = got.select(
+        names.make_address(F.lit("Table 1"), F.array("c_mktsegment"), F.array("o_orderstatus")).alias("address"), F.when(~fails, F.col("v")).alias("value"),
+        F.when(fails, F.struct(F.lit(" gated_dataset ").alias("code"), F.lit("the licence is closed").alias("evidence"))).alias("failure"),
+    )
+    last = entry.select(F.lit(2).alias("pos"), "address", "value", "failure", F.array(F.lit("median, not mean")).alias("caveats"))
+    first = last.select(F.lit(1).alias("pos"), "address", F.lit(0.0).alias("value"), F.lit(None).cast("struct<code:string,evidence:string>").alias("failure"), F.array().cast("array<string>").alias("caveats"))
+    return first.unionByName(last)
+
+
+def _segment_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BUILDING has a relative tolerance of its own, AUTOMOBILE an absolute one and a multiplier."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("table_id")).where("table_id in ('BUILDING', 'AUTOMOBILE')").distinct()
+    b = F.col("table_id") == "BUILDING"
+    return own.select("table_id", F.when(b, 0.001).alias("relative"), F.when(~b, 0.25).alias("absolute"), F.when(~b, 100.0).alias("multiplier"))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade.compare(_segment_cells(spark, sf_dir), _segment_results(spark, sf_dir), _segment_tolerances(spark, sf_dir))
+
+
+_PRICED = "SELECT c_mktsegment AS s, o_orderstatus AS st, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey"
+_COMPARED = f"""
+pr AS ({_PRICED}),
+cells AS (SELECT s, st, round(avg(price) / 1000) AS p, CASE WHEN st = 'P' THEN 2.0 END AS u FROM pr GROUP BY 1, 2),
+res AS (SELECT s, st, median(price) / 1000 AS v, s = 'MACHINERY' AND st = 'F' AS failed FROM pr WHERE s <> 'FURNITURE' GROUP BY 1, 2),
+j AS (SELECT c.s, c.st, p, u, CASE WHEN NOT failed THEN v END AS v, failed, r.s IS NOT NULL AS found,
+             greatest(CASE WHEN c.s = 'AUTOMOBILE' THEN 0.25 WHEN abs(p) < 1 THEN 0.01 WHEN abs(p) < 10 THEN 0.05 WHEN abs(p) < 100 THEN 0.5 ELSE 1.0 END, abs(p) * CASE WHEN c.s = 'BUILDING' THEN 0.001 ELSE 0.05 END) AS band,
+             CASE WHEN c.s = 'AUTOMOBILE' THEN 100.0 ELSE 3.0 END AS m
+      FROM cells c LEFT JOIN res r ON c.s = r.s AND c.st = r.st),
+graded AS (SELECT 'Table 1 › ' || s || ' › ' || st AS address, s, st, p, v, band, CASE WHEN NOT found THEN 'NOT_ATTEMPTED' WHEN failed THEN 'UNRUNNABLE' WHEN abs(v - p) <= u THEN 'GREEN' WHEN abs(v - p) <= band THEN 'GREEN'
+             WHEN p * v < 0 THEN 'RED' WHEN abs(v - p) <= band * m THEN 'YELLOW' ELSE 'RED' END AS status, row_number() OVER (ORDER BY s, st) AS ord FROM j)"""
+
+
+@_registered(f"WITH {_COMPARED} SELECT address, status, p AS paper_value, round(v, 3) AS result_value, round(v - p, 3) AS delta, round(CASE WHEN v IS NOT NULL THEN band END, 3) AS band FROM graded")
+def grade_segments(spark, sf_dir):
+    """Cells joined to the last results, tolerances and bands."""
+    return _compared(spark, sf_dir).select("address", "status", "paper_value", F.round("result_value", 3).alias("result_value"), F.round("delta", 3).alias("delta"), F.round("band", 3).alias("band"))
+
+
+@_registered(f"WITH {_COMPARED} SELECT x.status, count(g.status) AS n FROM (VALUES ('GREEN'), ('YELLOW'), ('RED'), ('UNRUNNABLE'), ('NOT_ATTEMPTED')) x(status) LEFT JOIN graded g ON g.status = x.status GROUP BY 1")
+def status_counts(spark, sf_dir):
+    """All five statuses, zero-filled."""
+    return grade.status_counts(_compared(spark, sf_dir))
+
+
+@_registered(f"WITH {_COMPARED} SELECT count(*) FILTER (WHERE status = 'GREEN') AS reproduced, count(*) FILTER (WHERE status IN ('GREEN', 'YELLOW', 'RED')) AS comparable FROM graded")
+def reproduction_summary(spark, sf_dir):
+    """Reproduced and comparable cells."""
+    return grade.summary(_compared(spark, sf_dir))
+
+
+@_registered(f"WITH {_COMPARED} SELECT 'Table 1' AS table_label, count(*) AS n, count(*) FILTER (WHERE status = 'GREEN') AS green FROM graded")
+def by_table(spark, sf_dir):
+    """Groups of a paper's tables in its order."""
+    return grade.by_table(_compared(spark, sf_dir)).select("table_label", "n", "green")
+
+
+@_registered(f"WITH {_COMPARED} SELECT 'GATED_DATASET' AS code, 'the licence is closed' AS evidence, 'Data requires credentials, a licence, or manual approval' AS description, count(*) AS n, string_agg(s || ' › ' || st, ', ' ORDER BY ord) AS cells FROM graded WHERE status = 'UNRUNNABLE' HAVING count(*) > 0")
+def failure_legend(spark, sf_dir):
+    """Each reason once, with its cells."""
+    return grade.failure_legend(_compared(spark, sf_dir)).select("code", "evidence", "description", "n", "cells")
+
+
+@_registered(
+    f"""WITH {_COMPARED} SELECT ord, status, address, CASE status WHEN 'NOT_ATTEMPTED' THEN 'no entry for this cell in the results file' WHEN 'UNRUNNABLE' THEN 'GATED_DATASET: Data requires credentials, a licence, or manual approval — the licence is closed'
+    ELSE CASE WHEN st = 'P' AND abs(v - p) <= 2.0 THEN 'within paper''s reported uncertainty; ' ELSE '' END || 'median, not mean' END AS reason FROM graded"""
+)
+def report_reasons(spark, sf_dir):
+    """The reason column of a report."""
+    cells = F.split("line", r" \| ")
+    full = report.lines(_compared(spark, sf_dir)).join(_segment_cells(spark, sf_dir).select("ord", "address"), "ord")
+    return full.select("ord", F.regexp_replace(cells[0], r"^\| ", "").alias("status"), "address", F.regexp_replace(cells[5], r" \|$", "").alias("reason"))
+
+
+@_registered(
+    f"""WITH pr AS ({_PRICED}), a AS (SELECT DISTINCT 'Table 1 › ' || s || ' › ' || st AS address FROM pr WHERE s <> 'FURNITURE') SELECT a.address FROM a
+    WHERE address NOT IN (SELECT 'Table 1 › ' || s || ' › ' || st FROM pr GROUP BY s, st HAVING round(avg(price) / 1000) < 130)"""
+)
+def unmatched_results(spark, sf_dir):
+    """Results that no numeric cell has; here cells below 130 are numeric."""
+    cells = _segment_cells(spark, sf_dir).withColumn("is_numeric", F.col("value") < 130)
+    return grade.unmatched(cells, _segment_results(spark, sf_dir))
+
+
+# --- extraction ------------------------------------------------------------------------------------
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A LaTeX paper for each nation: a float with a spanning header, a loose tabular, prose that cites the float."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    # Whole cents keep the printed means the same however rows are summed.
+    cents = lambda s: F.expr(f"sum(if(o_orderstatus = '{s}', cast(round(o_totalprice * 100) as bigint), null)) div (10 * count_if(o_orderstatus = '{s}'))") / 10
+    means = joined.groupBy("c_nationkey", "c_mktsegment").agg(*[cents(s).alias(s) for s in "FO"], F.count(F.lit(1)).alias("n"))
+    show = lambda s: F.concat(F.lit(r"$"), _text(F.col(s), 1), F.lit(r" \pm 0.5$"))
+    cell = lambda s: F.coalesce(show(s), F.lit("--"))
+    row = F.concat_ws(" & ", "c_mktsegment", cell("F"), F.concat(F.lit(r"\textbf{"), cell("O"), F.lit("}")))
+    body = means.groupBy("c_nationkey").agg(
+        F.concat_ws("\\\\\n", F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", row.alias("row")))), lambda x: x["row"])).alias("rows"),
+        F.concat_ws("\\\\\n", F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", F.concat_ws(" & ", "c_mktsegment", F.col("n").cast("string")).alias("row")))), lambda x: x["row"])).alias("loose"),
+    )
+    head = r"\documentclass{article} \newcommand{\price}{Price} % not \begin{table}" + "\n" + r"\begin{table}\caption{Mean \price\ by segment}\label{tab:p}\begin{tabular}{lcc}\toprule & \multicolumn{2}{c}{\price} \\ \cmidrule(lr){2-3} Segment & F & O \\ \midrule" + "\n"
+    middle = "\\\\\n" + r"\bottomrule\end{tabular}\end{table}" + "\n\n" + r"As Table~\ref{tab:p} shows, it varies." + "\n\n" + r"\begin{tabular}{lc} Segment & Orders \\ \hline" + "\n"
+    return body.select(F.col("c_nationkey").alias("paper_id"), F.concat(F.lit(head), "rows", F.lit(middle), "loose", F.lit("\\\\\n\\end{tabular}")).alias("text"))
+
+
+_MEANS = "SELECT c_nationkey AS paper_id, c_mktsegment AS s, o_orderstatus AS st, (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // (10 * count(*))) / 10 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"
+_PAPER_CELLS = f"""
+m AS ({_MEANS}), g AS (SELECT DISTINCT paper_id, s FROM m), c AS (SELECT paper_id, s, st, row_number() OVER (PARTITION BY paper_id, st ORDER BY s) AS r FROM g, (VALUES ('F'), ('O')) x(st)),
+n AS (SELECT c_nationkey AS paper_id, c_mktsegment AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+
+@_registered(
+    f"""WITH {_PAPER_CELLS}
+    SELECT c.paper_id, 'Table 1 › ' || c.s || ' › Price › ' || c.st AS address, 'tab:p' AS table_id, c.r AS "row", CASE WHEN c.st = 'F' THEN 1 ELSE 2 END AS col, v IS NOT NULL AS is_numeric,
+           v::DOUBLE AS value, CASE WHEN v IS NOT NULL THEN 0.5 END AS uncertainty, CASE WHEN v IS NULL THEN 'none' ELSE 'pm' END AS uncertainty_kind, CASE WHEN c.st = 'O' THEN 'bold' ELSE '' END AS emphasis, 'Mean Price by segment' AS caption
+    FROM c LEFT JOIN m ON m.paper_id = c.paper_id AND m.s = c.s AND m.st = c.st
+    UNION ALL SELECT paper_id, 'Inline table 1 › ' || s || ' › Orders', 'table-1', row_number() OVER (PARTITION BY paper_id ORDER BY s), 1, true, n, NULL, 'none', '', '' FROM n"""
+)
+def extract_tables(spark, sf_dir):
+    """Markup to addressed, typed cells, grids worked out by windows."""
+    cells = extract.extract_cells(_papers(spark, sf_dir))
+    return cells.select("paper_id", "address", "table_id", F.col("row").cast("long").alias("row"), "col", "is_numeric", "value", "uncertainty", "uncertainty_kind", F.array_join("emphasis", ",").alias("emphasis"), "caption")
+
+
+@_registered("SELECT c_nationkey AS paper_id, 'tab:p' AS label, 'As Table 1 shows, it varies.' AS paragraph FROM (SELECT DISTINCT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)")
+def citing_paragraphs(spark, sf_dir):
+    """Paragraphs that refer to a table."""
+    papers = _papers(spark, sf_dir)
+    return extract.citing_paragraphs(papers, extract.extract_cells(papers)).select("paper_id", "label", "paragraph")
+
+
+@_registered(
+    f"""WITH {_PAPER_CELLS} SELECT paper_id, substr(sha256('tab:p' || string_agg('Table 1 › ' || s || ' › Price › ' || st, '' ORDER BY s, st) || 'table-1' ||
+    (SELECT string_agg('Inline table 1 › ' || s || ' › Orders', '' ORDER BY s) FROM n WHERE n.paper_id = c.paper_id)), 1, 12) AS paper_key FROM c GROUP BY paper_id"""
+)
+def paper_keys(spark, sf_dir):
+    """Twelve hex digits of the table ids and addresses in order."""
+    cells = extract.extract_cells(_papers(spark, sf_dir))
+    per_table = cells.groupBy("paper_id", "inline", "index", "table_id").agg(F.expr("listagg(address, '') within group (order by row, col)").alias("addresses"))
+    keyed = per_table.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("inline", "index", F.concat("table_id", "addresses").alias("part")))).alias("parts"))
+    return keyed.select("paper_id", F.substring(F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), ""), 256), 1, 12).alias("paper_key"))
+
+
+@_registered(
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d, (l_linenumber - 1) % 7 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, k <> 6 AS is_numeric, CASE k WHEN 6 THEN NULL WHEN 5 THEN q * 100.0 ELSE q END::DOUBLE AS value, CASE WHEN k IN (1, 2) THEN d END::DOUBLE AS uncertainty,
+    CASE k WHEN 1 THEN 'pm' WHEN 2 THEN 'paren' ELSE 'none' END AS uncertainty_kind, CASE k WHEN 3 THEN 'percent' ELSE 'none' END AS unit, CASE k WHEN 4 THEN '*,<' ELSE '' END AS markers FROM x"""
+)
+def parse_numbers(spark, sf_dir):
+    """Seven notations of every line's quantity and discount."""
+    q, d = F.col("l_quantity").cast("long").cast("string"), F.round(F.col("l_discount") * 100).cast("long").cast("string")
+    forms = [q, F.concat(F.lit("$"), q, F.lit(r" \pm "), d, F.lit("$")), F.concat(q, F.lit(" ("), d, F.lit(")")), F.concat(q, F.lit(r"\%")), F.concat(F.lit("< "), q, F.lit("*")), F.concat(F.lit("$"), q, F.lit(r"\cdot 10^{2}$")), F.lit("--")]
+    raw = F.element_at(F.array(*forms), (F.col("l_linenumber") - 1) % 7 + 1)
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    parsed = cells.withColumn("p", numbers.parse_cell(F.col("raw"), latex.flatten_udf("raw")))
+    return parsed.select("l_orderkey", "l_linenumber", "p.is_numeric", "p.value", "p.uncertainty", "p.uncertainty_kind", "p.unit", F.array_join("p.markers", ",").alias("markers"))
+
+
+# --- profiling and harvesting ----------------------------------------------------------------------
+
+
+def _artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders, events and suppliers as files of text columns."""
+    # Whole cents add up to the same sum in any order.
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("o_totalprice"))
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
+    suppliers = table(spark, sf_dir, "supplier").select("s_name", "s_acctbal")
+    out = harvest.as_rows(orders, "out/orders_status.csv")
+    return out.unionByName(harvest.as_rows(events, "out/events.csv")).unionByName(harvest.as_rows(suppliers, "data/supplier_balance.tsv"))
+
+
+def _profile_sql(path: str, tbl: str, column: str, number: bool) -> str:
+    d = f"count(DISTINCT {column})"
+    return f"SELECT '{path}' AS path, '{column}' AS \"column\", {d} AS n_values, {str(number).lower()} AS is_numeric, {'false' if number else f'{d} BETWEEN 1 AND 64'} AS is_category FROM {tbl}"
+
+
+@_registered(
+    " UNION ALL ".join(
+        _profile_sql(*x)
+        for x in [
+            ("out/orders_status.csv", "orders", "o_orderstatus", False), ("out/orders_status.csv", "orders", "o_orderpriority", False), ("out/orders_status.csv", "orders", "o_totalprice", True),
+            ("out/events.csv", "events", "event_type", False), ("out/events.csv", "events", "user_id", True), ("out/events.csv", "events", "value", True),
+            ("data/supplier_balance.tsv", "supplier", "s_name", False), ("data/supplier_balance.tsv", "supplier", "s_acctbal", True),
+        ]
+    )
+)
+def profile_columns(spark, sf_dir):
+    """Numeric and categorical columns of all-text rows."""
+    return profile.profile(_artifact_rows(spark, sf_dir)).select("path", "column", "n_values", "is_numeric", "is_category")
+
+
+@_registered("SELECT count(*) AS n_rows FROM (SELECT 1 FROM orders) HAVING count(*) >= (SELECT count(*) FROM events) UNION ALL SELECT count(*) FROM events HAVING count(*) > (SELECT count(*) FROM orders)")
+def largest_input(spark, sf_dir):
+    """Rows of the largest file."""
+    return profile.largest_input(_artifact_rows(spark, sf_dir))
+
+
+@_registered("SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def observed_combinations(spark, sf_dir):
+    """Combinations of categories that rows have."""
+    rows = _artifact_rows(spark, sf_dir).where("path = 'out/orders_status.csv'")
+    seen = profile.observed(rows, profile.profile(rows))
+    pick = lambda c: F.filter("combination", lambda e: e["column"] == c)[0]["value"]
+    return seen.select(pick("o_orderstatus").alias("status"), pick("o_orderpriority").alias("priority"))
+
+
+def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each status and priority one recipe of each statistic, and three that can't be answered."""
+    pairs = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    filters = F.array(F.struct(F.lit("o_orderstatus").alias("column"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("o_orderpriority").alias("column"), F.col("o_orderpriority").alias("value")))
+    each = pairs.withColumn("filters", filters).select("*", F.explode(F.array(*map(F.lit, ["mean", "median", "sum", "count", "stdev"]))).alias("statistic"))
+    good = each.select(F.concat_ws(" › ", "o_orderstatus", "o_orderpriority", "statistic").alias("address"), F.lit("out/orders_status.csv").alias("path"), F.lit("o_totalprice").alias("value_column"), "statistic", F.when(F.col("statistic") == "mean", "stdev").alias("uncertainty_statistic"), "filters")
+    status = table(spark, sf_dir, "orders").select("o_orderstatus").distinct()
+    out = good
+    for name, path, column, mark in [("no file", "out/none.csv", "o_totalprice", ""), ("no column", "out/orders_status.csv", "price", ""), ("no row", "out/orders_status.csv", "o_totalprice", "?")]:
+        pin = F.array(F.struct(F.lit("o_orderstatus").alias("column"), F.concat("o_orderstatus", F.lit(mark)).alias("value")))
+        out = out.unionByName(status.select(F.concat_ws(" › ", "o_orderstatus", F.lit(name)).alias("address"), F.lit(path).alias("path"), F.lit(column).alias("value_column"), F.lit("mean").alias("statistic"), F.lit(None).cast("string").alias("uncertainty_statistic"), pin.alias("filters")))
+    return out
+
+
+_HARVEST = """
+s AS (SELECT o_orderstatus AS st, o_orderpriority AS pr, avg(o_totalprice) AS mean, median(o_totalprice) AS median, sum(o_totalprice) AS sum, count(*)::DOUBLE AS count, stddev_samp(o_totalprice) AS stdev, count(*) AS n FROM (SELECT o_orderstatus, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalprice FROM orders) GROUP BY 1, 2),
+h AS (SELECT st || ' › ' || pr || ' › ' || k AS address, CASE k WHEN 'mean' THEN mean WHEN 'median' THEN median WHEN 'sum' THEN sum WHEN 'count' THEN count ELSE stdev END AS value, CASE WHEN k = 'mean' AND n > 1 THEN stdev END AS uncertainty, n AS n_rows,
+             CASE WHEN k = 'stdev' AND n < 2 THEN 'a standard deviation needs two rows' END AS error FROM s, (VALUES ('mean'), ('median'), ('sum'), ('count'), ('stdev')) x(k)),
+b AS (SELECT DISTINCT o_orderstatus AS st FROM orders)"""
+
+
+@_registered(
+    f"""WITH {_HARVEST} SELECT address, round(value, 1) AS value, round(uncertainty, 1) AS uncertainty, n_rows, error FROM h
+    UNION ALL SELECT st || ' › no file', NULL, NULL, 0, 'no rows in out/none.csv' FROM b UNION ALL SELECT st || ' › no column', NULL, NULL, (SELECT 0), 'no column price in out/orders_status.csv' FROM b
+    UNION ALL SELECT st || ' › no row', NULL, NULL, 0, 'no numeric row of out/orders_status.csv passes the filters' FROM b"""
+)
+def harvest_recipes(spark, sf_dir):
+    """All recipes in one aggregation."""
+    done = harvest.harvest(_recipes(spark, sf_dir), _artifact_rows(spark, sf_dir))
+    return done.select("address", F.round("value", 1).alias("value"), F.round("uncertainty", 1).alias("uncertainty"), "n_rows", "error")
+
+
+@_registered(
+    """WITH s AS (SELECT o_orderpriority AS pr, o_orderstatus AS st, round(avg(o_totalprice), 3) AS v FROM orders GROUP BY 1, 2)
+    SELECT a.pr || ' › Δ' AS address, round(a.v - b.v, 1) AS value FROM s a JOIN s b ON a.pr = b.pr AND a.st = 'F' AND b.st = 'O'"""
+)
+def derived_differences(spark, sf_dir):
+    """A difference column over the two other cells of its row."""
+    means = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 3).alias("value"))
+    column = F.when(F.col("o_orderstatus") == "F", 1).otherwise(2)
+    base = means.select(F.lit(1).alias("paper_id"), F.lit("t").alias("table_id"), F.array("o_orderpriority").alias("row_path"), F.array("o_orderstatus").alias("col_path"), column.alias("col"), F.concat_ws(" › ", "o_orderpriority", "o_orderstatus").alias("address"), F.lit(True).alias("is_numeric"), "value")
+    marks = base.select("paper_id", "table_id", "row_path").distinct().select("*", F.array(F.lit("Δ")).alias("col_path"), F.lit(3).alias("col"), F.concat(F.col("row_path")[0], F.lit(" › Δ")).alias("address"), F.lit(True).alias("is_numeric"), F.lit(None).cast("double").alias("value"))
+    operands = grade.difference_operands(base.unionByName(marks)).where("minuend is not null")
+    return harvest.differences(operands, base.select("address", "value")).select("address", F.round("value", 1).alias("value"))
+
+
+# --- names and alignment ---------------------------------------------------------------------------
+
+
+@_registered(
+    r"""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, 'm' || p_size || '.' || p_partkey || 'b' AS versioned, lower(replace(p_name, ' ', ',')) AS tokens, lower(split_part(p_name, ' ', 1) || split_part(p_name, ' ', 2)) IS NOT NULL AS has_phrase,
+    true AS same, lower(split_part(p_name, ' ', 2)) AS partial_word FROM part"""
+)
+def name_functions(spark, sf_dir):
+    """Normal forms, words, phrases and matches of every part."""
+    parts = table(spark, sf_dir, "part")
+    kind, version = F.col("p_name"), F.concat(F.lit("m-"), F.col("p_size").cast("string"), F.lit("_.-"), F.col("p_partkey").cast("string"), F.lit("B."))
+    second = F.split_part(kind, F.lit(" "), F.lit(2))
+    return parts.select(
+        "p_partkey", names.normalize(kind).alias("norm"), names.normalize(version).alias("versioned"), F.array_join(names.tokenize(kind), ",").alias("tokens"),
+        F.array_contains(names.phrases(kind), names.normalize(F.concat_ws("", F.slice(F.split(kind, " "), 1, 2)))).alias("has_phrase"),
+        names.same_name(kind, F.translate(F.lower(kind), " ", "-")).alias("same"), F.when(names.partial_match(second, kind), F.lower(second)).alias("partial_word"),
+    )
+
+
+@_registered("SELECT p_partkey, 'accuracy,' || lower(split_part(p_type, ' ', 1)) || ',acc' AS expanded, regexp_replace(lower(p_brand), '[-_.]+', '-', 'g') AS distribution FROM part")
+def token_functions(spark, sf_dir):
+    """Content words, synonyms, distribution names."""
+    words = names.content_tokens(F.concat(F.lit("the Accuracy of "), F.split("p_type", " ")[0]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.expand_synonyms(words), ",").alias("expanded"), names.normalize_distribution(F.col("p_brand")).alias("distribution"))
+
+
+@_registered("SELECT page_id, lpad(CAST(page_id % 9999 AS VARCHAR), 4, '0') || '.' || lpad(CAST(page_id % 99999 AS VARCHAR), 5, '0') || 'v2' AS arxiv_id FROM pages")
+def arxiv_ids(spark, sf_dir):
+    """Identifiers in addresses."""
+    pages = table(spark, sf_dir, "pages")
+    made = F.concat(F.lit("https://arxiv.org/pdf/"), F.lpad((F.col("page_id") % 9999).cast("string"), 4, "0"), F.lit("."), F.lpad((F.col("page_id") % 99999).cast("string"), 5, "0"), F.lit("v2.pdf"))
+    return pages.select("page_id", names.arxiv_id(made).alias("arxiv_id"))
+
+
+def _category_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _artifact_rows(spark, sf_dir)
+    return align.category_values(profile.profile(rows))
+
+
+@_registered(
+    """SELECT DISTINCT upper(event_type) || '!' AS name, 'out/events.csv' AS path, 'event_type' AS "column", event_type AS value FROM events
+    UNION ALL SELECT DISTINCT upper(o_orderpriority) || '!', 'out/orders_status.csv', 'o_orderpriority', o_orderpriority FROM orders"""
+)
+def match_categories(spark, sf_dir):
+    """Names against categorical values by normal form."""
+    wanted = table(spark, sf_dir, "events").select("event_type").union(table(spark, sf_dir, "orders").select("o_orderpriority")).distinct().toDF("x").select(F.concat(F.upper("x"), F.lit("!")).alias("name"))
+    return align.by_category(wanted, _category_values(spark, sf_dir))
+
+
+@_registered(
+    r"""WITH p AS (SELECT DISTINCT 'runs/' || regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') || '_' || p_size || '.csv' AS path, lower(p_type) AS t FROM part), w AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS name FROM part)
+    SELECT upper(w.name) AS name, p.path FROM w JOIN p ON list_contains(string_split(p.t, ' '), w.name) UNION
+    SELECT upper(w.name), p.path FROM w JOIN (SELECT path, array_to_string(list_sort(list_distinct(string_split(t, ' ') || CASE WHEN length(split_part(split_part(path, '.', 1), '_', -1)) > 1 THEN [split_part(split_part(path, '.', 1), '_', -1)] ELSE [] END || ['runs'])), '') AS joined FROM p) p ON length(w.name) >= 4 AND contains(p.joined, w.name)"""
+)
+def match_filenames(spark, sf_dir):
+    """Names against the words of paths."""
+    parts = table(spark, sf_dir, "part")
+    paths = parts.select(F.concat(F.lit("runs/"), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_"), F.lit("_"), F.col("p_size").cast("string"), F.lit(".csv")).alias("path")).distinct()
+    wanted = parts.select(F.explode(F.split(F.upper("p_type"), " ")).alias("name")).distinct()
+    return align.by_filename(wanted, paths)
+
+
+@_registered(
+    """WITH c AS (SELECT DISTINCT o_orderstatus AS st, o_orderpriority AS pr FROM orders), w AS (SELECT DISTINCT o_orderstatus AS given, split_part(o_orderpriority, '-', 2) AS name FROM orders)
+    SELECT DISTINCT w.name || '/' || w.given AS name, pr AS value FROM w JOIN c ON c.st = w.given AND contains(regexp_replace(lower(pr), '[^a-z0-9]+', ' ', 'g'), lower(w.name)) WHERE w.name <> ''"""
+)
+def resolve_candidates(spark, sf_dir):
+    """Names that name a value in part, in rows consistent with what is given."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    word = F.split("o_orderpriority", "-")[1]
+    asked = orders.select(word.alias("name"), F.lit("out/orders_status.csv").alias("path"), F.array(F.struct(F.lit("o_orderstatus").alias("column"), F.col("o_orderstatus").alias("value"))).alias("given")).where("name is not null").distinct()
+    rows = _artifact_rows(spark, sf_dir).where("path = 'out/orders_status.csv'")
+    seen = profile.observed(rows, profile.profile(rows))
+    out = [align.candidates(asked.where(F.col("given")[0]["value"] == s).select("name", "path", "given"), seen).select(F.concat("name", F.lit(f"/{s}")).alias("name"), "value") for s in ("F", "O", "P")]
+    return out[0].union(out[1]).union(out[2]).distinct()
+
+
+@_registered(
+    """SELECT p_partkey, CASE WHEN x LIKE '%median%' THEN 'median' WHEN x LIKE '%total%' THEN 'sum' WHEN x LIKE '%count%' THEN 'count' ELSE 'mean' END AS statistic
+    FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'total median' WHEN 1 THEN 'count of total' WHEN 2 THEN 'item count' ELSE 'size' END AS x FROM part)"""
+)
+def pick_statistics(spark, sf_dir):
+    """The statistic that a caption names."""
+    caption = F.element_at(F.array(*map(F.lit, ["total median", "count of total", "item count", "size"])), F.col("p_size") % 4 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", align.statistic(names.content_tokens(caption)).alias("statistic"))
+
+
+@_registered("SELECT n_name AS address, CASE WHEN n_nationkey % 3 = 0 THEN 'acc_score' WHEN n_nationkey % 3 = 1 THEN NULL ELSE 'reading_time' END AS \"column\", CASE WHEN n_nationkey % 3 = 0 THEN 'acc_score' WHEN n_nationkey % 3 = 1 THEN 'reading_time,run_time' ELSE 'reading_time' END AS tied FROM nation")
+def pick_value_columns(spark, sf_dir):
+    """The numeric column that shares most words with a table; ties are refused."""
+    k = F.col("n_nationkey") % 3
+    caption = F.when(k == 0, "accuracy of models").when(k == 1, "time").otherwise("reading time")
+    each = table(spark, sf_dir, "nation").select(F.col("n_name").alias("address"), F.lit("f.csv").alias("path"), names.content_tokens(caption).alias("wanted"), F.explode(F.array(*map(F.lit, ["acc_score", "reading_time", "run_time", "idx"]))).alias("column"))
+    return align.value_column(each).select("address", "column", F.array_join("tied", ",").alias("tied"))
+
+
+@_registered(
+    """WITH f AS (SELECT s_nationkey AS k, s_name AS path, round(s_acctbal / 2000) AS score, s_acctbal > 0 AS ok FROM supplier), t AS (SELECT *, score = max(score) OVER (PARTITION BY k) AS top FROM f),
+    g AS (SELECT k, count(*) FILTER (WHERE ok AND top) AS tops, string_agg(path, ',' ORDER BY path) FILTER (WHERE ok AND top) AS tied, arg_min(path, (-score, path)) FILTER (WHERE ok) AS first FROM t GROUP BY k HAVING count(*) FILTER (WHERE ok) > 0)
+    SELECT k AS address, CASE WHEN tops <= 1 THEN first END AS path, CASE WHEN tops > 1 THEN tied END AS tied FROM g"""
+)
+def choose_files(spark, sf_dir):
+    """The best file that answers, ties at the top refused."""
+    files = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("address"), F.col("s_name").alias("path"), F.round(F.col("s_acctbal") / 2000).alias("score"), (F.col("s_acctbal") > 0).alias("answers"))
+    return align.choose(files).select("address", "path", F.array_join("tied", ",").alias("tied"))
+
+
+@_registered(
+    """WITH v AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS s FROM customer) SELECT k AS table_id, 'f.csv' AS path, 'segment' AS "column", s AS value FROM v WHERE s = CASE k % 2 WHEN 0 THEN 'BUILDING' ELSE 'MACHINERY' END"""
+)
+def caption_filters(spark, sf_dir):
+    """the one value of a free column that a caption names."""
+    seen = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    values = seen.select(F.lit("f.csv").alias("path"), F.lit("segment").alias("column"), F.col("c_mktsegment").alias("value"), names.normalize(F.col("c_mktsegment")).alias("norm")).distinct()
+    used = values.select("path", F.lit("other").alias("column")).distinct()
+    per = seen.where("c_mktsegment in ('BUILDING', 'MACHINERY')").where(F.col("c_mktsegment") == F.when(F.col("c_nationkey") % 2 == 0, "BUILDING").otherwise("MACHINERY"))
+    tables = per.select(F.col("c_nationkey").alias("table_id"), F.concat(F.lit("Results for "), F.lower("c_mktsegment"), F.lit(" items")).alias("caption")).distinct()
+    return align.caption_filters(tables, values, used)
+
+
+@_registered("SELECT n_name AS address, 'f.csv' AS path, 'n_region' AS columns FROM nation WHERE n_regionkey <> 0")
+def mixing_refusals(spark, sf_dir):
+    """cells that leave open a column that other cells of the table select in."""
+    nations = table(spark, sf_dir, "nation")
+    regions = nations.groupBy(F.lit("f.csv").alias("path"), F.lit("n_region").alias("column")).agg(F.collect_set(F.col("n_regionkey").cast("string")).alias("categories")).withColumn("is_category", F.lit(True))
+    pin = F.array(F.struct(F.lit("n_region").alias("column"), F.lit("0").alias("value")))
+    none = F.array().cast("array<struct<column:string,value:string>>")
+    chosen = nations.select(F.col("n_name").alias("address"), F.lit("f.csv").alias("path"), F.when(F.col("n_regionkey") == 0, pin).otherwise(none).alias("filters"))
+    claimed = nations.where("n_regionkey = 0").select(F.lit("n_region").alias("column"))
+    return align.mixed_columns(chosen, regions, claimed).select("address", "path", F.array_join("columns", ",").alias("columns"))
+
+
+@_registered(
+    """WITH f AS (SELECT DISTINCT event_type AS e FROM events) SELECT e AS address, 'out/' || e || '_scores.csv' AS path, 3.0 + 1.0 - 0.0 AS score FROM f WHERE length(e) > 1"""
+)
+def score_files(spark, sf_dir):
+    """A file named for the cell and for a word of its table."""
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    cells = kinds.select(F.col("event_type").alias("address"), F.array("event_type").alias("names"), F.array(F.lit("scores")).alias("wanted"))
+    paths = kinds.select(F.concat(F.lit("out/"), "event_type", F.lit("_scores.csv")).alias("path"))
+    named = align.by_filename(kinds.select(F.col("event_type").alias("name")), paths)
+    none = named.select("name", "path", F.lit("").alias("column"), F.lit("").alias("value")).where("false")
+    return align.score_files(cells, none, named, paths).where(F.contains("path", F.concat(F.lit("/"), "address", F.lit("_")))).select("address", "path", "score")
+
+
+# --- scripts, requirements, budget -----------------------------------------------------------------
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each supplier nation: imports, a model list, a renaming table, a write site."""
+    per = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("s_nationkey").cast("string")
+    text = F.concat(
+        F.lit("import os, pkg_"), k, F.lit(".sub as p\nfrom numpy.random import rand\nMODELS = [\"gpt2-large\", \"org/model-"), F.col("n").cast("string"), F.lit("b\"]\nnames = {\n  \"F\": \"Full\",\n  \"O\": \"Open\",\n}\nx = p.run(device=\"cuda\")\npath = f\"out/scores_"), k, F.lit("{x}.csv\"\nx.to_csv(path)\n"),
+    )
+    return per.select(F.concat(F.lit("src/score_"), k, F.lit(".py")).alias("script"), text.alias("text"), "s_nationkey", "n")
+
+
+_NATIONS = "SELECT s_nationkey AS k, count(*) AS n, 'src/score_' || s_nationkey || '.py' AS script FROM supplier GROUP BY 1"
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, unnest(['os', 'pkg_' || k, 'numpy']) AS module, unnest([1, 1, 2]) AS line FROM s")
+def imported_modules(spark, sf_dir):
+    """X11: modules that scripts import."""
+    return scripts.imports(_scripts(spark, sf_dir))
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, 'pkg_' || k AS module FROM s WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+def undeclared_imports(spark, sf_dir):
+    """Imports that nothing provides."""
+    s, nations = _scripts(spark, sf_dir), table(spark, sf_dir, "nation")
+    lines = nations.where("n_regionkey = 0").select(F.lit("requirements.txt").alias("path"), F.concat(F.lit("# pinned\nNumPy>=1.0\nPkg_"), F.col("n_nationkey").cast("string"), F.lit("==2.0 ; python_version > '3'\n-r more.txt")).alias("text"))
+    builtin = s.select(F.lit("os").alias("module")).distinct()
+    return scripts.undeclared(scripts.imports(s), builtin, builtin.where("false"), scripts.requirements(lines)).select("script", "module")
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, unnest(['gpt2-large', 'org/model-' || n || 'b']) AS model, unnest([3130.0, n * 2000.0])::DOUBLE AS mb FROM s")
+def model_sizes(spark, sf_dir):
+    """Models that scripts name, and their size."""
+    s = _scripts(spark, sf_dir)
+    listed = scripts.model_lists(s).join(scripts.model_ids(s), ["script", "model"], "left_semi")
+    return listed.select("script", "model", scalars.weight_mb(F.col("model")).alias("mb"))
+
+
+@_registered(
+    """WITH t AS (SELECT DISTINCT p_type FROM part), l AS (SELECT p_type, row_number() OVER (ORDER BY p_type) + 1 AS line FROM t), b AS (SELECT *, line // 8 AS block FROM l)
+    SELECT p_type AS "left", 'Type ' || line AS "right", 'names.py' AS path, line FROM b WHERE (SELECT count(*) FROM b c WHERE abs(c.block - b.block) <= 1) >= 2"""
+)
+def declared_aliases(spark, sf_dir):
+    """A script's renaming table of every part type."""
+    kinds = table(spark, sf_dir, "part").select("p_type").distinct()
+    pair = F.concat(F.lit('  "'), "p_type", F.lit('": "Type '), F.col("n").cast("string"), F.lit('",'))
+    numbered = kinds.withColumn("n", F.row_number().over(_over("p_type")) + 1)
+    script = numbered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", pair.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    text = script.select(F.lit("names.py").alias("script"), F.concat(F.lit("names = {\n"), "body", F.lit("\n}\n")).alias("text"))
+    return scripts.aliases(text, kinds.select(F.col("p_type").alias("value"))).select("left", "right", "path", F.col("line").cast("long").alias("line"))
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, 'out/scores_' || k || 'x.csv' AS artifact, 'out/scores_' || k AS fragment FROM s")
+def producing_scripts(spark, sf_dir):
+    """Which script writes a file."""
+    s = _scripts(spark, sf_dir)
+    files = s.select(F.concat(F.lit("out/scores_"), F.col("s_nationkey").cast("string"), F.lit("x.csv")).alias("artifact"))
+    # A shorter number is a prefix of a longer one: the longest fragment tells them apart.
+    found = scripts.writes(s, files)
+    longest = found.groupBy("artifact").agg(F.max(F.length("fragment")).alias("most"))
+    return found.join(longest, "artifact").where(F.length("fragment") == F.col("most")).select("script", "artifact", "fragment")
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT 't' AS table_id, script, 3.0 + 0.5 + 0.25 AS score, row_number() OVER (ORDER BY script) AS rank FROM s")
+def rank_scripts(spark, sf_dir):
+    """Scripts by how plausibly they produce a table."""
+    s = _scripts(spark, sf_dir).select("script", F.lit("scores of x").alias("text"))
+    written = s.select("script", F.concat(F.lit("f"), "script").alias("artifact"), F.lit("t").alias("table_id"))
+    wanted = s.select(F.lit("t").alias("table_id"), F.array(F.lit("score"), F.lit("scores")).alias("wanted")).distinct()
+    return align.rank_entry_points(s, written, wanted).select("table_id", "script", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, true AS stochastic, false AS seed_flag, false AS cpu_only FROM s")
+def script_traits(spark, sf_dir):
+    """Chance without a seed, a seed flag, CPU only."""
+    return scripts.traits(_scripts(spark, sf_dir))
+
+
+@_registered("SELECT n_name AS address, n_name AS name, 'list.py' AS script FROM nation n WHERE NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = 1 AND contains('org' || replace(lower(m.n_name), '_', ''), replace(lower(n.n_name), '_', '')))")
+def missing_checkpoints(spark, sf_dir):
+    """Names that a list of models lacks while it has their siblings."""
+    nations = table(spark, sf_dir, "nation")
+    cells = nations.select(F.lit("t").alias("table_id"), F.col("n_name").alias("address"), F.lit(0).alias("level"), F.col("n_name").alias("name"))
+    listed = nations.where("n_regionkey = 1").select(F.lit("list.py").alias("script"), F.concat(F.lit("org/"), F.lower("n_name")).alias("model"))
+    return align.missing_checkpoint(cells, listed, listed.select(F.lit("none").alias("norm")))
+
+
+@_registered(
+    f"""WITH s AS ({_NATIONS}), r AS (SELECT greatest((SELECT count(*) FROM orders), (SELECT count(*) FROM events), (SELECT count(*) FROM supplier)) AS n_rows)
+    SELECT script, 3130.0 + n * 2000.0 AS download_mb, round(n_rows * ((3130.0 + n * 2000.0) / 1024) * 0.05 / 3600, 6) AS wall_hours, 0.5 AS gpu_hours FROM s, r"""
+)
+def cost_estimates(spark, sf_dir):
+    """Predicted cost of each script."""
+    s = _scripts(spark, sf_dir)
+    out = budget.estimate(s.select("script", "text"), scripts.model_ids(s), profile.largest_input(_artifact_rows(spark, sf_dir)))
+    return out.select("script", "download_mb", F.round("wall_hours", 6).alias("wall_hours"), "gpu_hours")
+
+
+@_registered(
+    """WITH RECURSIVE e AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, round(o_totalprice * 100) AS mb FROM orders),
+    l(run, ord, ok, spent) AS (SELECT run, ord, mb <= 50000000, CASE WHEN mb <= 50000000 THEN mb ELSE 0 END FROM e WHERE ord = 1
+      UNION ALL SELECT e.run, e.ord, e.mb <= 50000000 - l.spent, CASE WHEN e.mb <= 50000000 - l.spent THEN l.spent + e.mb ELSE l.spent END FROM l JOIN e ON e.run = l.run AND e.ord = l.ord + 1)
+    SELECT run, ord, CASE WHEN NOT ok THEN 'download_mb' END AS refused, spent FROM l"""
+)
+def budget_ledger(spark, sf_dir):
+    """Each customer's orders as runs against one ceiling, in order."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    estimates = orders.select(F.col("o_custkey").alias("run"), rank.alias("ord"), F.round(F.col("o_totalprice") * 100).alias("download_mb"), F.lit(0.0).alias("gpu_hours"), F.lit(0.0).alias("wall_hours"))
+    done = budget.ledger(estimates, {"download_mb": 50_000_000.0, "gpu_hours": 1.0, "wall_hours": 2.0})
+    return done.select("run", "ord", "refused", F.col("spent")[0].alias("spent"))
+
+
+# --- contracts -------------------------------------------------------------------------------------
+
+
+@_registered("SELECT n_name AS address, CASE WHEN n_regionkey <> 0 THEN n_nationkey::DOUBLE END AS value, CASE WHEN n_regionkey = 0 THEN 'OTHER' END AS code FROM nation")
+def read_results(spark, sf_dir):
+    """Results written as JSON and read back through the version and code checks."""
+    nations = table(spark, sf_dir, "nation")
+    fails = F.col("n_regionkey") == 0
+    cell = F.struct(F.col("n_name").alias("address"), F.when(~fails, F.col("n_nationkey").cast("double")).alias("value"), F.when(fails, F.struct(F.lit("other").alias("code"), F.lit("closed").alias("evidence"))).alias("failure"))
+    written = nations.groupBy("n_regionkey").agg(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.collect_list(cell).alias("cells"))).alias("json"))
+    doc = written.select(F.from_json("json", RESULTS).alias("r")).select(checked_version(F.col("r.schema_version")).alias("v"), F.explode("r.cells").alias("c")).where("v is not null")
+    return doc.select("c.address", "c.value", checked_failure(F.col("c.failure"))["code"].alias("code"))

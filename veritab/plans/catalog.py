@@ -6,6 +6,8 @@ The tables given hold no papers, so each query derives what its operator reads
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from veritab.functions import latex, names, numbers, scalars
 from veritab.operators import align, budget, extract, grade, harvest, profile, report, scripts
 from veritab.schema import RESULTS, checked_failure, checked_version
+from veritab.sources import files
+from veritab.streaming import grading
 
 FLAGSHIP = "grade_segments"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +597,32 @@ def budget_ledger(spark, sf_dir):
     return done.select("run", "ord", "refused", F.col("spent")[0].alias("spent"))
 
 
+@_registered(
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages), n AS (SELECT page_id, 'site' || rtrim(path, '/') || CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.csv' WHEN 2 THEN '/README.md' ELSE '.png' END AS path FROM p)
+    SELECT path, CASE page_id % 4 WHEN 0 THEN 'script' WHEN 1 THEN 'artifact' ELSE 'readme' END AS kind FROM n WHERE page_id % 4 <> 3"""
+)
+def classify_files(spark, sf_dir):
+    """Files of a repository by suffix, name, folder and size."""
+    k = F.col("page_id") % 4
+    path = F.regexp_extract("url", r"://[^/?#]*(/[^?#]*)?", 1)
+    ending = F.when(k == 0, ".py").when(k == 1, ".csv").when(k == 2, "/README.md").otherwise(".png")
+    listed = table(spark, sf_dir, "pages").select(F.concat(F.lit("site"), F.rtrim(path, F.lit("/")), ending).alias("path"), F.octet_length("html").alias("length"))
+    return files.classify(listed).select("path", "kind")
+
+
+@_registered("SELECT c_mktsegment AS address, CASE WHEN abs(n_acct - round(n_acct)) <= greatest(CASE WHEN abs(round(n_acct)) < 1 THEN 0.01 WHEN abs(round(n_acct)) < 10 THEN 0.05 WHEN abs(round(n_acct)) < 100 THEN 0.5 ELSE 1.0 END, abs(round(n_acct)) * 0.05) THEN 'GREEN' ELSE 'YELLOW' END AS status FROM (SELECT c_mktsegment, avg(c_acctbal) AS n_acct FROM customer GROUP BY 1)")
+def grade_stream(spark, sf_dir):
+    """Optional: a stream of customers, averaged by segment and graded in each micro-batch."""
+    customers = table(spark, sf_dir, "customer")
+    cells = customers.groupBy(F.col("c_mktsegment").alias("address")).agg(F.round(F.avg("c_acctbal")).alias("value")).withColumn("uncertainty", F.lit(None).cast("double"))
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    customers.repartition(4).write.parquet(f"{base}/incoming")
+    arriving = spark.readStream.schema(customers.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
+    means = grading.harvest_stream(arriving, ["c_mktsegment"], "c_acctbal").withColumnRenamed("c_mktsegment", "address")
+    grading.grade_stream(cells, means, lambda done, n: done.write.mode("overwrite").parquet(f"{base}/graded"), f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/graded")
+
+
 # --- contracts -------------------------------------------------------------------------------------
 
 

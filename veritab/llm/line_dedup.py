@@ -20,6 +20,8 @@ empty result. All columns of the input are kept, the text column is rewritten.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +35,23 @@ NEAR = 1.5
 SMALL = 200_000
 
 
+#: White space that is cut from the ends of a line.
+BLANK = " \t\n\x0b\f\r"
+
+
 def _stripped(line: F.Column) -> F.Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(line, F.lit(BLANK))
 
 
 def _lines(text: str) -> F.Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def _counts(line: F.Column, min_words: int) -> F.Column:
-    """Whether a stripped line has at least min_words words."""
-    return F.regexp_count(line, F.lit(r"\S+")) >= min_words
-
-
-def _hash(line: F.Column) -> F.Column:
-    return F.xxhash64(_stripped(line))
-
-
 def boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """(hash) of each line on at least min_sites sites."""
     line = _stripped(F.col("line"))
     lines = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"), F.explode(_lines(text_col)).alias("line"))
-    lines = lines.where(_counts(line, min_words)).select(F.xxhash64(line).alias("hash"), "site")
+    lines = lines.where(line.rlike(rf"^(?:\S+\s+){{{min_words - 1}}}\S")).select(F.xxhash64(line).alias("hash"), "site")
     spread = lines.groupBy("hash").agg(F.hll_sketch_agg("site", PRECISION).alias("sketch"))
     spread = spread.select("hash", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") * NEAR >= min_sites)
     spread = staged(spread, "spread")
@@ -72,20 +69,39 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4,
     A document that would lose more than ``most`` of its characters (line ends left out) or lines stays whole.
     """
     bad = staged(boilerplate(docs, min_sites, min_words, site_col, text_col), "boilerplate")
-    number = bad.count()
-    if number <= SMALL:
-        # One row with one array, bounded by SMALL hashes: each task looks lines up in its own copy.
-        listed = F.broadcast(bad.agg(F.array_sort(F.collect_list("hash")).alias("__bad")))
-        marked = docs.crossJoin(listed) if number else docs.withColumn("__bad", F.array().cast("array<bigint>"))
-    else:
-        # The verdict on a text depends on the text alone, so it is joined by the text's hash.
-        text_hash = F.xxhash64(F.col(text_col)).alias("__text")
-        own = docs.select(text_hash, F.explode(F.array_distinct(F.transform(_lines(text_col), _hash))).alias("hash")).distinct()
-        per_text = own.join(bad, "hash", "left_semi").groupBy("__text").agg(F.collect_set("hash").alias("__bad"))
-        marked = docs.withColumn("__text", F.xxhash64(F.col(text_col))).join(per_text, "__text", "left").drop("__text")
-        marked = marked.withColumn("__bad", F.coalesce("__bad", F.array().cast("array<bigint>")))
-    size = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    kept = F.filter(_lines(text_col), lambda x: ~(F.array_contains("__bad", _hash(x)) & _counts(_stripped(x), min_words)))
-    marked = marked.withColumn("__kept", kept)
-    whole = (size(F.col("__kept")) < (1 - most) * size(_lines(text_col))) | (F.size("__kept") < (1 - most) * F.size(_lines(text_col)))
-    return marked.select(*[F.when(whole, F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index(text_col)
+    if bad.count() <= SMALL:
+        # A bounded set of hashes, which each task looks lines up in.
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r.hash for r in bad.toLocalIterator()))
+        return docs.mapInArrow(_remover(at, most, known, False), docs.schema)
+    # The verdict on a text depends on the text alone, so it is joined by the text's hash.
+    text_hash = F.xxhash64(F.col(text_col))
+    own = docs.select(text_hash.alias("__text"), F.explode(F.array_distinct(F.transform(_lines(text_col), lambda x: F.xxhash64(_stripped(x))))).alias("hash")).distinct()
+    per_text = own.join(bad, "hash", "left_semi").groupBy("__text").agg(F.collect_set("hash").alias("__bad"))
+    marked = docs.withColumn("__text", text_hash).join(per_text, "__text", "left").drop("__text")
+    return marked.mapInArrow(_remover(at, most, None, True), docs.schema)
+
+
+def _remover(at: int, most: float, known, listed: bool):
+    """A task that rewrites column ``at``; hashes come from ``known`` or, with ``listed``, from the last column of each row."""
+
+    def rewritten(text: str, bad) -> str:
+        lines = text.split("\n")
+        # Lines with equal hashes are equal, so those in bad have words enough.
+        kept = [x for x in lines if (h := xxhash.xxh64_intdigest(x.strip(BLANK).encode("utf-8", "surrogatepass"), 42)) - (h >> 63 << 64) not in bad]
+        if len(kept) == len(lines):
+            return text
+        size = lambda part: sum(map(len, part))
+        if size(kept) < (1 - most) * size(lines) or len(kept) < (1 - most) * len(lines):
+            return text
+        return "\n".join(kept)
+
+    def run(batches):
+        for b in batches:
+            columns = b.columns[:-1] if listed else b.columns
+            own = (frozenset(x or ()) for x in b.column(b.num_columns - 1).to_pylist()) if listed else (known.value for _ in range(b.num_rows))
+            texts = [None if t is None else rewritten(t, bad) for t, bad in zip(b.column(at).to_pylist(), own, strict=True)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[: len(columns)])
+
+    return run

@@ -152,6 +152,12 @@ def test_sources(spark, tmp_path):
     unpacked = files.read_archives(spark, str(tmp_path))
     assert {r.path for r in unpacked.collect()} == {"main.tex", "part.tex"}
     assert {r.text.split("{")[1][0]: r.text for r in files.papers(unpacked).collect()}["a"].count("P") == 1
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "main.tex").write_text("\\documentclass{a} M \\include{sub/p}")
+    (tmp_path / "src" / "sub").mkdir()
+    (tmp_path / "src" / "sub" / "p.tex").write_text("inner")
+    assert files.read_papers(spark, str(tmp_path / "src")).first().text.split() == ["\\documentclass{a}", "M", "inner"]
+    assert files.read_papers(spark, str(tmp_path / "src" / "main.tex")).first().text.startswith("\\documentclass")
     assert contracts.parse_tolerance("0.1") == {"relative": 0.1} and contracts.parse_tolerance("rel=0.1, abs=2 yellow=4") == {"relative": 0.1, "absolute": 2.0, "multiplier": 4.0}
     with pytest.raises(ValueError):
         contracts.parse_tolerance("x=1")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import latex, names, numbers, scalars
 from veritab.operators import align, budget, extract, grade, harvest, profile, report, scripts
+from veritab.plans import mapper
 from veritab.schema import RESULTS, checked_failure, checked_version
 from veritab.sources import files
 from veritab.streaming import grading
@@ -481,6 +482,18 @@ def score_files(spark, sf_dir):
     return align.score_files(cells, none, named, paths).where(F.contains("path", F.concat(F.lit("/"), "address", F.lit("_")))).select("address", "path", "score")
 
 
+@_registered("SELECT DISTINCT 'Table 1 › ' || c_mktsegment || ' › Balance' AS address, 'GREEN' AS status FROM customer")
+def check_paper(spark, sf_dir):
+    """From a paper's markup and a repository's rows to grades, in one DAG."""
+    cents = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"))
+    means = cents.groupBy("segment").agg(F.round(F.avg("balance")).cast("long").cast("string").alias("mean"))
+    row = F.concat_ws(" & ", "segment", "mean")
+    body = means.agg(F.concat_ws("\\\\\n", F.transform(F.array_sort(F.collect_list(F.struct("segment", row.alias("row")))), lambda x: x["row"])).alias("rows"))
+    head = r"\begin{table}\caption{Mean balance by segment}\label{tab:b}\begin{tabular}{lc} Segment & Balance \\ \midrule" + "\n"
+    papers = body.select(F.lit(1).alias("paper_id"), F.concat(F.lit(head), "rows", F.lit("\\\\\n\\end{tabular}\\end{table}")).alias("text"))
+    return mapper.check(extract.extract_cells(papers), harvest.as_rows(cents, "out/customer_balance.csv")).select("address", "status")
+
+
 # --- scripts, requirements, budget -----------------------------------------------------------------
 
 

@@ -125,6 +125,17 @@ def papers(files: DataFrame) -> DataFrame:
     return listed.select("paper_id", "files", "main").mapInArrow(run, "paper_id string, text string")
 
 
+def read_papers(spark: SparkSession, target: str) -> DataFrame:
+    """(paper_id, text) of a .tex file, an archive, or a folder of sources, told apart by the name."""
+    if target.lower().endswith((".tex", ".ltx")):
+        return spark.read.option("wholetext", True).text(target).select(F.col("_metadata.file_path").alias("paper_id"), F.col("value").alias("text"))
+    if target.lower().endswith((".gz", ".tar", ".tgz")):
+        return papers(read_archives(spark, target))
+    tree = read_tree(spark, target)
+    root = F.lit(target.rstrip("/") + "/")
+    return papers(tree.select(F.lit(target).alias("paper_id"), F.substring_index("path", root, -1).alias("path"), "text"))
+
+
 def classify(files: DataFrame) -> DataFrame:
     """files (path, length) that a repository's inventory lists, with their kind: script, artifact, readme or requirements."""
     parts = F.split("path", "/")

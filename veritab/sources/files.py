@@ -132,8 +132,7 @@ def read_papers(spark: SparkSession, target: str) -> DataFrame:
     if target.lower().endswith((".gz", ".tar", ".tgz")):
         return papers(read_archives(spark, target))
     tree = read_tree(spark, target)
-    root = F.lit(target.rstrip("/") + "/")
-    return papers(tree.select(F.lit(target).alias("paper_id"), F.substring_index("path", root, -1).alias("path"), "text"))
+    return papers(tree.select(F.lit(target).alias("paper_id"), F.substring_index("path", target.rstrip("/") + "/", -1).alias("path"), "text"))
 
 
 def classify(files: DataFrame) -> DataFrame:

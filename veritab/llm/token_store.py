@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import uuid
 import zlib
+from array import array
 from struct import calcsize, pack, unpack
 
 import numpy as np
@@ -38,15 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import file_system, shared_folder, staged
+from veritab.llm.common import file_system, run_hashes, shared_folder, slices, staged, text_bytes, tidied
 
 MAGIC = b"VTSST001"
 _FOOTER = "<QQQQQQI8s"
 #: Bytes of a block before compression; a larger value is a block of its own.
 BLOCK = 1 << 16
 END_ID = 0
+#: Text bytes that are encoded at once; a longer document is encoded alone.
+PIECE = 1 << 20
 #: Pieces kept with their ids in each half of a Python worker's store.
-STORE = 400_000
+STORE = 600_000
 
 
 def varint(n: int) -> bytes:
@@ -204,18 +208,30 @@ class Reader:
         return out
 
 
+#: Bytes that end a chunk of plain text; other white space makes a text uneven.
+SPACE, LINE_END = 32, 10
+#: Two or three bytes of each white space character beyond ASCII (fixed values), and white space within ASCII.
+WIDE_SPACES = {(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), *((0xE2, 0x80, x) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)}
+NARROW_SPACES = np.isin(np.arange(256), [9, 11, 12, 13])
+
+
 class PieceEncoder:
     """The tokenizers library behind a store of pieces.
 
     A byte-level BPE file cuts text into pieces that never affect each other, so equal
-    pieces have equal ids. A new piece is encoded by the library, as is any whole text
-    with a special token's string.
+    pieces have equal ids. In even text (words stand apart by single spaces or line ends) every cut before such a
+    space and around a line end is one of the file's own. Even texts of a batch are cut so
+    at once, their chunks told apart by 64-bit hash and length, and each different
+    chunk is looked up or encoded by the library. Other texts are cut by the file's
+    pattern, and a text with a special token's string is encoded as a whole.
     """
 
     #: The usual cut of byte-level BPE files (a fixed value), with white space as Unicode defines it.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core; the library's own threads would only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -226,37 +242,87 @@ class PieceEncoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif any(s in t for s in self.special):
-                out.append(self.ids([t])[0].tobytes())
-            else:
-                out.append(self._pieces(self.cut(t)))
+        data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+        even = self._even(data, offsets)
+        out: list[bytes] = [b""] * len(texts)
+        if even.any():
+            for i, value in zip(np.flatnonzero(even).tolist(), self._encode_even(data, offsets, even), strict=True):
+                out[i] = value
+        for i in np.flatnonzero(~even).tolist():
+            out[i] = self._encode_other(texts[i]) if texts[i] else b""
+        return out
+
+    def _encode_other(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.ids([text])[0]
+        pieces = self.cut(text)
+        self._learn(set(pieces))
+        return b"".join(map(self.new.__getitem__, pieces))
+
+    def _even(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are even: not empty, no white space at the ends or side by side, none but spaces and line ends, no special token."""
+        out = np.diff(offsets) > 0
+        if not len(data):
+            return out
+        blank = (data == SPACE) | (data == LINE_END)
+        odd = [np.flatnonzero(NARROW_SPACES[data]), np.flatnonzero(blank[1:] & blank[:-1])]
+        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+            at = np.flatnonzero(data[:-1] == lead)
+            for space in (w for w in WIDE_SPACES if w[0] == lead):
+                inside = at[at + len(space) <= len(data)]
+                hit = np.ones(len(inside), bool)
+                for k in range(1, len(space)):
+                    hit &= data[inside + k] == space[k]
+                odd.append(inside[hit])
+        for token in self.special:
+            raw = np.frombuffer(token.encode(), np.uint8)
+            at = np.flatnonzero(data[: len(data) - len(raw) + 1] == raw[0]) if len(data) >= len(raw) else np.zeros(0, np.int64)
+            for k in range(1, len(raw)):
+                at = at[data[at + k] == raw[k]]
+            odd.append(at)
+        out[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        out[some] &= ~blank[offsets[some]] & ~blank[offsets[some + 1] - 1]
         return out
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        new = self.new
-        missing = [p for p in dict.fromkeys(pieces) if p not in new]
-        if missing:
-            if len(new) + len(missing) > STORE:
-                self.old, self.new = new, {p: new[p] for p in dict.fromkeys(pieces) if p in new}
-                new = self.new
-            unknown = []
-            for p in missing:
-                if (have := self.old.get(p)) is None:
-                    unknown.append(p)
-                else:
-                    new[p] = have
-            if unknown:
-                new.update(zip(unknown, (x.tobytes() for x in self.ids(unknown)), strict=True))
-        return b"".join([new[p] for p in pieces])
+    def _encode_even(self, data: np.ndarray, offsets: np.ndarray, even: np.ndarray) -> list[bytes]:
+        start = (data == SPACE) | (data == LINE_END)
+        start[1:] |= data[:-1] == LINE_END
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(data))
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        keep = even[row]
+        starts, ends, row = starts[keep], ends[keep], row[keep]
+        _, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        view = memoryview(data.tobytes())
+        chunks = [str(view[s:e], "utf-8") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self._learn(set(chunks))
+        known = list(map(self.new.__getitem__, chunks))
+        lengths = np.array([len(k) // 4 for k in known], np.int64)
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        begins = np.cumsum(lengths) - lengths
+        counts = lengths[which]
+        done = np.cumsum(counts)
+        ids = flat[np.repeat(begins[which] - (done - counts), counts) + np.arange(int(done[-1]))]
+        stops = done[np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, wanted: set[str]) -> None:
+        """See that the store has all of wanted. When it is full it becomes the older half, from which pieces are taken back."""
+        if len(self.new) + len(wanted) > STORE:
+            self.old, self.new = self.new, {}
+        missing = wanted - self.new.keys()
+        back = {p: self.old[p] for p in missing & self.old.keys()}
+        self.new.update(back)
+        unknown = list(missing - back.keys())
+        if unknown:
+            self.new.update(zip(unknown, self.ids(unknown), strict=True))
 
 
 @functools.lru_cache(maxsize=2)
@@ -288,9 +354,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
                 writer = Writer(out)
                 first = b.column(0)[0].as_py()
             ids = b.column(0).to_pylist()
-            for at in range(0, b.num_rows, 500):
-                texts = b.column(1).slice(at, 500).to_pylist()
-                for doc, value in zip(ids[at : at + 500], encoder(tokenizer).encode(texts), strict=True):
+            for at, to in slices(text_bytes(b.column(1))[1], PIECE):
+                texts = b.column(1).slice(at, to - at).to_pylist()
+                for doc, value in zip(ids[at:to], encoder(tokenizer).encode(texts), strict=True):
                     number = number + 1 if writer.entries and doc == last else 0
                     last = doc
                     writer.add(key_of(doc, number), value + pack("<I", END_ID))
@@ -303,7 +369,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         fs.move(own, final)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{shard:06d}.sst"], "size": pa.array([size], pa.int64()), "entries": pa.array([writer.entries], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()), "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64())})
 
-    return staged(placed.mapInArrow(run, "shard int, path string, size long, entries long, tokens long, first_id long, last_id long"), "manifest")
+    return staged(placed.mapInArrow(tidied(run), "shard int, path string, size long, entries long, tokens long, first_id long, last_id long"), "manifest")
 
 
 def _open(path: str, size: int) -> Reader:
@@ -337,7 +403,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -371,8 +437,8 @@ def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> D
                 rows += [(doc, v) for v in reader.get(doc)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])
 
-    routed = wanted.select(F.col(id_col).cast("long").alias("wanted")).distinct().mapInArrow(route, "wanted long, shard int")
-    return routed.repartition("shard").sortWithinPartitions("shard", "wanted").mapInArrow(run, "doc_id long, ids binary")
+    routed = wanted.select(F.col(id_col).cast("long").alias("wanted")).distinct().mapInArrow(tidied(route), "wanted long, shard int")
+    return routed.repartition("shard").sortWithinPartitions("shard", "wanted").mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veritab.llm.common import list_array
+from veritab.llm.common import list_array, tidied
 
 #: Characters that str.split() takes for white space and the pattern doesn't.
 CONTROL = regex.compile("[\x1c-\x1f]").search
 #: Entries that a store of a Python worker may reach; then its older half goes.
-STORE = 400_000
+STORE = 120_000
 #: Bits of a symbol in a pair, and of a position below a rank; leaves of a block; no pair.
 SIDE, PLACE, WIDE = 20, 40, 32
 POSITION = (1 << PLACE) - 1
@@ -139,6 +139,12 @@ class WordBpe:
         store = self.word_store
         return b"".join([store[w] for w in self.words(chunk)])
 
+    def forget(self) -> None:
+        """Empty the stores: an idle worker would hold them through the stages that follow."""
+        for store in (self.word_store, self.store):
+            store.clear()
+            store.older.clear()
+
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
@@ -191,6 +197,16 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _forgetting(run, path: str):
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            load(path).forget()
+
+    return tidied(wrapped)
+
+
 def _ids_column(encoded: list[bytes]) -> pa.ListArray:
     return list_array(np.frombuffer(b"".join(encoded), np.int32), np.array([len(x) // 4 for x in encoded], np.int64))
 
@@ -205,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = _ids_column([model.encode(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(_forgetting(run, path), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,7 +234,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
             out = [model.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [id_col, "decoded"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, decoded string")
+    return encoded.select(id_col, ids_col).mapInArrow(_forgetting(run, path), f"`{id_col}` {kind}, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,4 +251,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 decoded = [model.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded]
                 yield pa.RecordBatch.from_arrays([b.column(0), _ids_column(encoded), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(_forgetting(run, path), f"`{id_col}` {kind}, ids array<int>, decoded string")

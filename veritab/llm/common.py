@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +19,25 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session leaves the setting at its default.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: a batch of long texts takes several times its size in the
+    executor's JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(key, BATCH)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, a new subfolder for each call.
 
     It is the session's ``spark.checkpoint.dir``; where that is unset (tests in
     local mode) a local temporary folder is made and set as checkpoint folder.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_veritab_shared", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="veritab-")
@@ -49,6 +64,21 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def tidied(run):
+    """A task function that gives freed memory back when it ends: Python workers live on, and
+    what the allocators keep would add to the memory of the next stage's tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with f called on each batch."""
 
@@ -60,7 +90,7 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,7 +129,7 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def _powers(cache: dict[str, np.ndarray], name: str, base: int, n: int) -> np.ndarray:
     have = cache.get(name)
     if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 20), base, np.uint64)
+        step = np.full(max(n, 1 << 19), base, np.uint64)
         step[0] = 1
         have = cache[name] = np.cumprod(step, dtype=np.uint64)
     return have[:n]
@@ -167,13 +197,18 @@ def _plain_tokens(data, offsets, kinds, lower):
     if lower:
         values = values.copy()
         values[65:91] = values[97:123]
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    return run_hashes(data, starts, ends, values), rows
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes and its length: a polynomial modulo 2**64 from running sums, then mixed."""
+    n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values[data] * _powers(_CACHE, "up", BASE, n), dtype=np.uint64, out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _powers(_CACHE, "down", BASE_INVERSE, n + 1)[starts]
-    hashes += (ends - starts).astype(np.uint64) * np.uint64(BASE)
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return mix(hashes), rows
+    return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
 def list_array(values: np.ndarray | pa.Array, lengths: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:

@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is split by documents: a segment holds the postings of every token of
-some two MB of text. Its rows are
+about one MB of text. Its rows are
 
     doc_ids, first_positions, n_words   one entry for each document
     terms, ends, postings               sorted 64-bit term hashes, where each
@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import byte_tokens, list_array, slices, staged, text_bytes
+from veritab.llm.common import byte_tokens, list_array, slices, staged, text_bytes, tidied
 
 #: Text bytes of a segment, and of a block of benchmark items that tasks receive.
-SEGMENT, BLOCK = 1 << 21, 1 << 25
+SEGMENT, BLOCK = 1 << 20, 1 << 25
 #: 1 for the bytes of words: digits, letters, everything beyond ASCII.
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -72,17 +72,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ["doc_ids", "first_positions", "n_words", "terms", "ends", "postings"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, _SEGMENT.format(kind=kind))
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), _SEGMENT.format(kind=kind))
 
 
 class Segment:
     """One row of the index, for searching."""
 
-    def __init__(self, row: dict):
-        self.terms = np.frombuffer(row["terms"], np.uint64)
-        ends = np.frombuffer(row["ends"], np.int32)
+    def __init__(self, b: pa.RecordBatch):
+        view = lambda k, kind: np.frombuffer(b.column(k)[0].as_buffer(), kind)
+        self.terms, ends, self.postings = view(3, np.uint64), view(4, np.int32), view(5, np.int32)
         self.starts, self.ends = np.append(np.int32(0), ends[:-1]), ends
-        self.postings = np.frombuffer(row["postings"], np.int32)
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, length of the list) of each term; length 0 if it is absent."""
@@ -187,7 +186,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, item_col: s
     blocks = 0
     for rows in _blocks(benchmark, item_col, text_col, block_bytes):
         sent = spark.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows]))
-        part = index.mapInArrow(_searcher(sent, window, within), f"segment string, doc_no int, doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
+        part = index.mapInArrow(tidied(_searcher(sent, window, within)), f"segment string, doc_no int, doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
         out = part if out is None else out.unionByName(part)
         blocks += 1
     if blocks == 1:
@@ -218,10 +217,9 @@ def _searcher(sent, window: int, within: int | None):
 
 
 def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.RecordBatch:
-    row = {name: b.column(i)[0].as_py() for i, name in enumerate(b.schema.names) if name in ("terms", "ends", "postings")}
     firsts = b.column(1).flatten().to_numpy()
     n_words = b.column(2).flatten().to_numpy().astype(np.int64)
-    segment = Segment(row)
+    segment = Segment(b)
     owner = lambda p: np.searchsorted(firsts, p, side="right") - 1
     total = int(firsts[-1] + n_words[-1] + 1) if len(firsts) else 0
     marks = np.zeros(total + 1, np.int32)
@@ -243,10 +241,12 @@ def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.Recor
     spans = np.stack([begin - firsts[doc], stop - 1 - firsts[doc]], axis=1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
     pairs = list_array(spans.reshape(-1), np.full(len(spans), 2))
     named = [sorted(items.get(d, ())) for d in range(len(firsts))]
-    name = hashlib.sha256(b"".join([row["terms"], row["postings"], str(b.column(0)[0]).encode()])).hexdigest()
+    name = hashlib.sha256(str(b.column(0)[0]).encode())
+    for part in (segment.terms, segment.postings):
+        name.update(part.tobytes())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([name] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype=np.int32)), b.column(0).flatten(), pa.array(n_words),
+            pa.array([name.hexdigest()] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype=np.int32)), b.column(0).flatten(), pa.array(n_words),
             list_array(pairs, np.bincount(doc, minlength=len(firsts))), pa.array(named, pa.list_(pa.string())),
         ],
         ["segment", "doc_no", "doc_id", "n_words", "spans", "items"],

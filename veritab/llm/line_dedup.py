@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import staged
+from veritab.llm.common import staged, tidied
 
 #: log2 of the registers of a sketch: a standard error of about 1.6 %.
 PRECISION = 12
@@ -73,13 +73,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4,
     if bad.count() <= SMALL:
         # A bounded set of hashes, which each task looks lines up in.
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r.hash for r in bad.toLocalIterator()))
-        return docs.mapInArrow(_remover(at, most, known, False), docs.schema)
+        return docs.mapInArrow(tidied(_remover(at, most, known, False)), docs.schema)
     # The verdict on a text depends on the text alone, so it is joined by the text's hash.
     text_hash = F.xxhash64(F.col(text_col))
     own = docs.select(text_hash.alias("__text"), F.explode(F.array_distinct(F.transform(_lines(text_col), lambda x: F.xxhash64(_stripped(x))))).alias("hash")).distinct()
     per_text = own.join(bad, "hash", "left_semi").groupBy("__text").agg(F.collect_set("hash").alias("__bad"))
     marked = docs.withColumn("__text", text_hash).join(per_text, "__text", "left").drop("__text")
-    return marked.mapInArrow(_remover(at, most, None, True), docs.schema)
+    return marked.mapInArrow(tidied(_remover(at, most, None, True)), docs.schema)
 
 
 def _remover(at: int, most: float, known, listed: bool):

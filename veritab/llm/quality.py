@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import byte_tokens, mix, slices, staged, text_bytes
+from veritab.llm.common import byte_tokens, mix, slices, staged, text_bytes, tidied
 
 #: Features of each kind (words, word pairs): the models hold twice as many counts, whatever the input.
 FEATURES = 1 << 17
 #: Text bytes worked on at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: 0 white space, 1 letters, digits and what is beyond ASCII, 2 all else.
 KINDS = np.full(256, 2, np.uint8)
 KINDS[[9, 10, 11, 12, 13, 32]] = 0
@@ -74,7 +74,7 @@ def count_features(docs: DataFrame, text_col: str, flag_col: str) -> np.ndarray:
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["feature", "raw", "target"])
 
-    parts = docs.select(text_col, flag_col).mapInArrow(run, "feature int, raw long, target long")
+    parts = docs.select(text_col, flag_col).mapInArrow(tidied(run), "feature int, raw long, target long")
     # At most 2 * FEATURES rows, a fixed bound.
     rows = parts.groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     out = np.zeros((2, 2 * FEATURES), np.int64)
@@ -131,7 +131,7 @@ def weigh(docs: DataFrame, ratios, window: int, text_col: str = "text", out_col:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray, clean_weight: float) -> float:

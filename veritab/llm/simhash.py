@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import BASE, mapped, mix, staged
+from veritab.llm.common import BASE, mapped, mix, staged, tidied
 from veritab.llm.graph import components
 
 #: Nodes of a bucket from which it is dealt into chunks of this size.
@@ -43,7 +43,7 @@ SPLIT = 8192
 #: Rows to drop up to which they are sent to every task.
 SMALL = 200_000
 #: Rows that a comparing task works on at once, and word pairs of a step.
-ROWS, STEP = 1 << 18, 4096
+ROWS, STEP = 1 << 17, 4096
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -253,7 +253,7 @@ def links(nodes: DataFrame, radius: int, width: int) -> DataFrame:
             all_keys = np.concatenate(keys)
             yield found(fps, np.cumsum(np.append(True, (all_keys[1:] != all_keys[:-1]).any(axis=1))))
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: int = 1, smallest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import file_system, shared_folder, staged
+from veritab.llm.common import file_system, shared_folder, staged, tidied
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -123,7 +123,7 @@ def write_archives(rows: DataFrame, folder: str | None = None) -> DataFrame:
         if some[0]:
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return staged(rows.mapInArrow(run, "path string"), "archives")
+    return staged(rows.mapInArrow(tidied(run), "path string"), "archives")
 
 
 class _Inflated:
@@ -189,7 +189,7 @@ def normalise(archives: DataFrame, folder: str | None = None) -> DataFrame:
                 listed = _put(folder, f"{name}.idx", lambda f, index=index: f.write("".join(json.dumps(x) + "\n" for x in index).encode()))
                 yield pa.RecordBatch.from_pydict({"path": [out], "index_path": [listed]})
 
-    return staged(archives.mapInArrow(run, "path string, index_path string"), "normalised")
+    return staged(archives.mapInArrow(tidied(run), "path string, index_path string"), "normalised")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -234,4 +234,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archives.mapInArrow(tidied(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -67,3 +67,14 @@ def test_proximity(spark):
     b = spark.createDataFrame([("q", "gamma alpha beta")], "item_id string, text string")
     found = decontam.search(decontam.build_index(d), b, within=5)
     assert sorted(r.doc_id for r in found.collect() if r["items"]) == [1, 4]
+
+
+def test_equal_segments_stay_apart(spark, data, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT", 60)  # each of these documents is a segment
+    _, items = data
+    docs = [(7, "x1 " * 30 + items[4][1])] * 3 + [(8, "x1 " * 30)] * 2
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.search(decontam.build_index(d.union(d)), b, block_bytes=400)
+    got = [(r.doc_id, r.n_words, r.n, r.items) for r in found.select("doc_id", "n_words", decontam.n_hit().alias("n"), "items").collect()]
+    assert sorted(got) == sorted(brute(docs + docs, items))

@@ -3,6 +3,7 @@
 The index is split by documents: a segment holds the postings of every token of
 about one MB of text. Its rows are
 
+    segment                             a name that no other segment has
     doc_ids, first_positions, n_words   one entry for each document
     terms, ends, postings               sorted 64-bit term hashes, where each
                                         term's positions end, the positions
@@ -10,7 +11,8 @@ about one MB of text. Its rows are
 Positions run through the segment with a gap between documents, so a phrase
 can't cross from one into the next. Segments are made by each task from
 its own rows; nothing is shuffled, and a document's words stay together, however
-common a term is.
+common a term is. Each segment gets a name of its own when it is written, so two
+segments of equal content stay two.
 
 A search takes a size-checked block of benchmark items to every segment. A window's
 terms are ordered by the length of their lists; starting from the
@@ -28,7 +30,7 @@ rows (documents) or no hits (benchmark). Extra columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +45,12 @@ SEGMENT, BLOCK = 1 << 20, 1 << 25
 #: 1 for the bytes of words: digits, letters, everything beyond ASCII.
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_SEGMENT = "doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, terms binary, ends binary, postings binary"
+_SEGMENT = "segment string, doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, terms binary, ends binary, postings binary"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each segment; every row of docs is in exactly one."""
+    """One row for each segment, stored in the shared folder: names are drawn at random, so
+    they hold only once they are written. Every row of docs is in exactly one segment."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -62,6 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True)) if len(h) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([uuid.uuid4().hex]),
                         list_array(b.column(0).slice(i, j - i), np.array([j - i])),
                         list_array(firsts.astype(np.int32), np.array([j - i])),
                         list_array(n_words.astype(np.int32), np.array([j - i])),
@@ -69,10 +73,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         pa.array([(last + 1).astype(np.int32).tobytes()], pa.binary()),
                         pa.array([(order + row[order]).astype(np.int32).tobytes()], pa.binary()),
                     ],
-                    ["doc_ids", "first_positions", "n_words", "terms", "ends", "postings"],
+                    ["segment", "doc_ids", "first_positions", "n_words", "terms", "ends", "postings"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(tidied(run), _SEGMENT.format(kind=kind))
+    return staged(docs.select(id_col, text_col).mapInArrow(tidied(run), _SEGMENT.format(kind=kind)), "postings")
 
 
 class Segment:
@@ -80,7 +84,7 @@ class Segment:
 
     def __init__(self, b: pa.RecordBatch):
         view = lambda k, kind: np.frombuffer(b.column(k)[0].as_buffer(), kind)
-        self.terms, ends, self.postings = view(3, np.uint64), view(4, np.int32), view(5, np.int32)
+        self.terms, ends, self.postings = view(4, np.uint64), view(5, np.int32), view(6, np.int32)
         self.starts, self.ends = np.append(np.int32(0), ends[:-1]), ends
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +221,8 @@ def _searcher(sent, window: int, within: int | None):
 
 
 def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.RecordBatch:
-    firsts = b.column(1).flatten().to_numpy()
-    n_words = b.column(2).flatten().to_numpy().astype(np.int64)
+    firsts = b.column(2).flatten().to_numpy()
+    n_words = b.column(3).flatten().to_numpy().astype(np.int64)
     segment = Segment(b)
     owner = lambda p: np.searchsorted(firsts, p, side="right") - 1
     total = int(firsts[-1] + n_words[-1] + 1) if len(firsts) else 0
@@ -241,12 +245,9 @@ def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.Recor
     spans = np.stack([begin - firsts[doc], stop - 1 - firsts[doc]], axis=1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
     pairs = list_array(spans.reshape(-1), np.full(len(spans), 2))
     named = [sorted(items.get(d, ())) for d in range(len(firsts))]
-    name = hashlib.sha256(str(b.column(0)[0]).encode())
-    for part in (segment.terms, segment.postings):
-        name.update(part.tobytes())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([name.hexdigest()] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype=np.int32)), b.column(0).flatten(), pa.array(n_words),
+            pa.array([b.column(0)[0].as_py()] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype=np.int32)), b.column(1).flatten(), pa.array(n_words),
             list_array(pairs, np.bincount(doc, minlength=len(firsts))), pa.array(named, pa.list_(pa.string())),
         ],
         ["segment", "doc_no", "doc_id", "n_words", "spans", "items"],
@@ -255,7 +256,7 @@ def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.Recor
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """search over an index of docs that is stored in the shared folder."""
-    return search(staged(build_index(docs, id_col, text_col), "postings"), benchmark, window, item_col, text_col)
+    return search(build_index(docs, id_col, text_col), benchmark, window, item_col, text_col)
 
 
 def n_hit(spans: str = "spans") -> F.Column:

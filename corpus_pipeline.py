@@ -34,9 +34,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4 on five-word shingles: one document of each group stays.
 
     A similarity of 0.8 means shingle sets at an angle of 27 degrees, 39 of 256 bits on average
-    with a deviation of 6; unrelated texts differ in 128. Links reach to 44 bits.
+    with a deviation of 6; unrelated texts differ in 128. Candidates reach to 70 bits, and the
+    similarity of their shingle sets decides.
     """
-    return simhash.keep_one(docs, shingle=5, radius=44, width=4, smallest=8)
+    return simhash.keep_one(docs, shingle=5, radius=70, width=4, smallest=8, least=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

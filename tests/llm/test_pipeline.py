@@ -11,6 +11,7 @@ from .test_decontam import brute as brute_hits
 from .test_lines_and_quality import brute_lines
 from .test_simhash import brute_labels
 
+VOCABULARY = [f"word{i}" for i in range(2000)]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -85,6 +86,31 @@ def test_each_stage(spark, sf_dir):
     assert sorted((str(r.doc_id), list(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
+@pytest.mark.parametrize(("split", "held"), [(simhash.SPLIT_SETS, simhash.HELD), (3, 0)])
+def test_near_dedup_against_brute_force_similarity(spark, monkeypatch, split, held):
+    monkeypatch.setattr(simhash, "SPLIT_SETS", split)
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng = random.Random(9)
+    texts = [None, "", " \t", "two words", "Two  words"]
+    for k in range(40):
+        words = [rng.choice(VOCABULARY) for _ in range(200)]
+        texts.append(" ".join(words))
+        # 196 shingles; each changed word replaces five, so similarities go from 0.95 to 0.60 across 0.8.
+        for at in range(10, 10 + 10 * (1 + k % 10), 10):
+            words[at] = f"new{k}x{at}"
+        texts.append(" ".join(words))
+    texts += [texts[5] + " " + " ".join(f"tail{k}x{j}" for j in range(8 * k)) for k in range(12)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (not x and not y) or (x | y and len(x & y) >= 0.8 * len(x | y)):
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 0)], COLUMNS).repartition(3)
+    kept = corpus_pipeline.dedup_near(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     for name in ("labels", "benchmark", "documents"):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,11 @@ pair of blocks is one table of buckets and no link is lost. A radius too wide fo
 (the pipeline's) takes the smallest shingle hashes of a text as its buckets: texts with a
 similarity s miss each other in all m buckets with a chance of about (1 - s) ** m.
 
+Exact similarity (``similar``, the pipeline's). Fingerprints of distinct shingles only propose candidates
+there, with a radius so wide that a pair at the wanted similarity passes it but for a chance
+of 1e-7. Texts with a candidate then meet the others of their candidate component with their whole shingle sets,
+and a link is what shares at least that part of both sets.
+
 Comparison. The fingerprints of a bucket are stored vertically: plane b holds bit
 b of 64 of them to a word. For each fingerprint of a word, its bits are spread over all
 lanes, XORed with the planes of another word, and counted by carry-save adders
@@ -40,6 +45,10 @@ from veritab.llm.graph import components
 
 #: Nodes of a bucket from which it is dealt into chunks of this size.
 SPLIT = 8192
+#: Nodes and bytes of shingle sets of a candidate component from which it is dealt into chunks of about this size.
+SPLIT_SETS, SPLIT_BYTES = 1024, 1 << 23
+#: Bytes of shingle sets that a confirming task works on at once, besides its last group.
+HELD = 1 << 24
 #: Rows to drop up to which they are sent to every task.
 SMALL = 200_000
 #: Rows that a comparing task works on at once, and word pairs of a step.
@@ -171,8 +180,39 @@ def _roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def linked(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """The least linked row of each row; rows are sorted by group and linked only within one."""
+def _confirmed(label: np.ndarray, i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the candidate pairs (i, j) whose sets have a Jaccard similarity of ``least`` or more; pairs that are joined already are left out."""
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    open_ = (label[i] != label[j]) & (small >= least * large)
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    keep = []
+    for k in np.flatnonzero(open_):
+        a, b = root(int(label[i[k]])), root(int(label[j[k]]))
+        if a == b:
+            continue
+        x, y = sets[i[k]], sets[j[k]]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+        if common >= least * (len(x) + len(y) - common):
+            keep.append(k)
+            up[max(a, b)] = min(a, b)
+    return i[keep], j[keep]
+
+
+def linked(fps: np.ndarray, group: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0) -> np.ndarray:
+    """The least linked row of each row; rows are sorted by group and linked only within one.
+
+    With ``sets``, the sorted shingle hashes of each row, a link is confirmed by their similarity.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64) if sets is not None else None
     n = len(fps)
     label = np.arange(n)
     if n < 2:
@@ -206,14 +246,15 @@ def linked(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             index, alive = lanes_within(planes, w1, w2, lane, mask, radius)
             if len(index):
                 row, bit = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                _roots(label, i[index[row]], w2[index[row]] * 64 + bit)
+                x, y = i[index[row]], w2[index[row]] * 64 + bit
+                _roots(label, *((x, y) if sets is None else _confirmed(label, x, y, sets, sizes, least)))
     return label
 
 
 def links(nodes: DataFrame, radius: int, width: int) -> DataFrame:
     """(a, b) fingerprints: a spanning forest of the links inside each bucket.
 
-    nodes: (fp, key), one row for each bucket of each distinct fingerprint.
+    nodes: (fp, key), one row for each bucket of each distinct fingerprint. Words of fp after the first ``width`` only tell nodes apart.
     """
     sizes = nodes.groupBy("key").count().where(F.col("count") > SPLIT)
     hot = staged(sizes.select(F.col("key"), F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks")), "hot")
@@ -229,7 +270,7 @@ def links(nodes: DataFrame, radius: int, width: int) -> DataFrame:
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def found(fps: list[bytes], group: np.ndarray):
-        values = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, width)
+        values = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)[:, :width]
         label = linked(values, group, radius)
         rows = np.flatnonzero(label != np.arange(len(label)))
         pick = lambda at: pa.array([fps[i] for i in at], pa.binary())
@@ -278,16 +319,94 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: i
     return prints.select(id_col, "fp").join(named, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, width: int, smallest: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, keys, size): as fingerprints, but of distinct shingles, and fp goes on with 16 bytes that name the set of shingles."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps, keys, sizes = [], [], []
+        for t in b.column(1):
+            h = np.unique(shingle_hashes(t.as_py(), shingle))
+            fps.append(fingerprint(h, width).tobytes() + xxhash.xxh3_128_digest(h.tobytes()))
+            keys.append(np.sort(mix(h ^ np.uint64(BASE)))[:smallest].view(np.int64))
+            sizes.append(len(h))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], [id_col, "fp", "keys", "size"])
+
+    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp binary, keys array<bigint>, size bigint")
+
+
+def confirmed_links(sets: DataFrame, radius: int, width: int, shingle: int, least: float) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each chunk pair (root, x, y). sets: (text, fp, root, x, y)."""
+    dealt = sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+
+    def found(fps: list[bytes], sets: list[np.ndarray], group: np.ndarray):
+        values = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)[:, :width]
+        label = linked(values, group, radius, sets, least)
+        rows = np.flatnonzero(label != np.arange(len(label)))
+        pick = lambda at: pa.array([fps[i] for i in at], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(label[rows]), pick(rows)], ["a", "b"])
+
+    def run(batches):
+        fps, sets, group, last, no, held = [], [], [], None, 0, 0
+        for b in batches:
+            for text, fp, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != last:
+                    if fps and held >= HELD:
+                        yield found(fps, sets, np.array(group))
+                        fps, sets, group, held = [], [], [], 0
+                    last, no = at, no + 1
+                fps.append(fp)
+                sets.append(np.unique(shingle_hashes(text, shingle)))
+                group.append(no)
+                held += sets[-1].nbytes
+        if fps:
+            yield found(fps, sets, np.array(group))
+
+    return dealt.mapInArrow(tidied(run), "a binary, b binary")
+
+
+def similar(docs: DataFrame, least: float, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): one row for each row of docs; links are pairs of texts that share ``least`` of their distinct shingles or more.
+
+    Equal ids must have equal texts. Only texts with a candidate are read again, one for each distinct set of shingles.
+    """
+    prints = staged(shingle_sets(docs, shingle, width, smallest, id_col, text_col), "fingerprints")
+    nodes = prints.select("fp", F.explode("keys").alias("key")).distinct()
+    near = components(links(nodes, radius, width)).select(F.col("node").alias("fp"), "root")
+    named = prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("size").alias("size"))
+    near = staged(named.join(near, "fp"), "candidates")
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / SPLIT_SETS, F.sum("size") * 8 / SPLIT_BYTES)).cast("int")
+    hot = staged(near.groupBy("root").agg(chunks.alias("chunks")).where("chunks > 1"), "hot")
+    few = lambda df: F.broadcast(df) if df.count() <= SMALL else df
+    near = near.join(few(hot), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    near = near.select(F.col("least").alias(id_col), "fp", "root", "chunks")
+    sets = docs.select(id_col, text_col).join(few(near), id_col).dropDuplicates(["fp"])  # rows may repeat
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sets = sets.select(text_col, "fp", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    roots = components(confirmed_links(sets, radius, width, shingle, least))
+    named = named.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(first, "root").select("fp", "component_id")
+    return prints.select(id_col, "fp").join(named, "fp").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with one row of each component: of the least id, and of its least text hash where ids repeat.
 
+    With ``least``, links are pairs of that shingle similarity or more, else pairs of fingerprints within the radius.
+
     Only ids and hashes are compared; the rows to drop are sent to every task
     if there are at most SMALL of them, and joined otherwise.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")).alias("row"), F.col(text_col).alias("text"))
     rows = rows.select(F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.hash").alias("row"), "text")
-    found = staged(near_duplicates(rows, shingle, radius, width, smallest, "row", "text").select("row", "component_id"), "components")
+    if least is None:
+        found = near_duplicates(rows, shingle, radius, width, smallest, "row", "text").select("row", "component_id")
+    else:
+        found = similar(rows, least, shingle, radius, width, smallest, "row", "text")
+    found = staged(found, "components")
     dropped = found.where("row != component_id").select("row").distinct()
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("hash"))
     if dropped.count() <= SMALL:

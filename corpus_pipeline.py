@@ -25,8 +25,15 @@ def resample_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: cross-site boilerplate lines go; n_chars follows the text, no row is dropped."""
-    done = line_dedup.remove_boilerplate(docs)
+    """Operator 9: cross-site boilerplate lines go; n_chars follows the text, no row is dropped.
+
+    Texts that share half of their five-word shingles or more are copies, in chains too. One of each
+    group counts for a line's sites, so what only copies share stays for the next stage, and every
+    boilerplate line goes, however much of its document it is. At a similarity of 0.5
+    fingerprints differ in 69 of 256 bits on average with a deviation of 7.
+    """
+    counted = simhash.keep_one(docs, shingle=5, radius=100, width=4, smallest=8, least=0.5)
+    done = line_dedup.remove_boilerplate(docs, most=1.0, counted=counted)
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

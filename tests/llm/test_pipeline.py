@@ -86,6 +86,19 @@ def test_each_stage(spark, sf_dir):
     assert sorted((str(r.doc_id), list(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
+def test_every_boilerplate_line_goes(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    footer, notice, passage = text(6), text(7), [text(30), text(40)]
+    # Two of three lines are boilerplate; boilerplate is most of the characters; copies; copies with a word of their own.
+    rows = [(i, f"site{i}", f"{text(60)}\n{footer}\n{notice}") for i in range(6)] + [(10 + i, f"site{i}", f"own {i} words\n{footer}") for i in range(2)]
+    rows += [(20 + i, f"site{i}", "\n".join([*passage, footer])) for i in range(6)] + [(30 + i, f"site{i}", "\n".join([*passage, f"edited {i} " + text(3)])) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, s, t in rows], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if x not in (footer, notice)) for i, _, t in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 @pytest.mark.parametrize(("split", "held"), [(simhash.SPLIT_SETS, simhash.HELD), (3, 0)])
 def test_near_dedup_against_brute_force_similarity(spark, monkeypatch, split, held):
     monkeypatch.setattr(simhash, "SPLIT_SETS", split)

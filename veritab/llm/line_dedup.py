@@ -10,6 +10,10 @@ A document most of whose characters or lines would go is a copy of documents els
 rather than a page around boilerplate. It stays whole: dropping copies is the work of near-dedup,
 and here a group of copies would lose every one of its texts.
 
+A caller that knows copies by better evidence than such a share passes ``counted``, the documents
+that stand for all (one of each group of copies): only their sites count then, a passage of copies
+is on one site only, and with ``most`` at 1 every boilerplate line goes from every document.
+
 Lines are cut at \\n and compared without white space at their ends. Lines of fewer than
 ``min_words`` words are too short to tell chance from copying and always stay.
 
@@ -63,12 +67,13 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4, site_co
     return sure.union(exact.where(F.col("sites") >= min_sites).select("hash"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4, most: float = 0.5, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 4, most: float = 0.5, site_col: str = "source", text_col: str = "text", counted: DataFrame | None = None) -> DataFrame:
     """docs with its boilerplate lines removed from the text, and every other column as it was.
 
     A document that would lose more than ``most`` of its characters (line ends left out) or lines stays whole.
+    Sites are counted over ``counted``, or else over docs.
     """
-    bad = staged(boilerplate(docs, min_sites, min_words, site_col, text_col), "boilerplate")
+    bad = staged(boilerplate(docs if counted is None else counted, min_sites, min_words, site_col, text_col), "boilerplate")
     at = docs.columns.index(text_col)
     if bad.count() <= SMALL:
         # A bounded set of hashes, which each task looks lines up in.

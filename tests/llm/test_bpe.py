@@ -7,6 +7,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from veritab.llm import bpe, token_store  # noqa: E402
+from veritab.llm.common import Store  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -48,21 +49,52 @@ def test_merges_against_brute_force():
     rng = random.Random(3)
     for n in [0, 1, 2, 3, 31, 32, 33, 64, 65, 200] * 6:
         ranks, merged, top = {}, [], 6
-        for rank in range(40):
+        for _ in range(40):
             a, b = rng.randrange(top), rng.randrange(top)
             if (a << bpe.SIDE | b) not in ranks:
                 ranks[a << bpe.SIDE | b] = len(merged)
                 merged.append(top)
                 top += 1
-        symbols = [rng.randrange(6) for _ in range(n)]
-        assert bpe.merge(list(symbols), ranks, merged) == brute(symbols, ranks, merged)
+        words = [[rng.randrange(6) for _ in range(rng.randrange(n + 1))] for _ in range(20)]
+        want = [brute(w, ranks, merged) for w in words]
+        assert [bpe.merge(list(w), ranks, merged) for w in words] == want
+        grid = np.full((20, 1 << max(0, n - 1).bit_length()), -1, np.int64)
+        for row, w in zip(grid, words, strict=True):
+            row[: len(w)] = w
+        done = bpe.merge_side_by_side(grid, bpe.PairRanks(ranks, merged))
+        assert [[int(x) for x in row if x >= 0] for row in done] == want
+
+
+def test_store_keeps_results_when_full():
+    rng = random.Random(1)
+    store = Store(lambda keys: [k * 2 for k in keys], 5, {"x": 1})
+    for _ in range(200):
+        wanted = {str(rng.randrange(9)) for _ in range(rng.randrange(5))} | {"x"}
+        have = store.learned(wanted)
+        assert {k: have[k] for k in wanted} == {k: 1 if k == "x" else k * 2 for k in wanted}
+        assert len(store.new) <= 6
+
+
+def test_whole_documents_as_the_library(spark):
+    """Every document of the smallest tables, each word of which goes through the tree; a store that overflows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    t = library(WORD)
+    got = {r.doc_id: r for r in bpe.round_trip(docs, WORD).collect()}
+    for d in docs.collect():
+        ids = t.encode(d.text or "", add_special_tokens=False).ids
+        assert list(got[d.doc_id].ids) == ids
+        assert got[d.doc_id].decoded == t.decode(ids, skip_special_tokens=False)
 
 
-def test_store_keeps_results_when_full(monkeypatch):
-    monkeypatch.setattr(bpe, "STORE", 5)
-    store = bpe._Store(lambda k: k * 2)
-    for k in [str(i % 9) for i in range(60)]:
-        assert store[k] == k * 2 and len(store) <= 5
+def test_words_of_megabytes(spark):
+    """A word's cost grows with n log n; the library checks a shorter one."""
+    t = library(WORD)
+    rng = random.Random(5)
+    for text in ["".join(rng.choice("abc") for _ in range(20_000)), "ab" * 10_000]:
+        assert np.frombuffer(bpe.load(WORD).encode([text])[0], np.int32).tolist() == t.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame([(1, "a" * 1_000_000), (2, "word " * 400_000)], "doc_id long, text string")
+    sizes = {r.doc_id: len(r.ids) for r in bpe.encode_documents(rows, WORD).collect()}
+    assert sizes[2] == 400_000 and sizes[1] > 0
 
 
 def test_shards(spark):

@@ -79,6 +79,34 @@ def tidied(run):
     return wrapped
 
 
+class Store:
+    """key -> value by ``make``, which takes many keys at a time; values are kept in two halves.
+
+    What is asked for again outlives what isn't: when the new half has ``most`` entries it
+    becomes the older half, from which entries are taken back. ``fixed`` entries are always there.
+    """
+
+    def __init__(self, make: Callable[[list], list], most: int, fixed: dict | None = None):
+        self.make, self.most, self.fixed = make, most, fixed or {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.old = dict(self.fixed), {}
+
+    def learned(self, wanted: set) -> dict:
+        """A dictionary that has every wanted key."""
+        missing = wanted - self.new.keys()
+        if missing and len(self.new) + len(missing) > self.most:
+            self.old, self.new = self.new, dict(self.fixed)
+            missing = wanted - self.new.keys()
+        back = missing & self.old.keys()
+        self.new.update({k: self.old[k] for k in back})
+        unknown = list(missing - back)
+        if unknown:
+            self.new.update(zip(unknown, self.make(unknown), strict=True))
+        return self.new
+
+
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with f called on each batch."""
 

@@ -119,6 +119,44 @@ def test_shards(spark):
     assert token_store.read_shards(token_store.write_shards(docs.limit(0), BYTE, shards=2)).count() == 0
 
 
+def swapped(n):
+    """Two words of 2 ** n letters that no polynomial modulo 2 ** 64 tells apart, once n is 10 or so."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_as_the_library(spark):
+    """Whole documents and hard texts; words whose hashes may collide; a store that overflows."""
+    t = library(BYTE)
+    a, b = swapped(10)
+    texts = [*TEXTS, a, b, f"{a} {b}", "é\u2028x", "x\n", "\nx", "x \ny", "\n", " ", "a\u00a0b", "tab\tx", "'s\n's", "<|endoftext|>", "x <|endoftext|>\n y"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    encoder = token_store.PieceEncoder(BYTE)
+    encoder.store.most = 500
+    for at in range(0, len(texts), 17):
+        part = texts[at : at + 17]
+        for text, got in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(got, np.uint32).tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_digest_columns(spark):
+    """The registered query against the library and zlib on the smallest tables."""
+    import zlib
+
+    from veritab.llm import queries
+
+    t = library(BYTE)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    start, want = 0, []
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        ids = np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 0], np.uint32)
+        want.append((d.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op7_token_store(spark, "/root/testdata/sf0.001").collect())) == want
+
+
 def test_blocks_share_prefixes_and_detect_damage(tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK", 64)
     path = tmp_path / "x.sst"

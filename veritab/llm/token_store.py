@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import file_system, run_hashes, shared_folder, slices, staged, text_bytes, tidied
+from veritab.llm.common import Store, file_system, shared_folder, slices, staged, text_bytes, tidied
 
 MAGIC = b"VTSST001"
 _FOOTER = "<QQQQQQI8s"
@@ -49,8 +49,8 @@ BLOCK = 1 << 16
 END_ID = 0
 #: Text bytes that are encoded at once; a longer document is encoded alone.
 PIECE = 1 << 20
-#: Pieces kept with their ids in each half of a Python worker's store.
-STORE = 600_000
+#: Pieces kept with their ids in each half of a Python worker's store, and new pieces that the library takes at once.
+STORE, TOGETHER = 600_000, 4096
 
 
 def varint(n: int) -> bytes:
@@ -208,22 +208,18 @@ class Reader:
         return out
 
 
-#: Bytes that end a chunk of plain text; other white space makes a text uneven.
-SPACE, LINE_END = 32, 10
-#: Two or three bytes of each white space character beyond ASCII (fixed values), and white space within ASCII.
-WIDE_SPACES = {(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), *((0xE2, 0x80, x) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)}
-NARROW_SPACES = np.isin(np.arange(256), [9, 11, 12, 13])
-
-
 class PieceEncoder:
     """The tokenizers library behind a store of pieces.
 
     A byte-level BPE file cuts text into pieces that never affect each other, so equal
     pieces have equal ids. In even text (words stand apart by single spaces or line ends) every cut before such a
-    space and around a line end is one of the file's own. Even texts of a batch are cut so
-    at once, their chunks told apart by 64-bit hash and length, and each different
-    chunk is looked up or encoded by the library. Other texts are cut by the file's
-    pattern, and a text with a special token's string is encoded as a whole.
+    space and around a line end is one of the file's own, so its chunks are found by
+    splitting strings. Other texts are cut by the file's pattern, and a text with a special token's
+    string is encoded as a whole. Stored pieces are told apart by the pieces themselves.
+
+    New pieces go to the library together, a line end between two of them: it is a piece of its own
+    before whatever isn't white space, and its id occurs in no other piece. So the ids between two
+    line ends are those of one piece.
     """
 
     #: The usual cut of byte-level BPE files (a fixed value), with white space as Unicode defines it.
@@ -239,91 +235,51 @@ class PieceEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = regex.compile(self.CUT).findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.store = Store(self.encode_pieces, STORE)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        # A piece with white space behind its first character, or without anything else, is encoded alone.
+        plain = [i for i, p in enumerate(pieces) if (p[1:] if p[0] == " " else p).split() == [p.lstrip(" ")]]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer file doesn't keep line ends apart")
+            flat, stops = ids.tobytes(), (4 * stops).tolist()
+            for i, a, b in zip(some, [0, *[x + 4 for x in stops]], stops, strict=False):
+                out[i] = flat[a:b]
+        rest = sorted(set(range(len(pieces))) - set(plain))
+        for i, value in zip(rest, self.ids([pieces[i] for i in rest]), strict=True):
+            out[i] = value
+        return out
+
+    def pieces(self, text: str) -> list[str]:
+        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return self.cut(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-        even = self._even(data, offsets)
         out: list[bytes] = [b""] * len(texts)
-        if even.any():
-            for i, value in zip(np.flatnonzero(even).tolist(), self._encode_even(data, offsets, even), strict=True):
-                out[i] = value
-        for i in np.flatnonzero(~even).tolist():
-            out[i] = self._encode_other(texts[i]) if texts[i] else b""
-        return out
-
-    def _encode_other(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.ids([text])[0]
-        pieces = self.cut(text)
-        self._learn(set(pieces))
-        return b"".join(map(self.new.__getitem__, pieces))
-
-    def _even(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which texts are even: not empty, no white space at the ends or side by side, none but spaces and line ends, no special token."""
-        out = np.diff(offsets) > 0
-        if not len(data):
-            return out
-        blank = (data == SPACE) | (data == LINE_END)
-        odd = [np.flatnonzero(NARROW_SPACES[data]), np.flatnonzero(blank[1:] & blank[:-1])]
-        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
-            at = np.flatnonzero(data[:-1] == lead)
-            for space in (w for w in WIDE_SPACES if w[0] == lead):
-                inside = at[at + len(space) <= len(data)]
-                hit = np.ones(len(inside), bool)
-                for k in range(1, len(space)):
-                    hit &= data[inside + k] == space[k]
-                odd.append(inside[hit])
-        for token in self.special:
-            raw = np.frombuffer(token.encode(), np.uint8)
-            at = np.flatnonzero(data[: len(data) - len(raw) + 1] == raw[0]) if len(data) >= len(raw) else np.zeros(0, np.int64)
-            for k in range(1, len(raw)):
-                at = at[data[at + k] == raw[k]]
-            odd.append(at)
-        out[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
-        some = np.flatnonzero(np.diff(offsets) > 0)
-        out[some] &= ~blank[offsets[some]] & ~blank[offsets[some + 1] - 1]
+        cut, whole = {}, []
+        for i, text in enumerate(texts):
+            if text and any(s in text for s in self.special):
+                whole.append(i)
+            elif text:
+                cut[i] = self.pieces(text)
+        for i, value in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
+            out[i] = value
+        get = self.store.learned(set().union(*cut.values())).__getitem__
+        for i, pieces in cut.items():
+            out[i] = b"".join(map(get, pieces))
         return out
 
-    def _encode_even(self, data: np.ndarray, offsets: np.ndarray, even: np.ndarray) -> list[bytes]:
-        start = (data == SPACE) | (data == LINE_END)
-        start[1:] |= data[:-1] == LINE_END
-        start[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(start)
-        ends = np.append(starts[1:], len(data))
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        keep = even[row]
-        starts, ends, row = starts[keep], ends[keep], row[keep]
-        _, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        view = memoryview(data.tobytes())
-        chunks = [str(view[s:e], "utf-8") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        self._learn(set(chunks))
-        known = list(map(self.new.__getitem__, chunks))
-        lengths = np.array([len(k) // 4 for k in known], np.int64)
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        counts = lengths[which]
-        done = np.cumsum(counts)
-        ids = flat[np.repeat(begins[which] - (done - counts), counts) + np.arange(int(done[-1]))]
-        stops = done[np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1)].tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)]
-
-    def _learn(self, wanted: set[str]) -> None:
-        """See that the store has all of wanted. When it is full it becomes the older half, from which pieces are taken back."""
-        if len(self.new) + len(wanted) > STORE:
-            self.old, self.new = self.new, {}
-        missing = wanted - self.new.keys()
-        back = {p: self.old[p] for p in missing & self.old.keys()}
-        self.new.update(back)
-        unknown = list(missing - back.keys())
-        if unknown:
-            self.new.update(zip(unknown, self.ids(unknown), strict=True))
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:

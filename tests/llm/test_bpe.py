@@ -97,11 +97,14 @@ def test_words_of_megabytes(spark):
     assert sizes[2] == 400_000 and sizes[1] > 0
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("file_bytes", [token_store.FILE, 40])
+def test_shards(spark, monkeypatch, file_bytes):
+    monkeypatch.setattr(token_store, "FILE", file_bytes)
     t = library(BYTE)
     rows = [(i * 3 % 50, x, "clash") for i, x in enumerate(TEXTS * 2)] + [(None, "null id", "c"), (None, None, "c"), (-5, "minus", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     manifest = token_store.write_shards(docs, BYTE, shards=3)
+    assert manifest.count() > 3 or file_bytes > 40
     back = token_store.read_shards(manifest).collect()
     assert len(back) == len(rows)
     back.sort(key=lambda r: r.start)

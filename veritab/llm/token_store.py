@@ -15,8 +15,9 @@ filter, finds the block by binary search in the index, and reads that block alon
 
 Writing range-partitions by identifier (Spark samples the ranges and sorts each outside
 memory if need be); equal identifiers may fall into several shards, as ties are dealt by
-the hash of the text. A task writes to a name of its own and moves the finished shard to its final
-place, so a repeated task does no harm.
+the hash of the text. The number of ranges follows the bytes of text, and a range that turns out larger goes on in a further
+file, so neither a task's keys nor a file grow with the table. A task writes to a name of its own and moves
+the finished shard to its final place, so a repeated task does no harm.
 
 Defined results: null text is empty (its document is the end id alone). Documents with equal ids
 follow each other in the order of their text's hash and text. Empty tables give no shards. Extra columns are
@@ -46,6 +47,8 @@ MAGIC = b"VTSST001"
 _FOOTER = "<QQQQQQI8s"
 #: Bytes of a block before compression; a larger value is a block of its own.
 BLOCK = 1 << 16
+#: Text bytes that a range is meant to hold, and packed bytes from which a further file is begun.
+RANGE, FILE = 1 << 27, 1 << 28
 END_ID = 0
 #: Text bytes that are encoded at once; a longer document is encoded alone.
 PIECE = 1 << 20
@@ -288,44 +291,65 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Write docs in ascending order of id; (shard, path, size, entries, tokens, first_id, last_id) of each shard."""
+    """Write docs in ascending order of id; (shard, part, path, size, entries, tokens, first_id, last_id) of each file.
+
+    ``shards`` is the number of ranges; without it there is one for each RANGE bytes of text, and at
+    least one for each core.
+    """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/shards"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
     tie = F.xxhash64("text")
     placed = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        fs, base = file_system(folder)
-        fs.create_dir(base, recursive=True)
-        own, final = f"{base}/.{uuid.uuid4().hex}", f"{base}/{shard:06d}.sst"
-        out, writer, first, last, number = None, None, None, None, 0
+        shard, part, writer, number, last = TaskContext.get().partitionId(), 0, None, 0, None
         for b in batches:
-            if b.num_rows and out is None:
-                out = fs.open_output_stream(own)
-                writer = Writer(out)
-                first = b.column(0)[0].as_py()
             ids = b.column(0).to_pylist()
             for at, to in slices(text_bytes(b.column(1))[1], PIECE):
                 texts = b.column(1).slice(at, to - at).to_pylist()
                 for doc, value in zip(ids[at:to], encoder(tokenizer).encode(texts), strict=True):
-                    number = number + 1 if writer.entries and doc == last else 0
+                    if writer and writer.writer.at + writer.writer.size >= FILE:
+                        yield writer.done(last)
+                        writer, part = None, part + 1
+                    if writer is None:
+                        writer, number = _ShardFile(folder, shard, part, doc), 0
+                    else:
+                        number = number + 1 if doc == last else 0
                     last = doc
-                    writer.add(key_of(doc, number), value + pack("<I", END_ID))
-        if out is None:
-            return
-        size = writer.finish()
-        out.close()
-        if fs.get_file_info(final).type.name != "NotFound":  # left by an attempt that was lost
-            fs.delete_file(final)
-        fs.move(own, final)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{shard:06d}.sst"], "size": pa.array([size], pa.int64()), "entries": pa.array([writer.entries], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()), "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64())})
+                    writer.writer.add(key_of(doc, number), value + pack("<I", END_ID))
+        if writer:
+            yield writer.done(last)
+
+    return staged(placed.mapInArrow(tidied(run), "shard int, part int, path string, size long, entries long, tokens long, first_id long, last_id long"), "manifest")
+
+
+class _ShardFile:
+    """A shard file under a name of this attempt, moved to its place when it is whole."""
+
+    def __init__(self, folder: str, shard: int, part: int, first: int | None):
+        self.shard, self.part, self.first = shard, part, first
+        self.path = f"{folder}/{shard:06d}-{part:04d}.sst"
+        self.fs, base = file_system(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.own, self.final = f"{base}/.{uuid.uuid4().hex}", f"{base}/{shard:06d}-{part:04d}.sst"
+        self.out = self.fs.open_output_stream(self.own)
+        self.writer = Writer(self.out)
 
-    return staged(placed.mapInArrow(tidied(run), "shard int, path string, size long, entries long, tokens long, first_id long, last_id long"), "manifest")
+    def done(self, last: int | None) -> pa.RecordBatch:
+        """The manifest's row."""
+        size = self.writer.finish()
+        self.out.close()
+        if self.fs.get_file_info(self.final).type.name != "NotFound":  # left by an attempt that was lost
+            self.fs.delete_file(self.final)
+        self.fs.move(self.own, self.final)
+        longs = {"size": size, "entries": self.writer.entries, "tokens": self.writer.tokens, "first_id": self.first, "last_id": last}
+        return pa.RecordBatch.from_pydict({"shard": pa.array([self.shard], pa.int32()), "part": pa.array([self.part], pa.int32()), "path": [self.path]} | {k: pa.array([v], pa.int64()) for k, v in longs.items()})
 
 
 def _open(path: str, size: int) -> Reader:
@@ -337,13 +361,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document: ids as little-endian unsigned 32-bit
     integers with the end id, start counts the ids of all documents before.
 
-    The manifest has one small row for each shard; only it is summed over all.
+    The manifest has one small row for each file; only it is summed over all.
     """
     from pyspark.sql import Window
 
-    before = F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")
-    placed = manifest.select("shard", "path", "size", before.alias("before"))
-    placed = placed.repartition(max(1, manifest.count()), "shard")
+    before = F.sum("tokens").over(Window.orderBy("shard", "part")) - F.col("tokens")
+    placed = staged(manifest.select(F.row_number().over(Window.orderBy("shard", "part")).alias("file"), "path", "size", before.alias("before")), "placed")
+    # By range, since hashes of n files would leave a third of n tasks without one.
+    placed = placed.repartitionByRange(max(1, placed.count()), "file")
 
     def run(batches):
         for b in batches:
@@ -369,8 +394,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids binary) of each stored document whose id is wanted; ids that no shard has give no row."""
-    # One small row for each shard: a number that the writer's partitions bound.
-    shards = manifest.orderBy("shard").select("path", "size", "first_id", "last_id").collect()
+    # One small row for each file of some hundred MB.
+    shards = manifest.orderBy("shard", "part").select("path", "size", "first_id", "last_id").collect()
     least = -(1 << 63)
     firsts = np.array([least if r.first_id is None else r.first_id for r in shards], np.int64)
     lasts = np.array([least if r.last_id is None else r.last_id for r in shards], np.int64)

@@ -78,3 +78,53 @@ def test_equal_segments_stay_apart(spark, data, monkeypatch):
     found = decontam.search(decontam.build_index(d.union(d)), b, block_bytes=400)
     got = [(r.doc_id, r.n_words, r.n, r.items) for r in found.select("doc_id", "n_words", decontam.n_hit().alias("n"), "items").collect()]
     assert sorted(got) == sorted(brute(docs + docs, items))
+
+
+def test_words_that_share_a_hash(spark):
+    """Two words of 1,024 letters with one polynomial hash are two words, in documents and in items."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, a), (2, b), (3, f"{a} {b} x"), (4, f"{b} {a} x"), (5, f"x {b}")]
+    items = [("p", a), ("q", f"{a} {b}"), ("r", f"x {b}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = decontam.decontaminate(d, spark.createDataFrame(items, "item_id string, text string"))
+    got = [(r.doc_id, r.n_words, r.n, r["items"]) for r in found.select("doc_id", "n_words", decontam.n_hit().alias("n"), "items").collect()]
+    assert sorted(got) == sorted(brute(docs, items))
+
+
+def test_texts_of_megabytes(spark):
+    words_ = [f"w{i % 997}" for i in range(700_000)]
+    item = "needle one two three four five six seven eight nine ten"
+    text = " ".join(words_[:400_000]) + " " + item.upper() + " " + " ".join(words_[400_000:])
+    d = spark.createDataFrame([(1, text), (2, "z" * 5_000_000)], "doc_id long, text string")
+    found = decontam.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, [list(s) for s in r.spans]) for r in found.collect()} == {1: (700_011, [[400_000, 400_010]]), 2: (1, [])}
+
+
+def test_digest_columns(spark):
+    """The registered query against the brute-force rule on the smallest tables."""
+    import hashlib
+
+    from veritab.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    index = {}
+    for name, text in items:
+        w = words(text)
+        for s in range(max(1, len(w) - 9)) if w else ():
+            index.setdefault(tuple(w[s : s + 10]), set()).add(str(name))
+    want = []
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for size in {len(k) for k in index}:
+            for s in range(len(w) - size + 1):
+                if (names := index.get(tuple(w[s : s + size]))) is not None:
+                    hit |= set(range(s, s + size))
+                    found |= names
+        want.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    got = queries.op6_decontaminate(spark, path).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[-1] for r in want)

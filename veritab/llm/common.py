@@ -168,13 +168,13 @@ _CACHE: dict[str, np.ndarray] = {}
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-#: Bytes of text that byte_tokens works on at once; a longer token is not cut.
+#: Bytes of text that byte_spans works on at once; a longer token is not cut.
 PIECE = 1 << 22
 
 
-def _in_pieces(data, offsets, kinds, lower):
-    """byte_tokens over a long stretch, cut where a separator stands, to bound memory."""
-    at, hashes, rows = 0, [], []
+def _in_pieces(data, offsets, kinds):
+    """byte_spans over a long stretch, cut where a separator stands, to bound memory."""
+    at, found = 0, []
     while at < len(data):
         end = min(at + PIECE // 2, len(data))
         while end < len(data):
@@ -184,32 +184,34 @@ def _in_pieces(data, offsets, kinds, lower):
                 break
             end = min(end + PIECE // 2, len(data))
         if end - at > PIECE:  # one token of many MB, or a run without separators
-            return _plain_tokens(data, offsets, kinds, lower)
+            return _plain_spans(data, offsets, kinds)
         first = int(np.searchsorted(offsets, at, side="right")) - 1
         last = int(np.searchsorted(offsets, end, side="left"))
-        h, r = byte_tokens(data[at:end], np.clip(offsets[first : last + 1] - at, 0, end - at), kinds, lower)
-        hashes.append(h)
-        rows.append(r + first)
+        h, r, starts, ends = _plain_spans(data[at:end], np.clip(offsets[first : last + 1] - at, 0, end - at), kinds)
+        found.append((h, r + first, starts + at, ends + at))
         at = end
-    return np.concatenate(hashes), np.concatenate(rows)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def byte_tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of texts laid end to end: (64-bit hash, row) of each, in order.
+def byte_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of texts laid end to end: (64-bit hash, row, start, end) of each, in order.
 
     kinds maps a byte to 0 (separator) or the kind of token that it belongs to; a
-    token is a run of one kind inside one row. lower folds A-Z first. Two
-    tokens with different bytes share a hash with a chance of about 2**-64.
+    token is a run of one kind inside one row. Different tokens may share a hash, and some
+    long ones are known to: who needs to be sure compares the bytes (``grouped``).
     """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if n > PIECE:
-        return _in_pieces(data, offsets, kinds, lower)
-    return _plain_tokens(data, offsets, kinds, lower)
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    return (_in_pieces if len(data) > PIECE else _plain_spans)(data, offsets, kinds)
+
 
+def byte_tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of byte_spans."""
+    return byte_spans(data, offsets, kinds)[:2]
 
-def _plain_tokens(data, offsets, kinds, lower):
+
+def _plain_spans(data, offsets, kinds):
     n = len(data)
     kind = kinds[data]
     change = np.empty(n, bool)
@@ -221,20 +223,59 @@ def _plain_tokens(data, offsets, kinds, lower):
     ends = np.append(runs[1:], n)
     keep = kind[runs] > 0
     starts, ends = runs[keep], ends[keep]
-    values = BYTE_VALUES
-    if lower:
-        values = values.copy()
-        values[65:91] = values[97:123]
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return run_hashes(data, starts, ends, values), rows
+    return run_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1, starts, ends
+
+
+def run_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of some stretches, end to end."""
+    return data[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes and its length: a polynomial modulo 2**64 from running sums, then mixed."""
+def equal_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether each stretch of data has the bytes of its stretch of other."""
+    out = lengths == other_lengths
+    some = np.flatnonzero(out & (lengths > 0))
+    stops = np.append(0, np.cumsum(lengths[some]))
+    for i, j in slices(stops, 1 << 19):
+        own = some[i:j]
+        differ = run_bytes(data, starts[own], lengths[own]) != run_bytes(other, other_starts[own], lengths[own])
+        at = np.flatnonzero(differ)
+        if len(at):
+            out[own[np.searchsorted(stops[i : j + 1] - stops[i], at, side="right") - 1]] = False
+    return out
+
+
+def grouped(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the tokens by hash in which equal ones follow each other as they stood, where a different one begins).
+
+    Tokens count as equal when their bytes are: they are compared within each hash.
+    """
+    order = np.argsort(hashes, kind="stable")
+    n = len(order)
+    if not n:
+        return order, np.zeros(0, np.int64)
+    sorted_ = hashes[order]
+    new = np.append(True, sorted_[1:] != sorted_[:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    rest = order[~new]
+    lengths = ends - starts
+    if not equal_runs(data, starts[rest], lengths[rest], data, starts[first[~new]], lengths[first[~new]]).all():
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(data[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        order = np.lexsort((np.arange(n), number, hashes))
+        new = np.append(True, number[order][1:] != number[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes and its length: a polynomial modulo 2**64 from running sums, then mixed.
+
+    Some stretches of 1,024 bytes and more share a hash whatever the base is.
+    """
     n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(values[data] * _powers(_CACHE, "up", BASE, n), dtype=np.uint64, out=sums[1:])
+    np.cumsum(BYTE_VALUES[data] * _powers(_CACHE, "up", BASE, n), dtype=np.uint64, out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _powers(_CACHE, "down", BASE_INVERSE, n + 1)[starts]
     return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 

@@ -3,24 +3,22 @@
 The index is split by documents: a segment holds the postings of every token of
 about one MB of text. Its rows are
 
-    segment                             a name that no other segment has
     doc_ids, first_positions, n_words   one entry for each document
-    terms, ends, postings               sorted 64-bit term hashes, where each
-                                        term's positions end, the positions
+    terms, words, word_ends             sorted 64-bit term hashes, the words themselves end to end
+    ends, postings                      where each term's positions end, the positions
 
 Positions run through the segment with a gap between documents, so a phrase
 can't cross from one into the next. Segments are made by each task from
 its own rows; nothing is shuffled, and a document's words stay together, however
-common a term is. Each segment gets a name of its own when it is written, so two
-segments of equal content stay two.
+common a term is.
 
-A search takes a size-checked block of benchmark items to every segment. A window's
+A search reads the index once. The benchmark is cut into blocks of bounded size in the shared
+folder, and a task lays each block in turn against the segments that it holds. A window's
 terms are ordered by the length of their lists; starting from the
-rarest, offset-adjusted lists are intersected until none or all are done. A
-benchmark beyond the block size is searched in several blocks, whose spans are merged by document.
+rarest, offset-adjusted lists are intersected until none or all are done.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in
-lower case. Two different words share a 64-bit hash with a chance of about 2**-64.
+lower case. Hashes only find them: words are equal when their bytes are.
 
 Defined results: null or wordless texts have no words and no hits; wordless items
 have no windows. Repeated documents and items each count as rows, an item id
@@ -30,7 +28,8 @@ rows (documents) or no hits (benchmark). Extra columns are not read.
 
 from __future__ import annotations
 
-import uuid
+import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,61 +37,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import byte_tokens, list_array, slices, staged, text_bytes, tidied
+from veritab.llm.common import byte_spans, equal_runs, file_system, grouped, list_array, run_bytes, shared_folder, slices, staged, text_bytes, tidied
 
-#: Text bytes of a segment, and of a block of benchmark items that tasks receive.
-SEGMENT, BLOCK = 1 << 20, 1 << 25
-#: 1 for the bytes of words: digits, letters, everything beyond ASCII.
+#: Text bytes of a segment, and of a block of benchmark items.
+SEGMENT, BLOCK = 1 << 20, 1 << 22
+#: 1 for the bytes of words: digits, letters, everything beyond ASCII; and each byte with A-Z in lower case.
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_SEGMENT = "segment string, doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, terms binary, ends binary, postings binary"
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_SEGMENT = "doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, terms binary, words binary, word_ends binary, ends binary, postings binary"
+
+
+class Terms:
+    """The distinct words of some texts: where each token stands in their order, and the words by hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        data = LOWER[data]
+        h, self.row, starts, ends = byte_spans(data, offsets, WORD)
+        self.order, self.begins = grouped(data, h, starts, ends)
+        first = self.order[self.begins]
+        self.hashes = h[first]
+        self.words = run_bytes(data, starts[first], (ends - starts)[first])
+        self.word_ends = np.cumsum((ends - starts)[first])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each segment, stored in the shared folder: names are drawn at random, so
-    they hold only once they are written. Every row of docs is in exactly one segment."""
+    """One row for each segment, stored in the shared folder. Every row of docs is in exactly one segment."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             for i, j in slices(offsets, SEGMENT):
-                h, row = byte_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORD, lower=True)
-                n_words = np.bincount(row, minlength=j - i)
+                terms = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n_words = np.bincount(terms.row, minlength=j - i)
                 firsts = np.append(0, np.cumsum(n_words + 1)[:-1])
-                order = np.argsort(h, kind="stable")
-                sorted_ = h[order]
-                last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True)) if len(h) else np.zeros(0, np.int64)
+                binary = lambda a, t: pa.array([a.astype(t).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([uuid.uuid4().hex]),
                         list_array(b.column(0).slice(i, j - i), np.array([j - i])),
                         list_array(firsts.astype(np.int32), np.array([j - i])),
                         list_array(n_words.astype(np.int32), np.array([j - i])),
-                        pa.array([sorted_[last].tobytes()], pa.binary()),
-                        pa.array([(last + 1).astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([(order + row[order]).astype(np.int32).tobytes()], pa.binary()),
+                        binary(terms.hashes, np.uint64),
+                        binary(terms.words, np.uint8),
+                        binary(terms.word_ends, np.int32),
+                        binary(np.append(terms.begins[1:], len(terms.order)) if len(terms.order) else terms.begins, np.int32),
+                        binary(terms.order + terms.row[terms.order], np.int32),
                     ],
-                    ["segment", "doc_ids", "first_positions", "n_words", "terms", "ends", "postings"],
+                    ["doc_ids", "first_positions", "n_words", "terms", "words", "word_ends", "ends", "postings"],
                 )
 
     return staged(docs.select(id_col, text_col).mapInArrow(tidied(run), _SEGMENT.format(kind=kind)), "postings")
 
 
 class Segment:
-    """One row of the index, for searching."""
+    """One row of the index, for searching; the spans and items found so far."""
 
     def __init__(self, b: pa.RecordBatch):
         view = lambda k, kind: np.frombuffer(b.column(k)[0].as_buffer(), kind)
-        self.terms, ends, self.postings = view(4, np.uint64), view(5, np.int32), view(6, np.int32)
+        self.doc_ids = b.column(0).flatten()
+        self.firsts = b.column(1).flatten().to_numpy().astype(np.int64)
+        self.n_words = b.column(2).flatten().to_numpy().astype(np.int64)
+        self.terms, self.words, self.word_ends, ends, self.postings = view(3, np.uint64), view(4, np.uint8), view(5, np.int32).astype(np.int64), view(6, np.int32), view(7, np.int32)
         self.starts, self.ends = np.append(np.int32(0), ends[:-1]), ends
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, length of the list) of each term; length 0 if it is absent."""
-        if not len(self.terms):
-            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return at, np.where(self.terms[at] == terms, self.ends[at] - self.starts[at], 0)
+        self.word_starts = np.append(0, self.word_ends[:-1])
+        total = int(self.firsts[-1] + self.n_words[-1] + 1) if len(self.firsts) else 0
+        self.marks = np.zeros(total + 1, np.int32)
+        self.items: dict[int, set[str]] = {}
+
+    def owner(self, positions: np.ndarray) -> np.ndarray:
+        """The document of each position."""
+        return np.searchsorted(self.firsts, positions, side="right") - 1
+
+    def find(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(place, length of the list) of each word of the block; length 0 if it is absent."""
+        n = len(block.hashes)
+        place, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        left, at = np.arange(n), np.searchsorted(self.terms, block.hashes)
+        while True:  # more than once only where different words share a hash
+            inside = at < len(self.terms)
+            left, at = left[inside], at[inside]
+            alike = self.terms[at] == block.hashes[left]
+            left, at = left[alike], at[alike]
+            if not len(left):
+                return place, count
+            starts = block.word_starts[left]
+            equal = equal_runs(self.words, self.word_starts[at], self.word_ends[at] - self.word_starts[at], block.words, starts, block.word_ends[left] - starts)
+            place[left[equal]] = at[equal]
+            count[left[equal]] = (self.ends - self.starts)[at[equal]]
+            left, at = left[~equal], at[~equal] + 1
 
     def positions(self, place: int) -> np.ndarray:
         return self.postings[self.starts[place] : self.ends[place]]
@@ -109,7 +143,7 @@ class Segment:
             found = found[there[at] == want]
         return found
 
-    def near(self, places: np.ndarray, counts: np.ndarray, within: int, owner) -> np.ndarray:
+    def near(self, places: np.ndarray, counts: np.ndarray, within: int) -> np.ndarray:
         """Positions of the rarest term with every other term at most ``within`` words away in the same document."""
         order = np.argsort(counts, kind="stable")
         found = self.positions(places[order[0]])
@@ -121,59 +155,82 @@ class Segment:
             before = np.maximum(after - 1, 0)
             ok = np.zeros(len(found), bool)
             for at in (after, before):
-                ok |= (np.abs(there[at] - found) <= within) & (owner(there[at]) == owner(found))
+                ok |= (np.abs(there[at] - found) <= within) & (self.owner(there[at]) == self.owner(found))
             found = found[ok]
         return found
 
+    def search(self, block: Block, within: int | None) -> None:
+        """Mark what the block's windows hit."""
+        for w, places, counts in block.present(self):
+            starts, size = (self.phrase(places, counts), int(block.size[w])) if within is None else (self.near(places, counts, within), 1)
+            if len(starts):
+                np.add.at(self.marks, starts, 1)
+                np.add.at(self.marks, starts + size, -1)
+                for d in np.unique(self.owner(starts)).tolist():
+                    self.items.setdefault(d, set()).add(block.names[block.item[w]])
+
+    def result(self) -> pa.RecordBatch:
+        hit = np.cumsum(self.marks)[:-1] > 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+        begin, stop = edge[::2], edge[1::2]
+        doc = self.owner(begin) if len(begin) else np.zeros(0, np.int64)
+        spans = np.stack([begin - self.firsts[doc], stop - 1 - self.firsts[doc]], axis=1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
+        pairs = list_array(spans.reshape(-1), np.full(len(spans), 2))
+        n = len(self.firsts)
+        named = [sorted(self.items.get(d, ())) for d in range(n)]
+        return pa.RecordBatch.from_arrays([self.doc_ids, pa.array(self.n_words), list_array(pairs, np.bincount(doc, minlength=n)), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+
 
 class Block:
-    """Some benchmark items, cut into distinct windows."""
+    """Some benchmark items, cut into windows; with no window size an item is one window."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int | None):
+    def __init__(self, names: list[str], texts: list[str | None], window: int | None):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
-        h, row = byte_tokens(data, offsets, WORD, lower=True)
-        counts = np.bincount(row, minlength=len(ids)) if len(ids) else np.zeros(0, int)
-        firsts = np.append(0, np.cumsum(counts)).astype(np.int64)
-        seen: dict[bytes, int] = {}
-        self.windows: list[np.ndarray] = []
-        self.items: list[set[str]] = []
-        for i, name in enumerate(ids):
-            n, at = int(counts[i]), int(firsts[i])
-            size = min(window or n, n)
-            for s in range(at, at + n - size + 1) if n else ():
-                w = h[s : s + size]
-                k = seen.setdefault(w.tobytes(), len(self.windows))
-                if k == len(self.windows):
-                    self.windows.append(w)
-                    self.items.append(set())
-                self.items[k].add(name)
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.all = np.concatenate(self.windows) if self.windows else np.zeros(0, np.uint64)
-        self.terms, self.term_of = np.unique(self.all, return_inverse=True)
-        self.at = np.append(0, np.cumsum(self.lengths)).astype(np.int64)
+        terms = Terms(data, offsets)
+        self.names, self.hashes, self.words, self.word_ends = names, terms.hashes, terms.words, terms.word_ends
+        self.word_starts = np.append(0, self.word_ends[:-1])
+        self.term_of = np.zeros(len(terms.order), np.int64)
+        new = np.zeros(len(terms.order), np.int64)
+        new[terms.begins[1:]] = 1
+        self.term_of[terms.order] = np.cumsum(new)
+        counts = np.bincount(terms.row, minlength=len(names))
+        size = np.minimum(window, counts) if window else counts
+        windows = np.where(counts > 0, counts - size + 1, 0)
+        self.item = np.repeat(np.arange(len(names)), windows)
+        self.size = size[self.item]
+        self.start = np.repeat(np.cumsum(counts) - counts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
 
     def present(self, segment: Segment) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(window, places, list lengths) of windows all of whose terms the segment has."""
-        if not self.windows:
-            return
-        place, count = segment.find(self.terms)
-        least = np.minimum.reduceat(count[self.term_of], self.at[:-1])
-        for w in np.flatnonzero(least):
-            own = self.term_of[self.at[w] : self.at[w + 1]]
+        place, count = segment.find(self)
+        held = np.append(0, np.cumsum(count[self.term_of] > 0))
+        for w in np.flatnonzero(held[self.start + self.size] - held[self.start] == self.size).tolist():
+            own = self.term_of[self.start[w] : self.start[w] + self.size[w]]
             yield w, place[own], count[own]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list]:
-    """The benchmark's rows in blocks of at most about ``most`` bytes each, one at a time on the driver."""
+def write_blocks(benchmark: DataFrame, window: int | None, id_col: str, text_col: str, most: int) -> list[str]:
+    """The benchmark in blocks of about ``most`` bytes each in the shared folder; one at a time passes through the driver."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // most))
-    if parts == 1:
-        yield items.collect()
-        return
     dealt = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    folder = f"{shared_folder(benchmark.sparkSession)}/blocks"
+    fs, place = file_system(folder)
+    fs.create_dir(place, recursive=True)
     for k in range(parts):
-        yield items.where(dealt == k).collect()
+        rows = items.where(dealt == k).collect()
+        with fs.open_output_stream(f"{place}/{k:06d}") as f:
+            f.write(pickle.dumps(Block([r.id for r in rows], [r.text for r in rows], window)))
+    return [f"{folder}/{k:06d}" for k in range(parts)]
+
+
+@functools.lru_cache(maxsize=1)
+def _block(path: str) -> Block:
+    """A block that write_blocks wrote; a worker holds one."""
+    fs, place = file_system(path)
+    with fs.open_input_stream(place) as f:
+        return pickle.loads(f.read())
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text", within: int | None = None, block_bytes: int = BLOCK) -> DataFrame:
@@ -185,73 +242,18 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, item_col: s
     words of its rarest one, at which the span stands.
     """
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    spark = index.sparkSession
-    out = None
-    blocks = 0
-    for rows in _blocks(benchmark, item_col, text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows]))
-        part = index.mapInArrow(tidied(_searcher(sent, window, within)), f"segment string, doc_no int, doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
-        out = part if out is None else out.unionByName(part)
-        blocks += 1
-    if blocks == 1:
-        return out.select("doc_id", "n_words", "spans", "items")
-    merged = out.groupBy("segment", "doc_no").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # A span that starts within or right after the one before extends it.
-    fold = F.aggregate(
-        "all", F.expr("cast(array() as array<array<int>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) + 1 >= s[0]),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(F.element_at(F.element_at(acc, -1), 1), F.greatest(F.element_at(F.element_at(acc, -1), 2), s[1])))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    return merged.select("doc_id", "n_words", fold.alias("spans"), "items")
-
-
-def _searcher(sent, window: int, within: int | None):
+    paths = write_blocks(benchmark, None if within is not None else window, item_col, text_col, block_bytes)
+
     def run(batches):
-        ids, texts = sent.value
-        block = Block(ids, texts, None if within is not None else window)
         for b in batches:
-            for k in range(b.num_rows):
-                yield _search_one(b.slice(k, 1), block, within)
-
-    return run
-
-
-def _search_one(b: pa.RecordBatch, block: Block, within: int | None) -> pa.RecordBatch:
-    firsts = b.column(2).flatten().to_numpy()
-    n_words = b.column(3).flatten().to_numpy().astype(np.int64)
-    segment = Segment(b)
-    owner = lambda p: np.searchsorted(firsts, p, side="right") - 1
-    total = int(firsts[-1] + n_words[-1] + 1) if len(firsts) else 0
-    marks = np.zeros(total + 1, np.int32)
-    items: dict[int, set[str]] = {}
-    for w, places, counts in block.present(segment):
-        if within is None:
-            starts, size = segment.phrase(places, counts), int(block.lengths[w])
-        else:
-            starts, size = segment.near(places, counts, within, owner), 1
-        if len(starts):
-            np.add.at(marks, starts, 1)
-            np.add.at(marks, starts + size, -1)
-            for d in np.unique(owner(starts)):
-                items.setdefault(int(d), set()).update(block.items[w])
-    hit = np.cumsum(marks)[:-1] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    begin, stop = edge[::2], edge[1::2]
-    doc = owner(begin) if len(begin) else np.zeros(0, np.int64)
-    spans = np.stack([begin - firsts[doc], stop - 1 - firsts[doc]], axis=1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
-    pairs = list_array(spans.reshape(-1), np.full(len(spans), 2))
-    named = [sorted(items.get(d, ())) for d in range(len(firsts))]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([b.column(0)[0].as_py()] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype=np.int32)), b.column(1).flatten(), pa.array(n_words),
-            list_array(pairs, np.bincount(doc, minlength=len(firsts))), pa.array(named, pa.list_(pa.string())),
-        ],
-        ["segment", "doc_no", "doc_id", "n_words", "spans", "items"],
-    )
+            segments = [Segment(b.slice(k, 1)) for k in range(b.num_rows)]
+            for path in paths:
+                for segment in segments:
+                    segment.search(_block(path), within)
+            for segment in segments:
+                yield segment.result()
+
+    return index.mapInArrow(tidied(run), f"doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

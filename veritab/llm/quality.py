@@ -47,7 +47,7 @@ MICRO = 1_000_000
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word feature, pair feature with the next word, whether there is a next word, row) of each token."""
-    h, row = byte_tokens(data, offsets, KINDS, lower=False)
+    h, row = byte_tokens(data, offsets, KINDS)
     words = (h % np.uint64(FEATURES)).astype(np.int64)
     pairs = np.zeros(len(h), np.int64)
     follows = np.zeros(len(h), bool)

@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from veritab.llm import graph, simhash
+from veritab.llm.common import staged
 
 rng = np.random.default_rng(5)
 
@@ -83,3 +84,18 @@ def test_components(spark):
         groups.setdefault(r.root, set()).add(r.node)
     assert sorted(map(len, groups.values())) == [2, 10, 10, 10, 10, 201]
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chains_take_logarithmic_rounds(spark, monkeypatch):
+    """A path of 1,000 ascending nodes is one component; each round writes its edges once."""
+    rounds = []
+
+    def counted(df, name="table"):
+        rounds.append(name)
+        return staged(df, name)
+
+    monkeypatch.setattr(graph, "staged", counted)
+    edges = spark.range(999).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(5000, 5001), (7, 7), (None, 3)], "a long, b long"))
+    found = graph.components(edges).collect()
+    assert len(found) == 1002 and len({r.root for r in found if r.node < 1000}) == 1 and len({r.root for r in found}) == 2
+    assert rounds.count("points") <= 14

@@ -313,10 +313,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: i
         nodes = nodes.select("fp", F.explode(block_keys(radius)).alias("key"))
     roots = components(links(nodes, radius, width))
     named = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    named = named.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return prints.select(id_col, "fp").join(named, "fp")
+    return prints.select(id_col, "fp").join(_named(named, roots), "fp")
+
+
+def _named(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id): the least ``least`` of each component. named: (fp, least); roots: (node, root).
+
+    The names of components are written first, so that the join on root is one that
+    Spark may split: a component may hold a third of all fingerprints.
+    """
+    named = named.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = staged(named, "named")
+    least = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    return named.join(least, "root").select("fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, width: int, smallest: int, id_col: str, text_col: str) -> DataFrame:
@@ -385,10 +394,7 @@ def similar(docs: DataFrame, least: float, shingle: int, radius: int, width: int
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sets = sets.select(text_col, "fp", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     roots = components(confirmed_links(sets, radius, width, shingle, least))
-    named = named.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(first, "root").select("fp", "component_id")
-    return prints.select(id_col, "fp").join(named, "fp").select(id_col, "component_id")
+    return prints.select(id_col, "fp").join(_named(named, roots), "fp").select(id_col, "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:

@@ -98,4 +98,4 @@ def test_chains_take_logarithmic_rounds(spark, monkeypatch):
     edges = spark.range(999).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(5000, 5001), (7, 7), (None, 3)], "a long, b long"))
     found = graph.components(edges).collect()
     assert len(found) == 1002 and len({r.root for r in found if r.node < 1000}) == 1 and len({r.root for r in found}) == 2
-    assert rounds.count("points") <= 14
+    assert rounds.count("points") <= 12

@@ -42,7 +42,7 @@ def test_every_filter(shape):
 
 def test_writer_and_damage():
     pixels = rng.integers(0, 256, (6, 20), dtype=np.uint8)
-    for kind in (0, 1, 2):
+    for kind in (0, 1, 2, None):
         image = media.write_png(pixels, kind)
         assert np.array_equal(media.read_png(image), pixels)
         for at in (9, 20, len(image) // 2, len(image) - 6):
@@ -52,6 +52,48 @@ def test_writer_and_damage():
         media.read_png(media.write_png(pixels)[:-12])
 
 
+def test_each_row_gets_a_filter_of_its_own():
+    flat, ramp = np.full(64, 200, np.uint8), np.arange(64, dtype=np.uint8) * 3
+    noise = rng.integers(0, 256, 64, dtype=np.uint8)
+    pixels = np.stack([flat, flat, ramp, noise, noise, np.zeros(64, np.uint8)])
+    image = media.write_png(pixels)
+    kinds = np.frombuffer(zlib.decompress(image[41:-16]), np.uint8).reshape(6, 65)[:, 0].tolist()
+    assert kinds == [1, 2, 1, kinds[3], 2, 0] and np.array_equal(media.read_png(image), pixels)
+
+
+def test_digest_columns(spark):
+    """The registered query against hashlib, zlib and the definition of the hash on the smallest tables."""
+    from veritab.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    want = {}
+    for d in spark.read.parquet(f"{path}/documents.parquet").collect():
+        raw = (d.text or "").encode()
+        full = media.padded(raw)
+        assert len(full) % 576 == 0 and full.startswith(raw) and set(full[len(raw) :]) <= {255} and 0 < len(full) < len(raw) + 577
+        want[d.doc_id] = (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), full)
+    kinds = set()
+    for r in queries.op5_media(spark, path).collect():
+        *numbers, full = want.pop(r.doc_id)
+        assert [r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32] == numbers
+        image = media.write_png(np.frombuffer(full, np.uint8).reshape(-1, 576))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        pixels = np.frombuffer(full, np.uint8).reshape(-1, 576)
+        assert r.feature == media.cosine_hash(pixels)
+        kinds |= set(np.frombuffer(zlib.decompress(b"".join(image[i + 4 : i + 4 + n] for i, n in idat(image))), np.uint8).reshape(-1, 577)[:, 0].tolist())
+    assert not want and kinds >= {1, 2}  # so reading had filters to undo
+
+
+def idat(image):
+    """(place of the name, length) of each data chunk."""
+    at = 8
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        if image[at + 4 : at + 8] == b"IDAT":
+            yield at + 4, n
+        at += 12 + n
+
+
 def test_cosine_hash_against_the_definition():
     pixels = rng.integers(0, 256, (64, 64), dtype=np.uint8)
     small = pixels.reshape(32, 2, 32, 2).mean(axis=(1, 3))

@@ -8,25 +8,18 @@ from pyspark.sql import functions as F
 from veritab.llm import line_dedup, quality
 
 
-def brute_lines(rows, min_sites=5, min_words=4, most=0.5):
-    sites = {}
+def brute_lines(rows, min_sites=5):
+    """Equal texts count once, on the least of their sites; every line on min_sites sites goes from every row."""
+    least, sites = {}, {}
     for _, site, text in rows:
-        for line in (text or "").split("\n") if text is not None else ():
-            t = line.strip(line_dedup.BLANK)
-            if len(t.split()) >= min_words:
+        if text is not None:
+            least[text] = min(least.get(text, site or "\0"), site or "\0")
+    for text, site in least.items():
+        for line in text.split("\n"):
+            if t := line.strip(line_dedup.BLANK):
                 sites.setdefault(t, set()).add(site)
     bad = {t for t, s in sites.items() if len(s) >= min_sites}
-    out = []
-    for i, _, text in rows:
-        if text is None:
-            out.append((i, None))
-            continue
-        lines = text.split("\n")
-        kept = [x for x in lines if x.strip(line_dedup.BLANK) not in bad]
-        size = lambda p: sum(map(len, p))
-        whole = size(kept) < (1 - most) * size(lines) or len(kept) < (1 - most) * len(lines)
-        out.append((i, text if whole else "\n".join(kept)))
-    return out
+    return [(i, text if text is None else "\n".join(x for x in text.split("\n") if x.strip(line_dedup.BLANK) not in bad)) for i, _, text in rows]
 
 
 @pytest.fixture(scope="module")
@@ -52,9 +45,21 @@ def test_lines_against_brute_force(spark, lines, monkeypatch, small):
     assert got.columns == docs.columns
     key = lambda r: (r[0], r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute_lines(lines), key=key)
+    counts = line_dedup.remove_boilerplate(docs.withColumnRenamed("line", "n"), count_col="line").collect()
+    before = {(i, s): t for i, s, t in lines}
+    assert all(r.line == (0 if r.text is None else len(before[r.doc_id, r.source].split("\n")) - (len(r.text.split("\n")) if r.text or not r.line else 0)) for r in counts)
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_no_document_is_exempt(spark):
+    """Short lines, documents that are boilerplate for the most part, and copies, which keep what only they share."""
+    rows = [(i, f"s{i}", f"Menu\na footer on every site\nown text {i}") for i in range(6)] + [(10 + i, f"s{i}", "copied line one\ncopied line two\nMenu") for i in range(7)]
+    rows += [(20, "s0", "Menu"), (21, "s1", "Menu\n\n" + "x" * 3_000_000)]
+    docs = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got == {i: f"own text {i}" for i in range(6)} | {10 + i: "copied line one\ncopied line two" for i in range(7)} | {20: "", 21: "\n" + "x" * 3_000_000}
+
+
 def test_kth_largest(spark):
     values = [5, -3, 7, 7, 0, -(1 << 62), 1 << 62, 12, None]
     df = spark.createDataFrame([(v,) for v in values], "key long")

@@ -88,23 +88,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("long")
-    both = line_dedup.remove_boilerplate(docs.withColumn("before", F.col("text")))
-    return both.select("doc_id", lines("before").alias("n_lines"), (lines("before") - lines("text")).alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    marked = line_dedup.remove_boilerplate(docs.withColumn("before", F.size(F.split("text", "\n", -1)).cast("long")), count_col="removed")
+    return marked.select("doc_id", F.coalesce("before", F.lit(0).cast("long")).alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 LINE_DEDUP_SQL = r"""
-WITH docs AS (SELECT doc_id, coalesce(source, chr(0)) AS site, text, row_number() OVER () AS r FROM documents),
-cut AS (SELECT r, site, string_split(text, chr(10)) AS parts FROM docs),
-l AS (SELECT r, site, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM cut),
-s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, len(regexp_extract_all(line, '\S+')) AS w FROM l),
-bad AS (SELECT t FROM s WHERE w >= 4 GROUP BY t HAVING count(DISTINCT site) >= 5),
-m AS (SELECT s.r, s.i, s.line, s.w >= 4 AND bad.t IS NOT NULL AS gone FROM s LEFT JOIN bad ON s.t = bad.t),
-d AS (SELECT r, sum(length(line)) AS total, sum(CASE WHEN gone THEN 0 ELSE length(line) END) AS kept, count(*) AS n,
-             count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS rest
-      FROM m GROUP BY r)
-SELECT doc_id, coalesce(n, 0) AS n_lines, CASE WHEN n IS NULL OR kept < 0.5 * total OR g > 0.5 * n THEN 0 ELSE g END AS n_removed,
-       sha256(CASE WHEN kept < 0.5 * total OR g > 0.5 * n THEN text ELSE coalesce(rest, text) END) AS text_sha256
+WITH docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+once AS (SELECT text, min(coalesce(source, chr(0))) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+spread AS (SELECT site, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS t FROM once),
+bad AS (SELECT t FROM spread WHERE t <> '' GROUP BY t HAVING count(DISTINCT site) >= 5),
+cut AS (SELECT r, string_split(text, chr(10)) AS parts FROM docs WHERE text IS NOT NULL),
+l AS (SELECT r, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM cut),
+m AS (SELECT l.r, l.i, l.line, bad.t IS NOT NULL AS gone FROM l LEFT JOIN bad ON regexp_replace(l.line, '^\s+|\s+$', '', 'g') = bad.t),
+d AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS rest FROM m GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(g, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN text ELSE coalesce(rest, '') END) AS text_sha256
 FROM docs LEFT JOIN d USING (r)
 """
 

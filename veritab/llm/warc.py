@@ -166,7 +166,7 @@ class _Inflated:
 def normalise(archives: DataFrame, folder: str | None = None) -> DataFrame:
     """Rewrite each archive with a member for each record; (path, index_path) of each."""
     folder = folder or f"{shared_folder(archives.sparkSession)}/members"
-    archives = archives.repartition(max(1, archives.count()), "path")
+    archives = archives.repartitionByRange(max(1, archives.count()), "path")
 
     def run(batches):
         for b in batches:
@@ -197,7 +197,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     A response's digest is computed from the payload read and must equal the header's.
     """
-    archives = archives.repartition(max(1, archives.count()), "path")
+    archives = archives.repartitionByRange(max(1, archives.count()), "path")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 

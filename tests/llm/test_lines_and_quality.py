@@ -68,22 +68,51 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "key", 9) is None and quality.kth_largest(df.limit(0), "key", 1) is None
 
 
-def test_worst_windows_against_brute_force():
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(["a", "b!", "c,", "dd"]) for _ in range(rng.randrange(30))) for _ in range(40)] + ["", "   "]
-    from veritab.llm.common import text_bytes
+def brute_selection(docs, labels, evidence=5.0):
+    """(id, log weight, key, selected) of each document by plain loops; docs: (id, text), labels: (id, quality, toxic)."""
+    from struct import pack
 
     import pyarrow as pa
+    import xxhash
+    from veritab.llm.common import text_bytes
 
-    data, offsets = text_bytes(pa.array(texts))
-    ratios = np.random.default_rng(0).integers(-9, 9, 2 * quality.FEATURES)
-    got = quality.worst_windows(data, offsets, ratios, 7)
-    for t, g in zip(texts, got, strict=True):
-        d, o = text_bytes(pa.array([t]))
-        words, pairs, follows, _ = quality.features(d, o)
-        value = [int(ratios[w] + (ratios[p] if f else 0)) for w, p, f in zip(words, pairs, follows, strict=True)]
-        n = len(value)
-        assert g == (min(sum(value[s : s + 7]) for s in range(max(1, n - 6))) if n else 0)
+    def grams(text):
+        words, pairs, follows, _ = quality.features(*text_bytes(pa.array([text or ""])))
+        return words.tolist(), [p for p, f in zip(pairs.tolist(), follows.tolist(), strict=True) if f]
+
+    hashed = lambda i, salt: xxhash.xxh64_intdigest(salt, 42 if i is None else xxhash.xxh64_intdigest(pack("<q", i), 42))
+    signed = lambda h: h - (h >> 63 << 64)
+    seen = {}
+    for i, q, t in labels:
+        if None not in (i, q, t):
+            seen.setdefault(i, set()).add(q == 1 and t == 0)
+    good = {i: v.pop() for i, v in seen.items() if len(v) == 1}
+    held = {i for i in good if signed(hashed(i, b"fold")) % 4 == 0}
+    counts = [({}, {}), ({}, {})]
+    for i, text in docs:
+        for kind, own in enumerate(grams(text)):
+            for f in own:
+                counts[kind][0][f] = counts[kind][0].get(f, 0) + 1
+                if good.get(i) and i not in held:
+                    counts[kind][1][f] = counts[kind][1].get(f, 0) + 1
+    ratio = ({}, {})
+    for kind, (raw, target) in enumerate(counts):
+        share = sum(target.values()) / max(1, sum(raw.values()))
+        for f, n in raw.items():
+            t, e = target.get(f, 0), n * share
+            if share and abs(t - e) > evidence * math.sqrt(e + 1):
+                ratio[kind][f] = round(math.log((t + 1) / (e + 1)) * 1e6)
+    weight = [sum(ratio[k].get(f, 0) for k, own in enumerate(grams(t)) for f in own) / 1e6 for _, t in docs]
+    tried = {i: (w, good[i]) for (i, _), w in zip(docs, weight, strict=True) if i in held}
+    bad, fine = [w for w, g in tried.values() if not g], [w for w, g in tried.values() if g]
+    cuts = sorted(w for w, _ in tried.values())
+    gain = lambda c: sum(w < c for w in bad) / len(bad) - 5.0 * sum(w < c for w in fine) / len(fine)
+    cut = max([(0.0, -math.inf), *((gain(c), -k) for k, c in enumerate(cuts))])[1]
+    k = len(docs) if cut == -math.inf else sum(w >= cuts[int(-cut)] for w in weight)
+    noise = lambda i: -math.log(-math.log((signed(hashed(i, b"gumbel")) % (1 << 53) + 0.5) / (1 << 53)))
+    keys = [round((w + noise(i)) * 1e6) for (i, _), w in zip(docs, weight, strict=True)]
+    threshold = sorted(keys, reverse=True)[k - 1]
+    return [(i, w, x, x >= threshold) for (i, _), w, x in zip(docs, weight, keys, strict=True)]
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +150,30 @@ def test_held_out_accuracy(spark, corpus):
     assert sum(r.selected for r in rows) >= k and min(r.gumbel_key for r in rows if r.selected) >= max((r.gumbel_key for r in rows if not r.selected), default=-math.inf)
 
 
+def test_whole_selection_against_brute_force(spark, corpus):
+    docs, labels = corpus
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_selection(rows, [tuple(r) for r in labels.collect()])
+    got = quality.resample(docs, labels)[0].collect()
+    form = lambda rows_: sorted((str(i), round(w, 6), bool(s)) for i, w, s in rows_)
+    assert form((r.doc_id, r.log_weight, r.selected) for r in got) == form((i, w, s) for i, w, _, s in want)
+    keys = lambda rows_: sorted(rows_, key=str)
+    assert all(i == j and abs(x - y) < 3e-6 for (i, x), (j, y) in zip(keys((str(r.doc_id), r.gumbel_key) for r in got), keys((str(i), x / 1e6) for i, _, x, _ in want), strict=True))
+    assert 0 < sum(not s for *_, s in want) < len(want)
+
+
+def test_ties_and_long_texts(spark, corpus):
+    """Equal weights differ by their ids' noise alone; a text of megabytes has the weight of its parts."""
+    docs, labels = corpus
+    text = "scumbag " * 400_000
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(9100, text), (9101, "scumbag " * 4), (9102, "scumbag " * 4), (9101, "scumbag " * 4)], "doc_id long, text string"))
+    rows = {}
+    for r in quality.resample(more, labels)[0].collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    assert rows[9100][0].log_weight < 50_000 * rows[9101][0].log_weight < 0 and not rows[9100][0].selected
+    assert rows[9101][0] == rows[9101][1] and rows[9101][0].log_weight == rows[9102][0].log_weight and rows[9101][0].gumbel_key != rows[9102][0].gumbel_key
+
+
 def test_without_labels(spark, corpus):
     docs, labels = corpus
     scored, classifier = quality.resample(docs, labels.limit(0))

@@ -3,15 +3,15 @@
 Two generative models over hashed words and word pairs are counted: raw text (all
 documents) and target text (a bounded sample of documents labelled good and not
 toxic). The log importance ratio of a feature is log((target + a) / (expected + a)),
-where expected is its raw count on the target's scale. A document's log weight is
-the ratio of its worst window of ``window`` tokens (the whole text, if shorter): one
-abusive passage is not outweighed by length. Documents are then sampled without
-replacement by Gumbel top-k: key = (log weight - cut) / temperature + Gumbel
+where expected is its raw count on the target's scale. Where the two counts differ by no more than ``evidence``
+standard deviations of the expected one, both models back off to the common frequency and the ratio
+is nothing: else the chance differences of the many rare words would add up in long texts. A
+document's log weight is the sum of the ratios of all its words and pairs. Documents are then sampled without
+replacement by Gumbel top-k: key = log weight / temperature + Gumbel
 noise, hashed from the id, and the k largest keys are selected.
 
-The cut is fitted on labelled documents held out from the target, as the one for
-which (bad below it) - clean_weight * (good below it), as shares, is largest. k is the number of
-documents at or above it.
+k is the number of documents whose weight reaches a cut. It is fitted on labelled documents held out
+from the target, as the one for which (bad below it) - clean_weight * (good below it), as shares, is largest.
 
 Only the labels used for fitting are sampled (``labelled`` rows with the least hash of their
 id). Raw counts, weights and the k-th key cover all documents. Ratios
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from veritab.llm.common import byte_tokens, mix, slices, staged, text_bytes, tidied
 
 #: Features of each kind (words, word pairs): the models hold twice as many counts, whatever the input.
-FEATURES = 1 << 17
+FEATURES = 1 << 19
 #: Text bytes worked on at once.
-PIECE = 1 << 19
+PIECE = 1 << 21
 #: 0 white space, 1 letters, digits and what is beyond ASCII, 2 all else.
 KINDS = np.full(256, 2, np.uint8)
 KINDS[[9, 10, 11, 12, 13, 32]] = 0
@@ -83,40 +83,27 @@ def count_features(docs: DataFrame, text_col: str, flag_col: str) -> np.ndarray:
     return out
 
 
-def log_ratios(counts: np.ndarray, smoothing: float, pair_weight: float) -> np.ndarray:
+def log_ratios(counts: np.ndarray, smoothing: float, evidence: float) -> np.ndarray:
     """The log ratio of each feature in millionths; the models of words and pairs have totals of their own."""
     out = np.zeros(2 * FEATURES, np.int64)
-    for k, weight in ((0, 1.0), (1, pair_weight)):
-        part = slice(k * FEATURES, (k + 1) * FEATURES)
+    for part in (slice(0, FEATURES), slice(FEATURES, 2 * FEATURES)):
         raw, target = counts[0][part], counts[1][part]
         if target.sum():
             expected = raw * (target.sum() / raw.sum())
-            out[part] = np.round(weight * np.log((target + smoothing) / (expected + smoothing)) * MICRO)
+            ratio = np.round(np.log((target + smoothing) / (expected + smoothing)) * MICRO)
+            out[part] = np.where(np.abs(target - expected) > evidence * np.sqrt(expected + 1), ratio, 0)
     return out
 
 
-def worst_windows(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, window: int) -> np.ndarray:
-    """The least window sum of each text, in millionths."""
+def log_weights(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The sum of the ratios of each text's words and pairs, in millionths."""
     words, pairs, follows, row = features(data, offsets)
-    n = len(offsets) - 1
-    out = np.zeros(n, np.int64)
-    if not len(words):
-        return out
-    value = ratios[words] + np.where(follows, ratios[pairs], 0)
-    sums = np.append(0, np.cumsum(value))
-    counts = np.bincount(row, minlength=n)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    at = np.arange(len(words))
-    stop = np.minimum(at + window, ends[row])
-    total = sums[stop] - sums[at]
-    total[(stop - at < window) & (at != starts[row])] = np.iinfo(np.int64).max
-    some = np.flatnonzero(counts)
-    out[some] = np.minimum.reduceat(total, starts[some])
+    out = np.zeros(len(offsets) - 1, np.int64)
+    np.add.at(out, row, ratios[words] + np.where(follows, ratios[pairs], 0))
     return out
 
 
-def weigh(docs: DataFrame, ratios, window: int, text_col: str = "text", out_col: str = "log_weight") -> DataFrame:
+def weigh(docs: DataFrame, ratios, text_col: str = "text", out_col: str = "log_weight") -> DataFrame:
     """docs with its log weight (a double); a column of that name is replaced. ratios: a broadcast of log_ratios."""
     docs = docs.drop(out_col)
     where = docs.columns.index(text_col)
@@ -125,7 +112,7 @@ def weigh(docs: DataFrame, ratios, window: int, text_col: str = "text", out_col:
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(where))
-            weights = [worst_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ratios.value, window) for i, j in slices(offsets, PIECE)]
+            weights = [log_weights(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ratios.value) for i, j in slices(offsets, PIECE)]
             out = np.concatenate(weights) / MICRO if weights else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names)
 
@@ -146,11 +133,10 @@ def best_cut(weights: np.ndarray, good: np.ndarray, clean_weight: float) -> floa
     return -math.inf if best == 0 else math.inf if best == len(w) else float((w[best - 1] + w[best]) / 2)
 
 
-def gumbel_key(log_weight: F.Column, cut: float, temperature: float, *seed: str) -> F.Column:
+def gumbel_key(log_weight: F.Column, temperature: float, *seed: str) -> F.Column:
     """Whole millionths of log weight / temperature plus Gumbel noise hashed from the seed columns."""
     unit = (F.pmod(F.xxhash64(*seed, F.lit("gumbel")), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    base = 0.0 if math.isinf(cut) else cut
-    return F.round(((log_weight - base) / temperature - F.log(-F.log(unit))) * MICRO).cast("long")
+    return F.round((log_weight / temperature - F.log(-F.log(unit))) * MICRO).cast("long")
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
@@ -179,13 +165,13 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
 class Classifier:
     """The fitted models, cut and k-th key."""
 
-    def __init__(self, ratios, window: int, cut: float, temperature: float, threshold: int | None, id_col: str, text_col: str):
-        self.ratios, self.window, self.cut, self.temperature, self.threshold = ratios, window, cut, temperature, threshold
+    def __init__(self, ratios, cut: float, temperature: float, threshold: int | None, id_col: str, text_col: str):
+        self.ratios, self.cut, self.temperature, self.threshold = ratios, cut, temperature, threshold
         self.id_col, self.text_col = id_col, text_col
 
     def judged(self, weighed: DataFrame) -> DataFrame:
         """weighed with its Gumbel key (a double) and whether it is selected."""
-        key = gumbel_key(F.col("log_weight"), self.cut, self.temperature, self.id_col)
+        key = gumbel_key(F.col("log_weight"), self.temperature, self.id_col)
         chosen = F.lit(True) if self.threshold is None else key >= self.threshold
         return weighed.withColumn("gumbel_key", key / MICRO).withColumn("selected", chosen)
 
@@ -195,11 +181,11 @@ class Classifier:
         if clash:
             renamed = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
             return self.keep(renamed).withColumnsRenamed({f"__{c}": c for c in clash})
-        done = self.judged(weigh(docs, self.ratios, self.window, self.text_col))
+        done = self.judged(weigh(docs, self.ratios, self.text_col))
         return done.where("selected").select(*docs.columns)
 
 
-def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, window: int = 48, smoothing: float = 10.0, pair_weight: float = 0.25, clean_weight: float = 5.0, temperature: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
+def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: float = 1.0, evidence: float = 5.0, clean_weight: float = 5.0, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
     """((id, log_weight, gumbel_key, selected) of each row of docs, the fitted classifier)."""
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -207,14 +193,14 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, window:
     known = known.where("__good = __most").select(id_col, "__good", (F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(4)) == 0).alias("__held"))
     known = staged(known.orderBy(F.xxhash64(id_col), id_col).limit(labelled), "labels")
     marked = docs.select(id_col, text_col).join(F.broadcast(known), id_col, "left").withColumn("__target", F.coalesce(F.col("__good") & ~F.col("__held"), F.lit(False)))
-    ratios = spark.sparkContext.broadcast(log_ratios(count_features(marked, text_col, "__target"), smoothing, pair_weight))
-    weighed = staged(weigh(docs.select(id_col, text_col), ratios, window, text_col).drop(text_col), "weights")
+    ratios = spark.sparkContext.broadcast(log_ratios(count_features(marked, text_col, "__target"), smoothing, evidence))
+    weighed = staged(weigh(docs.select(id_col, text_col), ratios, text_col).drop(text_col), "weights")
     held = weighed.join(F.broadcast(known.where("__held")), id_col).groupBy(id_col).agg(F.min("log_weight").alias("w"), F.first("__good").alias("good")).toArrow()
     cut = best_cut(held.column("w").to_numpy(), held.column("good").to_numpy().astype(bool), clean_weight)
     k = weighed.where(F.col("log_weight") >= cut).count() if cut > -math.inf else None
     threshold = None
     if k is not None:
-        keys = weighed.select(gumbel_key(F.col("log_weight"), cut, temperature, id_col).alias("key"))
+        keys = weighed.select(gumbel_key(F.col("log_weight"), temperature, id_col).alias("key"))
         threshold = kth_largest(staged(keys, "keys"), "key", k) if k else (1 << 63) - 1
-    classifier = Classifier(ratios, window, cut, temperature, threshold, id_col, text_col)
+    classifier = Classifier(ratios, cut, temperature, threshold, id_col, text_col)
     return classifier.judged(weighed), classifier

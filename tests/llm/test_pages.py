@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from veritab.llm import html_extract as H
 from veritab.llm import url_filter as U
@@ -6,7 +7,7 @@ from veritab.llm.queries import ORACLE
 
 
 def main_text(page):
-    return "\n".join(t for k, t in H.blocks_of(page) if k == 2)
+    return "\n".join(t for k, t in H.blocks_of(page) if k >= H.MAIN_TEXT)
 
 
 def test_article_text():
@@ -20,37 +21,115 @@ def test_article_text():
     assert H.blocks_of(None) == [] and H.blocks_of("") == [] and H.blocks_of("<article></article>") == []
     assert main_text("<main><p>unclosed <b>bold<p>next") == "unclosed bold\nnext"
     assert main_text('<div role="main"><p title="a>b">t</p></div>') == "t"
-    assert [k for k, _ in H.blocks_of("<body>text<p>more")] == [1, 1]
+    assert [k for k, _ in H.blocks_of("<body>text<p>more")] == [H.OPEN, H.OPEN]
+
+
+def test_wrappers_keep_their_article():
+    assert main_text('<div class="layout with-sidebar"><article><p>text</p></article><div class="sidebar">side</div></div>') == "text"
+    assert main_text('<div class="page no-comments"><main><p>text</p></main></div>') == "text"
+    assert main_text('<div class="widget"><div><article class="teaser"><p>text</p></article></div></div>') == "text"
+    assert main_text('<article><section class="related-work"><p>about others</p></section><div class="related-posts promo">x</div></article>') == "about others"
+    assert main_text('<div id="comments"><article><p>reader</p></article></div><article><p>text</p></article>') == "text"
+    assert main_text("<nav><article>menu</article></nav>") == ""
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(4)
+    for n in [1, 2, 9, 60, 300]:
+        text = rng.integers(0, 3, n)
+        order, levels = H.suffix_array(text)
+        whole = [text[i:].tolist() for i in range(n)]
+        assert order.tolist() == sorted(range(n), key=lambda i: whole[i])
+        share = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        i, j = rng.integers(0, n, 50), rng.integers(0, n, 50)
+        i, j = i[i != j], j[i != j]
+        assert H.common_prefixes(levels, i, j).tolist() == [share(whole[a], whole[b]) for a, b in zip(i, j, strict=True)]
 
 
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        streams = [rng.integers(1, 4, rng.integers(0, 40)).astype(np.uint64) for _ in range(12)]
-        pages = [int(p) for p in np.sort(rng.integers(0, 5, 12))]
-        w, n = H.repeats(streams, pages)
+        streams = [rng.integers(1, 3, rng.integers(1, 40)).astype(np.uint64) for _ in range(12)]
+        pages = np.sort(rng.integers(0, 5, 12))
+        row = np.repeat(np.arange(12), [len(s) for s in streams])
+        w, n = H.repeats(np.concatenate(streams), row, pages)
         want = {}
-        for s, p in zip(streams, pages, strict=True):
+        for s, p in zip(streams, pages.tolist(), strict=True):
             size = min(len(s), H.LEAST)
-            for i in range(len(s) - size + 1) if size else ():
+            for i in range(len(s) - size + 1):
                 want.setdefault(tuple(s[i : i + size].tolist()), set()).add(p)
-        named = {int(H.windows_of(np.array(k, np.uint64))[0]): len(v) for k, v in want.items()}
+        named = {int(H.windows_of(np.array(k, np.uint64), np.zeros(len(k), int))[2][0]): len(v) for k, v in want.items()}
         assert dict(zip(w.tolist(), n.tolist(), strict=True)) == named
+    assert H.repeats(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))[0].size == 0
 
 
-def test_open_pages(spark):
+def brute_texts(rows, inside=False):
+    """(page_id, text) by plain loops over tuples of tokens; rows: (page_id, url, html)."""
+    host = lambda url: (url or "").partition("://")[2].partition("/")[0].lower()
+    windows = lambda t: [(i, tuple(t[i : i + H.LEAST])) for i in range(max(1, len(t) - H.LEAST + 1))]
+    seen = {}
+    for _, url, html in rows:
+        for kind, text in H.blocks_of(html):
+            if kind < H.MAIN_TEXT:
+                for _, w in windows(text.split(" ")):
+                    seen.setdefault((host(url), w), set()).add(html)
+    out = []
+    for page, url, html in rows:
+        blocks = H.blocks_of(html)
+        main = [b for b in blocks if b[0] >= H.MAIN_TEXT]
+        texts = []
+        for kind, text in main or [b for b in blocks if b[0] == H.OPEN]:
+            tokens = text.split(" ")
+            gone = set()
+            for i, w in windows(tokens):
+                if len(seen.get((host(url), w), ())) >= H.PAGES and (not main or (inside and kind != H.HEADING and len(w) == H.LEAST)):
+                    gone |= set(range(i, i + len(w)))
+            run = []
+            for i, t in enumerate([*tokens, None]):
+                if i in gone or t is None:
+                    texts += [" ".join(run)] if run else []
+                    run = []
+                else:
+                    run.append(t)
+        out.append((page, "\n".join(texts)))
+    return out
+
+
+@pytest.mark.parametrize("small", [H.SMALL, 0])
+def test_repetition_decides(spark, monkeypatch, small):
+    """Text that other pages of the host repeat goes from open pages and, where asked, from articles; copies stay."""
+    monkeypatch.setattr(H, "SMALL", small)
     shared = "Welcome to this very fine site of many words"
-    rows = [(i, f"http://h.org/{i}", f"<body><p>{shared}</p><p>Text number {i} is unlike every other text on it {i * i}</p></body>") for i in range(5)]
-    rows += [(10, "http://other.org/1", f"<p>{shared}</p>"), (11, "http://h.org/a", f"<article><p>{shared}</p></article>"), (12, None, None), (13, "x", ""), (0, rows[0][1], rows[0][2])]
+    rows = [(i, f"http://h.org/{i}", f"<body><p>{shared}</p><p>Text number {i} is unlike every other text on it {i * i}</p><p>Menu</p></body>") for i in range(5)]
+    rows += [(10, "http://other.org/1", f"<p>{shared}</p>"), (11, "http://h.org/a", f"<article><h1>{shared} x</h1><p>Own words. {shared} More own words.</p><p>Menu</p></article>"), (12, None, None), (13, "x", ""), (0, rows[0][1], rows[0][2])]
     rows += [(20 + i, f"http://copy.org/{i}", "<p>a page that is a copy of all the others here</p>") for i in range(4)]
+    # An article that many pages hold stays; a notice that stands outside articles too goes from it, also in a very long text.
+    notice = "we use cookies on all of our fine pages as you may know by now"
+    rows += [(30 + i, f"http://n.org/{i}", f"<div>{notice} {i}</div><article><p>this article is on all of the pages of its host and stays whole</p></article>") for i in range(4)]
+    rows += [(40, "http://n.org/long", f"<article><p>{'word ' * 300_000}</p><p>before {notice} after</p></article>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").repartition(3)
-    got = sorted((r.page_id, r.text) for r in H.extract(pages).collect())
-    want = [(i, f"Text number {i} is unlike every other text on it {i * i}") for i in (0, 0, 1, 2, 3, 4)]
-    want += [(10, shared), (11, shared), (12, ""), (13, "")] + [(20 + i, "a page that is a copy of all the others here") for i in range(4)]
-    assert got == sorted(want)
+    found = {(r.page_id, r.text, r.n_covered > 0) for r in H.extract(pages, inside_articles=True).collect()}
+    assert sorted((p, t) for p, t, _ in found) == sorted(set(brute_texts(rows, True)))
+    want = {i: f"Text number {i} is unlike every other text on it {i * i}" for i in range(5)} | {10: shared, 11: f"{shared} x\nOwn words.\nMore own words.\nMenu", 12: "", 13: ""}
+    want |= {20 + i: "a page that is a copy of all the others here" for i in range(4)} | {30 + i: "this article is on all of the pages of its host and stays whole" for i in range(4)}
+    got = {p: t for p, t, _ in found}
+    assert {p: t for p, t in got.items() if p < 40} == want and got[40].endswith("word\nbefore\nafter")
+    assert {p for p, _, covered in found if covered} == {0, 1, 2, 3, 4, 11, 40}
+    by_default = {r.page_id: (r.text, r.n_covered) for r in H.extract(pages).collect()}
+    assert {p: t for p, (t, _) in by_default.items()} == dict(brute_texts(rows)) and {p for p, (_, n) in by_default.items() if n} == {0, 1, 2, 3, 4}
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_whole_table_against_brute_force(spark):
+    from veritab.llm import queries
+
+    path = "/root/testdata/sf0.01"
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{path}/pages.parquet").collect()]
+    got = queries.op2_html_extract(spark, path).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted(brute_texts(rows))
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_rules(spark):
     urls = [
         ("http://A.Example.NET/en/x?q", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://example.net/de/", "example.net", "/de/", "net/", "block"),

@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fingerprints differ in 69 of 256 bits on average with a deviation of 7.
     """
     counted = simhash.keep_one(docs, shingle=5, radius=100, width=4, smallest=8, least=0.5)
-    done = line_dedup.remove_boilerplate(docs, most=1.0, counted=counted)
+    done = line_dedup.remove_boilerplate(docs, counted=counted)
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

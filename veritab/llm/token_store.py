@@ -53,7 +53,7 @@ END_ID = 0
 #: Text bytes that are encoded at once; a longer document is encoded alone.
 PIECE = 1 << 20
 #: Pieces kept with their ids in each half of a Python worker's store, and new pieces that the library takes at once.
-STORE, TOGETHER = 600_000, 4096
+STORE, TOGETHER = 900_000, 4096
 
 
 def varint(n: int) -> bytes:
@@ -246,8 +246,8 @@ class PieceEncoder:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        # A piece with white space behind its first character, or without anything else, is encoded alone.
-        plain = [i for i, p in enumerate(pieces) if (p[1:] if p[0] == " " else p).split() == [p.lstrip(" ")]]
+        # White space has a piece of its own, or is one space before others; the former is encoded alone.
+        plain = [i for i, p in enumerate(pieces) if not p.isspace()]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)

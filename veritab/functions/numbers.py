@@ -22,37 +22,49 @@ def _double(text: Column) -> Column:
     return F.translate(text, "−", "-").try_cast("double")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def parse_cell(raw: Column, text: Column) -> Column:
     """PARSED of a cell; raw is its markup, text what flatten() makes of it.
 
     Powers of ten and subscripts are looked for in raw, where the braces still stand; the
     other forms must fill the text once unit, comparator and markers are off.
     """
-    power = F.regexp_extract(raw, SCIENTIFIC, 2)
-    scientific = _double(F.regexp_extract(raw, SCIENTIFIC, 1)) * F.pow(F.lit(10.0), power.try_cast("int"))
     unit = F.when(F.contains(text, F.lit("×")), "times").when(F.contains(text, F.lit("%")), "percent").otherwise("none")
-    core = F.translate(text, "%×", "")
-    lead = F.regexp_extract(core, r"^\s*(<=|>=|[≤≥<>≈~])", 1)
-    core = F.when(lead != "", F.regexp_replace(core, r"^\s*(?:<=|>=|[≤≥<>≈~])", "")).otherwise(core)
-    trail = F.regexp_extract(core, rf"((?:\s*[{MARKERS}])*)\s*$", 1)
-    marks = F.filter(F.split(F.regexp_replace(trail, r"\s+", ""), ""), lambda m: m != "")
-    core = F.regexp_replace(core, rf"(?:\s*[{MARKERS}])*\s*$", "")
-    core = F.when(F.trim(core).rlike(r"^[\d,]+(?:\.\d+)?$"), F.translate(core, ",", "")).otherwise(core)
-    core = F.trim(F.regexp_replace(core, r"\s+", " "))
-    markers = F.concat(marks, F.filter(F.array(lead), lambda m: m != ""))
-    placeholder = F.lower(core).isin(NOT_NUMBERS)
     none, nothing = F.lit("none"), F.lit(None).cast("double")
+    pair = lambda source, pattern, k: _double(F.regexp_extract(source, pattern, k))
 
-    def made(value: Column, uncertainty: Column = nothing, kind: str = "none", of: Column = unit, marked: Column = markers) -> Column:
+    def made(value: Column, uncertainty: Column, kind: str, of: Column, marked: Column) -> Column:
         return F.struct(value.isNotNull().alias("is_numeric"), value.alias("value"), F.abs(uncertainty).alias("uncertainty"), F.lit(kind).alias("uncertainty_kind"), of.alias("unit"), marked.alias("markers")).cast(PARSED)
 
-    pair = lambda source, pattern, k: _double(F.regexp_extract(source, pattern, k))
-    return (
-        F.when(raw.rlike(SCIENTIFIC), made(scientific, of=none, marked=F.array().cast("array<string>")))
-        .when(placeholder, made(nothing, of=none))
-        .when(raw.rlike(SUBSCRIPT), made(pair(raw, SUBSCRIPT, 1), pair(raw, SUBSCRIPT, 2), "subscript"))
-        .when(core.rlike(PLUS_MINUS), made(pair(core, PLUS_MINUS, 1), pair(core, PLUS_MINUS, 2), "pm"))
-        .when(core.rlike(PARENTHESES), made(pair(core, PARENTHESES, 1), pair(core, PARENTHESES, 2), "paren"))
-        .when(core.rlike(f"^{NUMBER}$"), made(_double(core)))
-        .otherwise(made(nothing, of=none))
-    )
+    def typed(core: Column, lead: Column, trail: Column) -> Column:
+        marks = F.filter(F.split(F.regexp_replace(trail, r"\s+", ""), ""), lambda m: m != "")
+        markers = F.concat(marks, F.filter(F.array(lead), lambda m: m != ""))
+        return (
+            F.when(raw.rlike(SCIENTIFIC), made(pair(raw, SCIENTIFIC, 1) * F.pow(F.lit(10.0), F.regexp_extract(raw, SCIENTIFIC, 2).try_cast("int")), nothing, "none", none, F.array().cast("array<string>")))
+            .when(F.lower(core).isin(NOT_NUMBERS), made(nothing, nothing, "none", none, markers))
+            .when(raw.rlike(SUBSCRIPT), made(pair(raw, SUBSCRIPT, 1), pair(raw, SUBSCRIPT, 2), "subscript", unit, markers))
+            .when(core.rlike(PLUS_MINUS), made(pair(core, PLUS_MINUS, 1), pair(core, PLUS_MINUS, 2), "pm", unit, markers))
+            .when(core.rlike(PARENTHESES), made(pair(core, PARENTHESES, 1), pair(core, PARENTHESES, 2), "paren", unit, markers))
+            .when(core.rlike(f"^{NUMBER}$"), made(_double(core), nothing, "none", unit, markers))
+            .otherwise(made(nothing, nothing, "none", none, markers))
+        )
+
+    def without_commas(core: Column) -> Column:
+        digits = F.when(F.trim(core).rlike(r"^[\d,]+(?:\.\d+)?$"), F.translate(core, ",", "")).otherwise(core)
+        return F.trim(F.regexp_replace(digits, r"\s+", " "))
+
+    def without_marks(core: Column, lead: Column) -> Column:
+        trail = F.regexp_extract(core, rf"((?:\s*[{MARKERS}])*)\s*$", 1)
+        bare = F.regexp_replace(core, rf"(?:\s*[{MARKERS}])*\s*$", "")
+        return _let(trail, lambda t: _let(bare, lambda c: _let(without_commas(c), lambda d: typed(d, lead, t))))
+
+    def without_comparator(core: Column) -> Column:
+        lead = F.regexp_extract(core, r"^\s*(<=|>=|[≤≥<>≈~])", 1)
+        rest = lambda x: F.when(x != "", F.regexp_replace(core, r"^\s*(?:<=|>=|[≤≥<>≈~])", "")).otherwise(core)
+        return _let(lead, lambda x: _let(rest(x), lambda c: without_marks(c, x)))
+
+    return _let(F.translate(text, "%×", ""), without_comparator)

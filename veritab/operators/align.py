@@ -12,8 +12,8 @@ STATISTIC_WORDS = [("median", "median"), ("total", "sum"), ("sum", "sum"), ("cou
 #: Weights of the score of a file, and of an entry point.
 BY_FILENAME, BY_CATEGORY, EXTRA = 3.0, 2.0, 0.5
 WRITES, NAME_WORD, TEXT_WORD, MOST_TEXT, FLOOR = 3.0, 0.5, 0.25, 1.5, 1.0
-#: Names up to which they are sent to every task for matching with paths.
-SMALL = 50_000
+#: Least characters of a name that is looked for inside others.
+LEAST_INSIDE = 4
 
 
 def category_values(profiled: DataFrame) -> DataFrame:
@@ -33,18 +33,26 @@ def by_category(wanted: DataFrame, values: DataFrame) -> DataFrame:
 def by_filename(wanted: DataFrame, paths: DataFrame) -> DataFrame:
     """(name, path) of each name that a path names.
 
-    A whole word matches by an equi-join. Names across several words need containment; they
-    come from a paper, so the paths are scanned once against the few of them.
+    A whole word matches by an equi-join. Names across several words stand inside the joined words; they
+    are found by their first LEAST_INSIDE characters and then compared whole.
     """
     keyed = wanted.select("name", names.normalize(F.col("name")).alias("norm")).where("norm != ''")
     words = paths.select("path", F.explode(F.array_distinct(F.transform(names.content_tokens(F.col("path")), names.normalize))).alias("norm"))
     whole = words.join(keyed, "norm").select("name", "path")
-    if keyed.count() > SMALL:
-        raise ValueError(f"more than {SMALL} names to look for inside paths")
-    listed = F.broadcast(keyed.where("length(norm) >= 4").agg(F.collect_list(F.struct("name", "norm")).alias("names")))
     joined = paths.select("path", F.array_join(F.array_sort(names.content_tokens(F.col("path"))), "").alias("joined"))
-    inside = joined.crossJoin(listed).select("path", F.explode(F.filter("names", lambda n: F.contains(F.col("joined"), n["norm"]))).alias("n"))
-    return whole.union(inside.select("n.name", "path")).distinct()
+    inside = joined.select("path", "joined", F.explode(grams(F.col("joined"), LEAST_INSIDE)).alias("gram")).join(keyed.withColumn("gram", first_gram(F.col("norm"), LEAST_INSIDE)), "gram")
+    return whole.union(inside.where(F.contains("joined", F.col("norm"))).select("name", "path")).distinct()
+
+
+def grams(text: Column, n: int) -> Column:
+    """The distinct stretches of n characters; none of a shorter text."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda p: F.substring(text, p, F.lit(n)))
+    return F.filter(F.array_distinct(every), lambda g: F.length(g) == n)
+
+
+def first_gram(text: Column, n: int) -> Column:
+    """Null for a text that is too short to have one."""
+    return F.when(F.length(text) >= n, F.substring(text, 1, n))
 
 
 def by_alias(wanted: DataFrame, aliases: DataFrame, values: DataFrame) -> DataFrame:
@@ -154,23 +162,22 @@ def missing_checkpoint(cells: DataFrame, enumerations: DataFrame, values: DataFr
 
     cells: (table_id, address, level, name); enumerations: (script, model).
     """
-    label = cells.select("table_id", "level", "name").distinct()
-    # Labels of papers and model lists of scripts are short lists; a checked bound keeps them so.
-    if enumerations.count() > SMALL:
-        raise ValueError(f"more than {SMALL} enumerated models")
-    listed = F.broadcast(enumerations.groupBy("script").agg(F.collect_set("model").alias("models")))
-    pairs = label.crossJoin(listed).withColumn("has", F.exists("models", lambda x: _names(F.col("name"), x)))
-    sibling = F.max(F.when(F.col("has"), 1).otherwise(0)).over(Window.partitionBy("table_id", "level", "script"))
-    absent = pairs.withColumn("sibling", sibling).where("sibling = 1 and not has").withColumn("norm", names.normalize(F.col("name")))
+    label = cells.select("table_id", "level", "name").distinct().withColumn("norm", names.normalize(F.col("name")))
+    model = enumerations.select("script", names.normalize(F.col("model")).alias("model_norm")).distinct()
+    n = names.LEAST_CONTAINED
+    # A name stands inside a model's or the other way round: the shorter one's first characters are in the longer.
+    shown = label.select("norm", F.explode(grams(F.col("norm"), n)).alias("gram")).distinct().join(model.withColumn("gram", first_gram(F.col("model_norm"), n)), "gram")
+    hidden = model.select("script", "model_norm", F.explode(grams(F.col("model_norm"), n)).alias("gram")).join(label.select("norm", first_gram(F.col("norm"), n).alias("gram")).distinct(), "gram")
+    both = shown.where(F.contains("norm", F.col("model_norm"))).select("norm", "script").union(hidden.where(F.contains("model_norm", F.col("norm"))).select("norm", "script")).distinct()
+    listed = label.join(both, "norm")
+    # Labels whose group has a sibling in the script's list, without those that the list has itself.
+    siblings = listed.select("table_id", "level", "script").distinct().join(label, ["table_id", "level"])
+    absent = siblings.join(listed.select("table_id", "level", "name", "script"), ["table_id", "level", "name", "script"], "left_anti")
     absent = absent.join(values.select("norm").distinct(), "norm", "left_anti")
     first = absent.groupBy("table_id", "level", "name").agg(F.min("script").alias("script"))
     return cells.join(first, ["table_id", "level", "name"]).select("address", "name", "script")
 
 
-def _names(name: Column, model: Column) -> Column:
-    return names.contained(name, model) | names.contained(model, name)
-
-
 def rank_entry_points(scripts: DataFrame, written: DataFrame, wanted: DataFrame) -> DataFrame:
     """(table_id, script, score, rank): scripts by how plausibly they produce a table.
 

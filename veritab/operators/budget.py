@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +27,31 @@ def estimate(scripts: DataFrame, models: DataFrame, rows: DataFrame) -> DataFram
 def ledger(estimates: DataFrame, ceilings: dict[str, float] = CEILINGS) -> DataFrame:
     """(run, ord, refused, spent) of each estimate in its run's order; what is refused spends nothing.
 
-    estimates: (run, ord, download_mb, gpu_hours, wall_hours). A grant depends on all grants
-    before it, so a run's estimates (a handful of entry points) are folded in order.
+    estimates: (run, ord, download_mb, gpu_hours, wall_hours); spent: what all grants so far add up to, in
+    this order. A grant depends on all grants before it, so a task goes through the sorted estimates of
+    its runs once and holds three sums, however long a run is.
     """
     kinds = ["download_mb", "gpu_hours", "wall_hours"]
-    listed = estimates.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("ord", *kinds))).alias("steps"))
-    zero = F.struct(F.array(*[F.lit(0.0)] * 3).alias("spent"), F.expr("cast(array() as array<struct<ord:bigint,refused:string,spent:array<double>>>)").alias("out"))
-
-    def step(acc, s):
-        refused = F.coalesce(*[F.when(s[k] > F.lit(ceilings[k]) - acc["spent"][i], F.lit(k)) for i, k in enumerate(kinds)])
-        spent = F.when(refused.isNull(), F.array(*[acc["spent"][i] + s[k] for i, k in enumerate(kinds)])).otherwise(acc["spent"])
-        entry = F.struct(s["ord"].cast("bigint").alias("ord"), refused.alias("refused"), spent.alias("spent"))
-        return F.struct(spent.alias("spent"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    folded = listed.select("run", F.aggregate("steps", zero, step).getField("out").alias("out"))
-    return folded.select("run", F.inline("out"))
+    most = [ceilings[k] for k in kinds]
+    kind = estimates.schema["run"].dataType.simpleString()
+
+    def run(batches):
+        last, spent = object(), [0.0] * 3
+        for b in batches:
+            refused, totals = [], []
+            for name, *wants in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if name != last:
+                    last, spent = name, [0.0] * 3
+                over = next((k for k, w, s, m in zip(kinds, wants, spent, most, strict=True) if w > m - s), None)
+                if over is None:
+                    spent = [s + w for s, w in zip(spent, wants, strict=True)]
+                refused.append(over)
+                totals.append(spent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(refused, pa.string()), pa.array(totals, pa.list_(pa.float64()))], ["run", "ord", "refused", "spent"])
+
+    amounts = [F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in kinds]
+    placed = estimates.select("run", F.col("ord").cast("long").alias("ord"), *amounts).repartition("run").sortWithinPartitions("run", "ord")
+    return placed.mapInArrow(run, f"run {kind}, ord long, refused string, spent array<double>")
 
 
 def running_total(estimates: DataFrame, column: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Recipe execution: every recipe's filter and aggregates in one pass over the rows.
 
 Recipes (address, path, value_column, statistic, uncertainty, filters array<struct<column, value>>)
-meet artifact rows (path, row_no, kv map<string,string>) by path. Filters are pairs, not a
-map: two on one column select nothing, as they should.
+meet artifact rows (path, row_no, kv map<string,string>) by path and filters; a missing column counts as
+empty. Filters are pairs, not a map: two on one column select nothing, as they should.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.scalars import is_finite, to_number
@@ -17,20 +17,43 @@ SMALL = 50_000
 DIGITS = 3
 
 
-def matches(kv: Column, filters: Column) -> Column:
-    """Whether a row has the value of every filter; a missing column counts as empty."""
-    return F.forall(filters, lambda f: F.trim(F.coalesce(F.try_element_at(kv, f["column"]), F.lit(""))) == f["value"])
-
-
 def aggregates(x: Column) -> list[Column]:
-    """The five statistics of the finite numbers, and how many were left out."""
+    """Four of the statistics of the finite numbers, and how many were left out; each has a state of fixed size."""
     good = F.when(is_finite(x), x)
     return [
-        F.avg(good).alias("mean"), F.percentile(good, 0.5).alias("median"), F.sum(good).alias("sum"), F.count(good).cast("double").alias("count"),
+        F.avg(good).alias("mean"), F.sum(good).alias("sum"), F.count(good).cast("double").alias("count"),
         F.stddev_samp(good).alias("stdev"), F.count(good).alias("n_rows"), F.count_if(good.isNull()).alias("skipped"),
     ]
 
 
+def medians(seen: DataFrame) -> DataFrame:
+    """(address, median) of rows (address, x): equal numbers are counted first, then their running count tells the middle.
+
+    The numbers of one address are sorted, outside memory if need be, not collected.
+    """
+    counted = seen.where(is_finite(F.col("x"))).groupBy("address", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("address").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    total = counted.groupBy("address").agg(F.sum("n").alias("total"))
+    ranked = counted.withColumn("last", F.sum("n").over(upto)).join(total, "address")
+    first = F.col("last") - F.col("n") + 1
+    at = lambda place: F.max(F.when((first <= place) & (F.col("last") >= place), F.col("x")))
+    return ranked.groupBy("address").agg(((at(F.expr("(total + 1) div 2")) + at(F.expr("total div 2 + 1"))) / 2).alias("median"))
+
+
+def selected(recipes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(address, statistic, x) of each row that a recipe selects; x is null where its column holds no number.
+
+    Recipes are found by path, the columns that they filter and the values there: the filter is part of the join,
+    so a row meets just the recipes that select it.
+    """
+    ordered = F.array_sort("filters")
+    keyed = recipes.select("address", "path", "statistic", "value_column", F.transform(ordered, lambda f: f["column"]).alias("pins"), F.transform(ordered, lambda f: f["value"]).alias("pinned"))
+    few = (lambda df: F.broadcast(df)) if recipes.count() <= SMALL else (lambda df: df)
+    value = F.transform("pins", lambda c: F.trim(F.coalesce(F.try_element_at("kv", c), F.lit(""))))
+    joined = rows.join(few(keyed.select("path", "pins").distinct()), "path").withColumn("pinned", value).join(few(keyed), ["path", "pins", "pinned"])
+    return joined.select("address", "statistic", to_number(F.try_element_at("kv", F.col("value_column"))).alias("x"))
+
+
 def picked(statistic: Column) -> Column:
     """The column that a statistic's name asks for."""
     out = F.lit(None).cast("double")
@@ -42,13 +65,12 @@ def picked(statistic: Column) -> Column:
 def harvest(recipes: DataFrame, rows: DataFrame) -> DataFrame:
     """(address, value, uncertainty, n_rows, skipped, error) of each recipe; error says why there is no value.
 
-    Joined by path; recipes are sent to all tasks when few. Partial aggregates keep a
+    Recipes are sent to all tasks when few. Partial aggregates keep a
     recipe over a third of all rows to one state a task. Values are rounded to three digits.
     """
-    few = F.broadcast(recipes) if recipes.count() <= SMALL else recipes
-    joined = rows.join(few, "path").where(matches(F.col("kv"), F.col("filters")))
-    seen = joined.withColumn("x", to_number(F.try_element_at("kv", F.col("value_column"))))
+    seen = selected(recipes, rows)
     stats = seen.groupBy("address").agg(*aggregates(F.col("x")))
+    stats = stats.join(medians(seen.where("statistic = 'median'")), "address", "left")
     columns = rows.select("path", F.explode(F.map_keys("kv")).alias("column")).groupBy("path").agg(F.collect_set("column").alias("columns"))
     out = recipes.join(columns, "path", "left").join(stats, "address", "left")
     missing = F.filter(F.col("filters"), lambda f: ~F.array_contains("columns", f["column"]))

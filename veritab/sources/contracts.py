@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.schema import RESULTS, TABLE, VERSION, checked_failure, checked_version
+from veritab.schema import CELL, RESULTS, TABLE, VERSION, checked_failure, checked_version
 
 DEFAULTS = {"relative": 0.05, "absolute": None, "multiplier": 3.0}
 #: Names that a setting goes by.
@@ -24,16 +24,48 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pos", "c.address", "c.value", "c.uncertainty", "c.n_seeds", checked_failure(F.col("c.failure")).alias("failure"), F.coalesce("c.caveats", F.array().cast("array<string>")).alias("caveats"))
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(paper, table struct) of extraction files."""
-    docs = spark.read.schema(f"schema_version string, tables array<struct<{_nested(TABLE)}>>").json(path, multiLine=True)
+def read_tables(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(paper, table struct) of what write_papers wrote or, without ``lines``, of files that hold one paper each."""
+    docs = spark.read.schema(PAPER).json(path, multiLine=not lines)
     return docs.select(F.input_file_name().alias("paper"), checked_version(F.col("schema_version")).alias("version"), F.explode("tables").alias("t")).where("version is not null").select("paper", "t.*")
 
 
+def paper_json(cells: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+    """(paper_id, value): each paper's tables as one versioned JSON text that read_tables reads.
+
+    cells: as extract_cells gives them; paragraphs: (paper_id, label, ord, paragraph). A paper's cells meet in one row.
+    """
+    fields = [x.strip().split()[0] for x in CELL.split(", ")]
+    cell = F.struct(*[(F.col(c) if c in cells.columns else F.array().cast("array<string>")).alias(c) for c in fields])
+    heads = F.array_sort(F.collect_set(F.struct("col", "col_path")))
+    tables = cells.groupBy("paper_id", "inline", "index", "table_id").agg(
+        F.max("label").alias("label"), F.max("caption").alias("caption"), F.max("environment").alias("environment"),
+        F.transform(heads, lambda h: h["col_path"]).alias("column_headers"), F.transform(F.array_sort(F.collect_list(F.struct("row", "col", cell.alias("cell")))), lambda x: x["cell"]).alias("cells"),
+    )
+    if paragraphs is not None:
+        said = paragraphs.groupBy("paper_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "paragraph"))), lambda x: x["paragraph"]).alias("referencing_paragraphs"))
+        tables = tables.join(said, ["paper_id", "label"], "left")
+    else:
+        tables = tables.withColumn("referencing_paragraphs", F.lit(None).cast("array<string>"))
+    one = F.struct(F.col("index").cast("int").alias("index"), "label", "caption", "environment", "column_headers", "cells", F.coalesce("referencing_paragraphs", F.array().cast("array<string>")).alias("referencing_paragraphs"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("inline", "index", one.alias("table")))), lambda x: x["table"])
+    papers = tables.groupBy("paper_id").agg(ordered.alias("tables"))
+    return papers.select("paper_id", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "tables")).alias("value"))
+
+
+def write_papers(cells: DataFrame, folder: str, paragraphs: DataFrame | None = None) -> None:
+    """paper_json as a folder of JSON lines, one paper each."""
+    paper_json(cells, paragraphs).select("value").write.text(folder)
+
+
 def _nested(schema: str) -> str:
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
 
 
+#: What write_papers writes on each line.
+PAPER = f"schema_version string, tables array<struct<{_nested(TABLE)}>>"
+
+
 def result_json(results: DataFrame) -> DataFrame:
     """One JSON text for each result: failure or value, never both; a value that is null without a failure is kept."""
     failed = F.col("failure").isNotNull()

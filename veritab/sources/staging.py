@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one in ``spark.checkpoint.dir``, which executors and driver share.
+
+    Where the setting is absent (tests in local mode) a local temporary folder serves.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veritab-")
+    return f"{base.rstrip('/')}/veritab-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder in ``spark.checkpoint.dir`` and read again.
+    """df written to the shared folder and read again.
 
     Later steps start from a short plan, and a lost executor replays none of the work before.
-    Where the setting is absent (tests in local mode) a local temporary folder serves.
     """
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veritab-")
-    path = f"{base.rstrip('/')}/veritab-{uuid.uuid4().hex}/table"
+    path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

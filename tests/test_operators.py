@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.operators import align, budget, extract, grade, harvest, profile, scripts
+from veritab.operators import align, budget, extract, grade, harvest, outcomes, profile, scripts
 from veritab.sources import contracts, files
 
 PAPER = r"""\documentclass{article}
@@ -103,6 +103,45 @@ def test_profile_and_harvest(spark, tmp_path):
     assert all(got[a].value is None and got[a].error for a in ("both", "file", "col", "filter"))
 
 
+def test_wide_and_odd_files(spark, tmp_path):
+    n = 700
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(n)) + "\n" + ",".join(map(str, range(n))) + "\n" + ",".join(["x"] * (n + 5)) + "\n")
+    (tmp_path / "two.csv").write_text('"a,b",c\n1,"two\nlines"\n3\n')
+    rows = {(r.path.rsplit("/", 1)[1], r.row_no): r.kv for r in files.read_artifacts(spark, str(tmp_path)).collect()}
+    assert rows["wide.csv", 1] == {f"c{i}": str(i) for i in range(n)} and len(rows["wide.csv", 2]) == n
+    assert rows["two.csv", 1] == {"a,b": "1", "c": "two\nlines"} and rows["two.csv", 2] == {"a,b": "3", "c": ""}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.csv").write_text('"a\nb",c\n1,2\n')
+    with pytest.raises(ValueError, match="several lines"):
+        files.read_artifacts(spark, str(tmp_path / "bad"))
+
+
+def test_medians_against_sorting(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    groups = {f"g{n}": [rng.choice([-1.5, 0.0, 2.25, 7.0, 7.5]) for _ in range(n)] for n in (1, 2, 3, 4, 9, 10, 51)}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("g3", None), ("g3", float("nan")), ("none", None)], "address string, x double")
+    assert {r.address: r["median"] for r in harvest.medians(rows).collect()} == {g: statistics.median(xs) for g, xs in groups.items()}
+
+
+def test_outcomes(spark):
+    runs = spark.createDataFrame(
+        [("gated first", "s.py", 1, "", "403 Client Error\nRepositoryNotFoundError", "x"), ("module first", "s.py", 1, "No module named \"a.b\"", "401 Client Error", "x"), ("null", "s.py", 137, None, None, "x"), ("fine", "s.py", 0, "", "", "x")],
+        "run string, script string, returncode int, stdout string, stderr string, source string",
+    )
+    got = {r.run: (r.code, r.evidence) for r in outcomes.classify(runs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"gated first": "GATED_DATASET", "module first": "MISSING_DEPENDENCY", "null": "OTHER"}
+    assert got["null"][1] == "s.py exited 137; last output was: (silent)" and "'a.b'; x does not" in got["module first"][1]
+    recipes = spark.createDataFrame([("a", "t", "f.csv"), ("b", "t", "g.csv"), ("c", "u", "f.csv")], "address string, table_id string, path string")
+    there = spark.createDataFrame([("f.csv",)], "path string")
+    tables = spark.createDataFrame([("t", "s.py", False)], "table_id string, script string, executed boolean")
+    none = spark.createDataFrame([], "table_id string, ord int, code string, evidence string")
+    got = {r.address: (r.failure and r.failure.code, r.provenance) for r in outcomes.readable(recipes, there, tables, none).collect()}
+    assert got == {"a": (None, "committed"), "b": ("OTHER", None), "c": (None, "committed")}
+
+
 def test_differences(spark):
     cells = spark.createDataFrame([("p", "t", ["r"], [c], i, c, True) for i, c in enumerate(["A", "B", "Δ"])] + [("p", "t", ["q"], ["Δ"], 2, "q", True)], "paper_id string, table_id string, row_path array<string>, col_path array<string>, col int, address string, is_numeric boolean")
     ops = grade.difference_operands(cells)
@@ -121,6 +160,10 @@ def test_scripts(spark):
     assert {(r.left, r.right) for r in scripts.aliases(s, known).collect()} == {("tiny", "Tiny One"), ("huge", "Huge One")}
     art = spark.createDataFrame([("data/scores_tiny.csv",), ("data/x.csv",)], "artifact string")
     assert [(r.artifact, r.fragment) for r in scripts.writes(s, art).collect()] == [("data/scores_tiny.csv", "data/scores_")]
+    # Anywhere in a literal; not where more of the same name follows; not what is read.
+    some = [("a.py", 'df.to_csv("./out/scores.csv")'), ("b.py", 'df.to_csv(f"{root}/out/scores_all.csv")'), ("c.py", 'pd.read_csv("out/scores.csv")'), ("d.py", 'p = "out/scores.{x}"\n\nwith open(p, "w") as f:'), ("e.py", 'to_csv("out/scor" + x)')]
+    got = scripts.writes(spark.createDataFrame(some, "script string, text string"), spark.createDataFrame([("out/scores.csv",)], "artifact string"))
+    assert {(r.script, r.fragment) for r in got.collect()} == {("a.py", "out/scores.csv"), ("d.py", "out/scores."), ("e.py", "out/scor")}
     req = spark.createDataFrame([("r", "# c\nNum_Py>=1\n-e git+x#egg=My.Pkg\n-r other\n")], "path string, text string")
     assert {r.distribution for r in scripts.requirements(req).collect()} == {"num-py", "my-pkg"}
     assert files.pyproject_names('[project]\ndependencies = ["A_b>1", "c"]') == ["a-b", "c"] and files.pyproject_names("[") == []

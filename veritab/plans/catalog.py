@@ -6,18 +6,16 @@ The tables given hold no papers, so each query derives what its operator reads
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions import latex, names, numbers, scalars
-from veritab.operators import align, budget, extract, grade, harvest, profile, report, scripts
+from veritab.operators import align, budget, extract, grade, harvest, outcomes, profile, report, scripts
 from veritab.plans import mapper
-from veritab.schema import RESULTS, checked_failure, checked_version
-from veritab.sources import files
+from veritab.sources import contracts, files
+from veritab.sources.staging import shared_folder
 from veritab.streaming import grading
 
 FLAGSHIP = "grade_segments"
@@ -186,8 +184,9 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("\\\\\n", F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", F.concat_ws(" & ", "c_mktsegment", F.col("n").cast("string")).alias("row")))), lambda x: x["row"])).alias("loose"),
     )
     head = r"\documentclass{article} \newcommand{\price}{Price} % not \begin{table}" + "\n" + r"\begin{table}\caption{Mean \price\ by segment}\label{tab:p}\begin{tabular}{lcc}\toprule & \multicolumn{2}{c}{\price} \\ \cmidrule(lr){2-3} Segment & F & O \\ \midrule" + "\n"
-    middle = "\\\\\n" + r"\bottomrule\end{tabular}\end{table}" + "\n\n" + r"As Table~\ref{tab:p} shows, it varies." + "\n\n" + r"\begin{tabular}{lc} Segment & Orders \\ \hline" + "\n"
-    return body.select(F.col("c_nationkey").alias("paper_id"), F.concat(F.lit(head), "rows", F.lit(middle), "loose", F.lit("\\\\\n\\end{tabular}")).alias("text"))
+    middle = "\\\\\n" + r"\bottomrule\end{tabular}\end{table}" + "\n\n" + r"As Table~\ref{tab:p} shows, nation @ varies." + "\n\n" + r"\begin{tabular}{lc} Segment & Orders \\ \hline" + "\n"
+    more = F.when(F.col("c_nationkey") % 3 == 0, F.lit("\n\n" + r"Unlike tables~\ref{tab:x}, \cref{tab:p} is \emph{short}." + "\n\n" + "No table here.")).otherwise("")
+    return body.select(F.col("c_nationkey").alias("paper_id"), F.concat(F.lit(head), "rows", F.replace(F.lit(middle), F.lit("@"), F.col("c_nationkey").cast("string")), "loose", F.lit("\\\\\n\\end{tabular}"), more).alias("text"))
 
 
 _MEANS = "SELECT c_nationkey AS paper_id, c_mktsegment AS s, o_orderstatus AS st, (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // (10 * count(*))) / 10 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"
@@ -209,7 +208,10 @@ def extract_tables(spark, sf_dir):
     return cells.select("paper_id", "address", "table_id", F.col("row").cast("long").alias("row"), "col", "is_numeric", "value", "uncertainty", "uncertainty_kind", F.array_join("emphasis", ",").alias("emphasis"), "caption")
 
 
-@_registered("SELECT c_nationkey AS paper_id, 'tab:p' AS label, 'As Table 1 shows, it varies.' AS paragraph FROM (SELECT DISTINCT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)")
+@_registered(
+    """WITH p AS (SELECT DISTINCT c_nationkey AS paper_id FROM customer JOIN orders ON o_custkey = c_custkey) SELECT paper_id, 'tab:p' AS label, 'As Table 1 shows, nation ' || paper_id || ' varies.' AS paragraph FROM p
+    UNION ALL SELECT paper_id, 'tab:p', 'Unlike tables tab:x, 1 is short.' FROM p WHERE paper_id % 3 = 0"""
+)
 def citing_paragraphs(spark, sf_dir):
     """Paragraphs that refer to a table."""
     papers = _papers(spark, sf_dir)
@@ -239,7 +241,7 @@ def parse_numbers(spark, sf_dir):
     forms = [q, F.concat(F.lit("$"), q, F.lit(r" \pm "), d, F.lit("$")), F.concat(q, F.lit(" ("), d, F.lit(")")), F.concat(q, F.lit(r"\%")), F.concat(F.lit("< "), q, F.lit("*")), F.concat(F.lit("$"), q, F.lit(r"\cdot 10^{2}$")), F.lit("--")]
     raw = F.element_at(F.array(*forms), (F.col("l_linenumber") - 1) % 7 + 1)
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
-    parsed = cells.withColumn("p", numbers.parse_cell(F.col("raw"), latex.flatten_udf("raw")))
+    parsed = cells.withColumn("text", latex.flattened(F.col("raw"))).withColumn("p", numbers.parse_cell(F.col("raw"), F.col("text")))
     return parsed.select("l_orderkey", "l_linenumber", "p.is_numeric", "p.value", "p.uncertainty", "p.uncertainty_kind", "p.unit", F.array_join("p.markers", ",").alias("markers"))
 
 
@@ -424,12 +426,15 @@ def pick_statistics(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", align.statistic(names.content_tokens(caption)).alias("statistic"))
 
 
-@_registered("SELECT n_name AS address, CASE WHEN n_nationkey % 3 = 0 THEN 'acc_score' WHEN n_nationkey % 3 = 1 THEN NULL ELSE 'reading_time' END AS \"column\", CASE WHEN n_nationkey % 3 = 0 THEN 'acc_score' WHEN n_nationkey % 3 = 1 THEN 'reading_time,run_time' ELSE 'reading_time' END AS tied FROM nation")
+@_registered(
+    """SELECT p_partkey AS address, CASE WHEN p_partkey % 3 = 0 THEN 'acc_score' WHEN p_partkey % 3 = 1 THEN NULL ELSE 'reading_time' END AS "column",
+    CASE WHEN p_partkey % 3 = 0 THEN 'acc_score' WHEN p_partkey % 3 = 1 THEN 'reading_time,run_time' ELSE 'reading_time' END AS tied FROM part"""
+)
 def pick_value_columns(spark, sf_dir):
     """The numeric column that shares most words with a table; ties are refused."""
-    k = F.col("n_nationkey") % 3
+    k = F.col("p_partkey") % 3
     caption = F.when(k == 0, "accuracy of models").when(k == 1, "time").otherwise("reading time")
-    each = table(spark, sf_dir, "nation").select(F.col("n_name").alias("address"), F.lit("f.csv").alias("path"), names.content_tokens(caption).alias("wanted"), F.explode(F.array(*map(F.lit, ["acc_score", "reading_time", "run_time", "idx"]))).alias("column"))
+    each = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("address"), F.lit("f.csv").alias("path"), names.content_tokens(caption).alias("wanted"), F.explode(F.array(*map(F.lit, ["acc_score", "reading_time", "run_time", "idx"]))).alias("column"))
     return align.value_column(each).select("address", "column", F.array_join("tied", ",").alias("tied"))
 
 
@@ -457,36 +462,43 @@ def caption_filters(spark, sf_dir):
     return align.caption_filters(tables, values, used)
 
 
-@_registered("SELECT n_name AS address, 'f.csv' AS path, 'n_region' AS columns FROM nation WHERE n_regionkey <> 0")
+@_registered(
+    """SELECT c_name AS address, 'f.csv' AS path, CASE WHEN c_nationkey % 3 = 0 THEN 'nation,segment' ELSE 'nation' END AS columns FROM customer WHERE c_nationkey <> 1"""
+)
 def mixing_refusals(spark, sf_dir):
-    """cells that leave open a column that other cells of the table select in."""
-    nations = table(spark, sf_dir, "nation")
-    regions = nations.groupBy(F.lit("f.csv").alias("path"), F.lit("n_region").alias("column")).agg(F.collect_set(F.col("n_regionkey").cast("string")).alias("categories")).withColumn("is_category", F.lit(True))
-    pin = F.array(F.struct(F.lit("n_region").alias("column"), F.lit("0").alias("value")))
-    none = F.array().cast("array<struct<column:string,value:string>>")
-    chosen = nations.select(F.col("n_name").alias("address"), F.lit("f.csv").alias("path"), F.when(F.col("n_regionkey") == 0, pin).otherwise(none).alias("filters"))
-    claimed = nations.where("n_regionkey = 0").select(F.lit("n_region").alias("column"))
-    return align.mixed_columns(chosen, regions, claimed).select("address", "path", F.array_join("columns", ",").alias("columns"))
+    """cells that leave open columns that other cells of the table select in."""
+    customers = table(spark, sf_dir, "customer").select("c_name", "c_nationkey", "c_mktsegment")
+    some = lambda name, c: customers.select(F.lit("f.csv").alias("path"), F.lit(name).alias("column"), F.array(F.col(c).cast("string")).alias("v")).groupBy("path", "column").agg(F.array_distinct(F.flatten(F.collect_set("v"))).alias("categories"))
+    profiled = some("nation", "c_nationkey").union(some("segment", "c_mktsegment")).union(some("free", "c_mktsegment")).withColumn("is_category", F.lit(True))
+    pin = lambda name, c: F.struct(F.lit(name).alias("column"), F.col(c).cast("string").alias("value"))
+    pins = F.when(F.col("c_nationkey") == 1, F.array(pin("nation", "c_nationkey"), pin("segment", "c_mktsegment"))).when(F.col("c_nationkey") % 3 != 0, F.array(pin("segment", "c_mktsegment")))
+    chosen = customers.select(F.col("c_name").alias("address"), F.lit("f.csv").alias("path"), F.coalesce(pins, F.array().cast("array<struct<column:string,value:string>>")).alias("filters"))
+    claimed = chosen.select(F.explode("filters").alias("f")).select("f.column").distinct()
+    return align.mixed_columns(chosen, profiled, claimed).select("address", "path", F.array_join("columns", ",").alias("columns"))
 
 
 @_registered(
-    """WITH f AS (SELECT DISTINCT event_type AS e FROM events) SELECT e AS address, 'out/' || e || '_scores.csv' AS path, 3.0 + 1.0 - 0.0 AS score FROM f WHERE length(e) > 1"""
+    """WITH f AS (SELECT DISTINCT event_type AS e FROM events) SELECT e AS address, 'out/' || e || '_scores.csv' AS path, CAST(CASE WHEN length(e) % 2 = 0 THEN 3.0 + 1.0 ELSE 3.0 - 0.5 END AS DOUBLE) AS score FROM f WHERE length(e) > 1"""
 )
 def score_files(spark, sf_dir):
     """A file named for the cell and for a word of its table."""
     kinds = table(spark, sf_dir, "events").select("event_type").distinct()
-    cells = kinds.select(F.col("event_type").alias("address"), F.array("event_type").alias("names"), F.array(F.lit("scores")).alias("wanted"))
+    cells = kinds.select(F.col("event_type").alias("address"), F.array("event_type").alias("names"), F.array(F.when(F.length("event_type") % 2 == 0, "scores").otherwise("rates")).alias("wanted"))
     paths = kinds.select(F.concat(F.lit("out/"), "event_type", F.lit("_scores.csv")).alias("path"))
     named = align.by_filename(kinds.select(F.col("event_type").alias("name")), paths)
     none = named.select("name", "path", F.lit("").alias("column"), F.lit("").alias("value")).where("false")
     return align.score_files(cells, none, named, paths).where(F.contains("path", F.concat(F.lit("/"), "address", F.lit("_")))).select("address", "path", "score")
 
 
-@_registered("SELECT DISTINCT 'Table 1 › ' || c_mktsegment || ' › Balance' AS address, 'GREEN' AS status FROM customer")
+@_registered(
+    """WITH v AS (SELECT c_mktsegment AS s, avg(CAST(round(c_acctbal * 100) AS BIGINT)) AS v FROM customer GROUP BY 1), p AS (SELECT s, v, round(v * CASE length(s) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.1 ELSE 2.0 END) AS p FROM v)
+    SELECT 'Table 1 › ' || s || ' › Balance' AS address, CASE WHEN abs(v - p) <= greatest(1.0, 0.05 * p) THEN 'GREEN' WHEN abs(v - p) <= 3 * greatest(1.0, 0.05 * p) THEN 'YELLOW' ELSE 'RED' END AS status FROM p"""
+)
 def check_paper(spark, sf_dir):
-    """From a paper's markup and a repository's rows to grades, in one DAG."""
+    """From a paper's markup and a repository's rows to grades, in one DAG; some published means are wrong."""
     cents = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"))
-    means = cents.groupBy("segment").agg(F.round(F.avg("balance")).cast("long").cast("string").alias("mean"))
+    wrong = F.element_at(F.array(F.lit(1.0), F.lit(1.1), F.lit(2.0)), F.length("segment") % 3 + 1)
+    means = cents.groupBy("segment").agg(F.avg("balance").alias("mean")).select("segment", F.round(F.col("mean") * wrong).cast("long").cast("string").alias("mean"))
     row = F.concat_ws(" & ", "segment", "mean")
     body = means.agg(F.concat_ws("\\\\\n", F.transform(F.array_sort(F.collect_list(F.struct("segment", row.alias("row")))), lambda x: x["row"])).alias("rows"))
     head = r"\begin{table}\caption{Mean balance by segment}\label{tab:b}\begin{tabular}{lc} Segment & Balance \\ \midrule" + "\n"
@@ -547,30 +559,37 @@ def declared_aliases(spark, sf_dir):
     return scripts.aliases(text, kinds.select(F.col("p_type").alias("value"))).select("left", "right", "path", F.col("line").cast("long").alias("line"))
 
 
-@_registered(f"WITH s AS ({_NATIONS}) SELECT script, 'out/scores_' || k || 'x.csv' AS artifact, 'out/scores_' || k AS fragment FROM s")
+@_registered(
+    f"""WITH s AS ({_NATIONS}) SELECT s.script, 'out/scores_' || a.k || 'x.csv' AS artifact, 'out/scores_' || s.k AS fragment FROM s JOIN s a ON starts_with(CAST(a.k AS VARCHAR), CAST(s.k AS VARCHAR))"""
+)
 def producing_scripts(spark, sf_dir):
-    """Which script writes a file."""
+    """Which scripts may write a file; a number that begins another one's may be completed to it."""
     s = _scripts(spark, sf_dir)
-    files = s.select(F.concat(F.lit("out/scores_"), F.col("s_nationkey").cast("string"), F.lit("x.csv")).alias("artifact"))
-    # A shorter number is a prefix of a longer one: the longest fragment tells them apart.
-    found = scripts.writes(s, files)
-    longest = found.groupBy("artifact").agg(F.max(F.length("fragment")).alias("most"))
-    return found.join(longest, "artifact").where(F.length("fragment") == F.col("most")).select("script", "artifact", "fragment")
+    return scripts.writes(s, s.select(F.concat(F.lit("out/scores_"), F.col("s_nationkey").cast("string"), F.lit("x.csv")).alias("artifact")))
 
 
-@_registered(f"WITH s AS ({_NATIONS}) SELECT 't' AS table_id, script, 3.0 + 0.5 + 0.25 AS score, row_number() OVER (ORDER BY script) AS rank FROM s")
+@_registered(
+    f"""WITH s AS ({_NATIONS}), r AS (SELECT 't' || k % 2 AS table_id, script, CAST(3.0 * (1 + k % 2) + 0.5 + CASE WHEN n % 2 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS score FROM s WHERE k % 3 = 0)
+    SELECT table_id, script, score, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, script) AS rank FROM r"""
+)
 def rank_scripts(spark, sf_dir):
-    """Scripts by how plausibly they produce a table."""
-    s = _scripts(spark, sf_dir).select("script", F.lit("scores of x").alias("text"))
-    written = s.select("script", F.concat(F.lit("f"), "script").alias("artifact"), F.lit("t").alias("table_id"))
-    wanted = s.select(F.lit("t").alias("table_id"), F.array(F.lit("score"), F.lit("scores")).alias("wanted")).distinct()
+    """Scripts by how plausibly they produce a table: files they write, words in their name, words in their text."""
+    base = _scripts(spark, sf_dir)
+    s = base.select("script", F.when(F.col("n") % 2 == 0, "scores of x").otherwise("nothing of note").alias("text"))
+    k = F.col("s_nationkey")
+    files_ = F.when(k % 2 == 0, F.array(F.lit("f"))).otherwise(F.array(F.lit("f"), F.lit("g")))
+    written = base.where(k % 3 == 0).select("script", F.explode(files_).alias("artifact"), F.concat(F.lit("t"), (k % 2).cast("string")).alias("table_id"))
+    wanted = written.select("table_id").distinct().withColumn("wanted", F.array(F.lit("score"), F.lit("scores")))
     return align.rank_entry_points(s, written, wanted).select("table_id", "script", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@_registered(f"WITH s AS ({_NATIONS}) SELECT script, true AS stochastic, false AS seed_flag, false AS cpu_only FROM s")
+@_registered(f"WITH s AS ({_NATIONS}) SELECT script, n % 2 = 0 AS stochastic, n % 3 = 0 AS seed_flag, k % 5 = 0 AS cpu_only FROM s")
 def script_traits(spark, sf_dir):
     """Chance without a seed, a seed flag, CPU only."""
-    return scripts.traits(_scripts(spark, sf_dir))
+    s = _scripts(spark, sf_dir)
+    n, k = F.col("n"), F.col("s_nationkey")
+    device = F.when(k % 5 == 0, F.replace("text", F.lit('"cuda"'), F.lit('"cpu"'))).otherwise(F.col("text"))
+    return scripts.traits(s.select("script", F.concat(device, F.when(n % 2 == 1, "set_seed(1)\n").otherwise(""), F.when(n % 3 == 0, 'add("--seed")\n').otherwise("")).alias("text")))
 
 
 @_registered("SELECT n_name AS address, n_name AS name, 'list.py' AS script FROM nation n WHERE NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = 1 AND contains('org' || replace(lower(m.n_name), '_', ''), replace(lower(n.n_name), '_', '')))")
@@ -628,7 +647,7 @@ def grade_stream(spark, sf_dir):
     """Optional: a stream of customers, averaged by segment and graded in each micro-batch."""
     customers = table(spark, sf_dir, "customer")
     cells = customers.groupBy(F.col("c_mktsegment").alias("address")).agg(F.round(F.avg("c_acctbal")).alias("value")).withColumn("uncertainty", F.lit(None).cast("double"))
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark)
     customers.repartition(4).write.parquet(f"{base}/incoming")
     arriving = spark.readStream.schema(customers.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
     means = grading.harvest_stream(arriving, ["c_mktsegment"], "c_acctbal").withColumnRenamed("c_mktsegment", "address")
@@ -639,12 +658,105 @@ def grade_stream(spark, sf_dir):
 # --- contracts -------------------------------------------------------------------------------------
 
 
-@_registered("SELECT n_name AS address, CASE WHEN n_regionkey <> 0 THEN n_nationkey::DOUBLE END AS value, CASE WHEN n_regionkey = 0 THEN 'OTHER' END AS code FROM nation")
+@_registered("SELECT s_name AS address, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS value, CASE WHEN s_suppkey % 5 = 0 THEN 'OTHER' END AS code, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS n_caveats FROM supplier")
 def read_results(spark, sf_dir):
-    """Results written as JSON and read back through the version and code checks."""
-    nations = table(spark, sf_dir, "nation")
-    fails = F.col("n_regionkey") == 0
-    cell = F.struct(F.col("n_name").alias("address"), F.when(~fails, F.col("n_nationkey").cast("double")).alias("value"), F.when(fails, F.struct(F.lit("other").alias("code"), F.lit("closed").alias("evidence"))).alias("failure"))
-    written = nations.groupBy("n_regionkey").agg(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.collect_list(cell).alias("cells"))).alias("json"))
-    doc = written.select(F.from_json("json", RESULTS).alias("r")).select(checked_version(F.col("r.schema_version")).alias("v"), F.explode("r.cells").alias("c")).where("v is not null")
-    return doc.select("c.address", "c.value", checked_failure(F.col("c.failure"))["code"].alias("code"))
+    """Results written as JSON files and read back through the version and code checks."""
+    fails = F.col("s_suppkey") % 5 == 0
+    caveats = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("twice run")))
+    cell = F.struct(F.col("s_name").alias("address"), F.when(~fails, F.col("s_acctbal")).alias("value"), F.when(fails, F.struct(F.lit("other").alias("code"), F.lit("closed").alias("evidence"))).alias("failure"), caveats.alias("caveats"))
+    written = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.collect_list(cell).alias("cells"))).alias("value"))
+    folder = shared_folder(spark)
+    written.write.partitionBy("s_nationkey").text(folder)  # a file for each nation's results
+    return contracts.read_results(spark, folder).select("address", "value", F.col("failure.code").alias("code"), F.size("caveats").alias("n_caveats"))
+
+
+@_registered(
+    f"""WITH {_PAPER_CELLS} SELECT c.paper_id % 2 = 0 AS even, 'tab:p' AS label, 'Table 1 › ' || c.s || ' › Price › ' || c.st AS address, v::DOUBLE AS value, CASE WHEN c.paper_id % 3 = 0 THEN 2 ELSE 1 END AS paragraphs, 2 AS headers
+    FROM c LEFT JOIN m ON m.paper_id = c.paper_id AND m.s = c.s AND m.st = c.st UNION ALL SELECT paper_id % 2 = 0, NULL, 'Inline table 1 › ' || s || ' › Orders', n, 0, 1 FROM n"""
+)
+def paper_files(spark, sf_dir):
+    """K1: extracted papers written as versioned JSON and read back."""
+    papers = _papers(spark, sf_dir)
+    cells = extract.extract_cells(papers)
+    prose = extract.citing_paragraphs(papers, cells)
+    out = []
+    for even in (True, False):  # two files of papers
+        own = lambda df: df.where((F.col("paper_id") % 2 == 0) == even)  # noqa: E731, B023
+        folder = shared_folder(spark)
+        contracts.write_papers(own(cells), folder, own(prose))
+        flat = contracts.read_tables(spark, folder).select(F.lit(even).alias("even"), "label", F.explode("cells").alias("c"), F.size("referencing_paragraphs").alias("paragraphs"), F.size("column_headers").alias("headers"))
+        out.append(flat.select("even", "label", "c.address", "c.value", "paragraphs", "headers"))
+    return out[0].union(out[1])
+
+
+# --- outcomes of runs ------------------------------------------------------------------------------
+
+
+@_registered(
+    """WITH r AS (SELECT o_orderkey AS run, 'run_' || o_custkey || '.py exited 2' AS e, o_custkey AS c, o_orderkey % 7 AS k FROM orders)
+    SELECT run, CASE k WHEN 0 THEN 'MISSING_DEPENDENCY' WHEN 1 THEN 'GATED_DATASET' WHEN 2 THEN 'MISSING_CHECKPOINT' WHEN 3 THEN 'UNDOCUMENTED_FLAG' ELSE 'OTHER' END AS code,
+    e || CASE k WHEN 0 THEN ' with ModuleNotFoundError: No module named ''pkg_' || c || '.sub''; requirements.txt (3 pinned distributions) does not provide it'
+              WHEN 1 THEN ' on an access-controlled resource (is a gated repo): ' || concat_ws(chr(10), 'm' || c || ' is a gated repo', 'two', 'three', 'four')
+              WHEN 2 THEN ' because the checkpoint it needs is not published (Repository Not Found): 404: Repository Not Found for m' || c
+              WHEN 3 THEN ' needing an argument the paper never specifies: the following arguments are required: --p' || c
+              WHEN 4 THEN '; last output was: ' || concat_ws(chr(10), 'b', 'c', 'd', 'e', 'f', 'g' || c) ELSE '; last output was: (silent)' END AS evidence FROM r WHERE k <> 6"""
+)
+def run_failures(spark, sf_dir):
+    """Why each run failed, by what it printed; every order is a run."""
+    c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 7
+    err = (
+        F.when(k == 0, F.concat(F.lit("Traceback\nModuleNotFoundError: No module named 'pkg_"), c, F.lit(".sub'\n")))
+        .when(k == 1, F.concat(F.lit("one\nm"), c, F.lit(" is a gated repo\ntwo\nthree\nfour\n")))
+        .when(k == 2, F.concat(F.lit("404: Repository Not Found for m"), c)).when(k == 3, F.concat(F.lit("usage: x\nx: error: the following arguments are required: --p"), c, F.lit("  \n"))).when(k == 5, " \n")
+    )
+    out = F.when(k == 4, F.concat(F.lit("a\nb\nc\nd\ne\nf\ng"), c, F.lit("\n\n")))
+    runs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run"), F.concat(F.lit("run_"), c, F.lit(".py")).alias("script"), F.when(k == 6, 0).otherwise(2).alias("returncode"), out.alias("stdout"), err.alias("stderr"),
+        outcomes.described(F.lit("pip"), F.lit("requirements.txt"), F.lit(3)).alias("source"),
+    )
+    return outcomes.classify(runs)
+
+
+_BLOCKED = """b AS (SELECT p_brand AS t, arg_min(p_partkey, (p_size, p_partkey)) AS first FROM part WHERE p_size < 10 GROUP BY 1),
+j AS (SELECT p_partkey AS address, 'out/p' || p_partkey || '.csv' AS path, p_size % 3 <> 0 AS there, p_brand LIKE '%1' AS ran, b.first AS first, CASE WHEN p_brand LIKE '%2' THEN 'the entry point' ELSE p_brand || '.py' END AS script FROM part LEFT JOIN b ON b.t = p_brand)"""
+
+
+@_registered(
+    f"""WITH {_BLOCKED}, w AS (SELECT *, CASE WHEN NOT there THEN 'was never written' WHEN NOT ran THEN 'was not re-run, and --no-committed-artifacts forbids reading the copy committed to the repo' END AS why FROM j)
+    SELECT address, CASE WHEN why IS NULL THEN NULL WHEN first IS NULL THEN 'OTHER' ELSE 'GATED_DATASET' END AS code,
+           path || ' ' || why || CASE WHEN first IS NULL THEN ', and ' || script || ' reported no reason' ELSE ': part ' || first || ' is gated' END AS evidence, CASE WHEN why IS NULL THEN 'executed' END AS provenance FROM w"""
+)
+def readable_artifacts(spark, sf_dir):
+    """Files that no run wrote, or that only stand committed, and the first blocker that tells why; every part is a cell."""
+    parts = table(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("out/p"), F.col("p_partkey").cast("string"), F.lit(".csv")))
+    recipes = parts.select(F.col("p_partkey").alias("address"), F.col("p_brand").alias("table_id"), "path")
+    runs = parts.select(F.col("p_brand").alias("table_id"), F.when(~F.endswith("p_brand", F.lit("2")), F.concat("p_brand", F.lit(".py"))).alias("script"), F.endswith("p_brand", F.lit("1")).alias("executed")).distinct()
+    blockers = parts.where("p_size < 10").select(F.col("p_brand").alias("table_id"), F.struct("p_size", "p_partkey").alias("ord"), F.lit("GATED_DATASET").alias("code"), F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit(" is gated")).alias("evidence"))
+    done = outcomes.readable(recipes, parts.where("p_size % 3 != 0").select("path"), runs, blockers, allow_committed=False)
+    return done.select("address", "failure.code", "failure.evidence", "provenance")
+
+
+@_registered(
+    """WITH v AS (SELECT o_orderpriority AS pr, o_orderstatus AS st FROM orders GROUP BY 1, 2 HAVING count(*) % 2 = 0), p AS (SELECT DISTINCT o_orderpriority AS pr FROM orders),
+    m AS (SELECT pr, concat_ws(', ', CASE WHEN (SELECT count(*) FROM v WHERE v.pr = p.pr AND st = 'F') = 0 THEN pr || ' F' END, CASE WHEN (SELECT count(*) FROM v WHERE v.pr = p.pr AND st = 'O') = 0 THEN pr || ' O' END) AS missing FROM p)
+    SELECT pr AS address, CASE WHEN pr LIKE '1%' THEN 'BUDGET_EXCEEDED' ELSE 'OTHER' END AS code, 'derived as ' || pr || ' F - ' || pr || ' O, and ' || missing || ' produced no value' || CASE WHEN pr LIKE '1%' THEN ': too long' ELSE '' END AS evidence FROM m WHERE missing <> ''"""
+)
+def derived_failures(spark, sf_dir):
+    """Differences without one of their operands, with the table's first blocker."""
+    orders = table(spark, sf_dir, "orders")
+    name = lambda s: F.concat("o_orderpriority", F.lit(f" {s}"))
+    derived = orders.select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("address"), F.substring("o_orderpriority", 1, 1).alias("table_id"), name("F").alias("minuend"), name("O").alias("subtrahend"))
+    valued = orders.groupBy("o_orderpriority", "o_orderstatus").count().where("count % 2 = 0").select(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("address"))
+    blockers = derived.where("table_id = '1'").select("table_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("ord")).select("table_id", "ord", F.when(F.col("ord") == 1, "BUDGET_EXCEEDED").otherwise("OTHER").alias("code"), F.when(F.col("ord") == 1, "too long").otherwise("later").alias("evidence"))
+    return outcomes.derived_failures(derived, valued, blockers).select("address", "failure.code", "failure.evidence")
+
+
+@_registered(
+    f"""WITH s AS ({_NATIONS}) SELECT script, script || ':1 runs `import os, pkg_' || k || '.sub as p`, but ' || chr(39) || 'pkg_' || k || chr(39) || ' is not provided by requirements.txt (2 pinned distributions) (also numpy)' AS evidence FROM s"""
+)
+def dependency_evidence(spark, sf_dir):
+    """The line that imports what nothing provides."""
+    s = _scripts(spark, sf_dir)
+    none = s.select(F.lit("os").alias("module")).distinct()
+    missing = scripts.undeclared(scripts.imports(s), none, none.where("false"), none.select(F.lit("x").alias("distribution")))
+    return outcomes.missing_dependencies(missing, scripts.lines(s), outcomes.described(F.lit("pip"), F.lit("requirements.txt"), F.lit(2)))

@@ -72,7 +72,7 @@ def plan(cells: DataFrame, rows: DataFrame, aliases: DataFrame | None = None, pa
     scored = whole.withColumn("score", align.score(F.col("f"), F.col("c"), F.col("path"), F.col("wanted"), F.array_join(F.transform("names", names.normalize), "")))
 
     # What the caption says about columns that no cell selects in narrows the rows too.
-    scope = align.caption_filters(words, values, claimed.crossJoin(F.broadcast(paths)).select("path", "column"))
+    scope = align.caption_filters(words, values, values.select("path", "column").distinct().join(claimed, "column", "left_semi"))
     scoped = scope.groupBy("table_id", "path").agg(F.collect_list(F.struct("column", "value")).alias("scope"))
     scored = scored.join(scoped, ["table_id", "path"], "left").withColumn("scope", F.coalesce("scope", F.array().cast(PAIR)))
     extra = F.filter("scope", lambda s: ~F.exists("filters", lambda f: f["column"] == s["column"]))

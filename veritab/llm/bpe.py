@@ -33,7 +33,7 @@ from veritab.llm.common import Store, list_array, slices, text_bytes, tidied
 #: Characters that str.split() takes for white space and the pattern doesn't.
 CONTROL = regex.compile("[\x1c-\x1f]").search
 #: Entries that a store of a Python worker may reach; then its older half goes.
-STORE = 150_000
+STORE = 80_000
 #: Text bytes that are encoded at once; a longer document is encoded alone.
 PIECE = 1 << 20
 #: Words of one length from which their trees stand side by side, and leaves of all trees of one step.

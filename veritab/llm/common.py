@@ -20,7 +20,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 #: Bytes of an Arrow batch between Spark and Python, where the session leaves the setting at its default.
-BATCH = "8m"
+BATCH = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -157,7 +157,7 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def _powers(cache: dict[str, np.ndarray], name: str, base: int, n: int) -> np.ndarray:
     have = cache.get(name)
     if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 19), base, np.uint64)
+        step = np.full(max(n, 1 << 18), base, np.uint64)
         step[0] = 1
         have = cache[name] = np.cumprod(step, dtype=np.uint64)
     return have[:n]
@@ -169,7 +169,7 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 #: Bytes of text that byte_spans works on at once; a longer token is not cut.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def _in_pieces(data, offsets, kinds):

@@ -36,8 +36,8 @@ from veritab.llm.common import byte_tokens, mix, slices, staged, text_bytes, tid
 
 #: Features of each kind (words, word pairs): the models hold twice as many counts, whatever the input.
 FEATURES = 1 << 19
-#: Text bytes worked on at once.
-PIECE = 1 << 21
+#: Text bytes worked on at once, and features that are held before they are counted.
+PIECE, HELD = 1 << 19, 1 << 20
 #: 0 white space, 1 letters, digits and what is beyond ASCII, 2 all else.
 KINDS = np.full(256, 2, np.uint8)
 KINDS[[9, 10, 11, 12, 13, 32]] = 0
@@ -62,6 +62,13 @@ def count_features(docs: DataFrame, text_col: str, flag_col: str) -> np.ndarray:
 
     def run(batches):
         total = np.zeros((2, 2 * FEATURES), np.int64)
+        held: tuple[list, list] = ([], [])
+
+        def count(k: int, least: int) -> None:
+            if sum(map(len, held[k])) >= least:
+                total[k] += np.bincount(np.concatenate(held[k]), minlength=2 * FEATURES)
+                held[k].clear()
+
         for b in batches:
             data, offsets = text_bytes(b.column(0))
             flags = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
@@ -69,8 +76,10 @@ def count_features(docs: DataFrame, text_col: str, flag_col: str) -> np.ndarray:
                 words, pairs, follows, row = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 own = flags[i:j][row]
                 for k, keep in ((0, slice(None)), (1, own)):
-                    total[k] += np.bincount(words[keep], minlength=2 * FEATURES)
-                    total[k] += np.bincount(pairs[keep][follows[keep]], minlength=2 * FEATURES)
+                    held[k].extend(x.astype(np.int32) for x in (words[keep], pairs[keep][follows[keep]]))
+                    count(k, HELD)
+        for k in (0, 1):
+            count(k, 1)
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["feature", "raw", "target"])
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is split by documents: a segment holds the postings of every token of
-about one MB of text. Its rows are
+about a quarter MB of text, small enough that no part of it is a large object to the JVM. Its rows are
 
     doc_ids, first_positions, n_words   one entry for each document
     terms, words, word_ends             sorted 64-bit term hashes, the words themselves end to end
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from veritab.llm.common import byte_spans, equal_runs, file_system, grouped, list_array, run_bytes, shared_folder, slices, staged, text_bytes, tidied
 
 #: Text bytes of a segment, and of a block of benchmark items.
-SEGMENT, BLOCK = 1 << 20, 1 << 22
+SEGMENT, BLOCK = 1 << 18, 1 << 22
 #: 1 for the bytes of words: digits, letters, everything beyond ASCII; and each byte with A-Z in lower case.
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1

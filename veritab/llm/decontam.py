@@ -4,8 +4,8 @@ The index is split by documents: a segment holds the postings of every token of
 about a quarter MB of text, small enough that no part of it is a large object to the JVM. Its rows are
 
     doc_ids, first_positions, n_words   one entry for each document
-    terms, words, word_ends             sorted 64-bit term hashes, the words themselves end to end
-    ends, postings                      where each term's positions end, the positions
+    words, word_lengths                 the words in the order of their 64-bit hashes, end to end
+    counts, postings                    how many positions each word has, the positions
 
 Positions run through the segment with a gap between documents, so a phrase
 can't cross from one into the next. Segments are made by each task from
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import byte_spans, equal_runs, file_system, grouped, list_array, run_bytes, shared_folder, slices, staged, text_bytes, tidied
+from veritab.llm.common import byte_spans, equal_runs, file_system, grouped, list_array, run_bytes, run_hashes, shared_folder, slices, staged, text_bytes, tidied
 
 #: Text bytes of a segment, and of a block of benchmark items.
 SEGMENT, BLOCK = 1 << 18, 1 << 22
@@ -46,7 +46,7 @@ WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_SEGMENT = "doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, terms binary, words binary, word_ends binary, ends binary, postings binary"
+_SEGMENT = "doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, words binary, word_lengths binary, counts binary, postings binary"
 
 
 class Terms:
@@ -79,13 +79,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         list_array(b.column(0).slice(i, j - i), np.array([j - i])),
                         list_array(firsts.astype(np.int32), np.array([j - i])),
                         list_array(n_words.astype(np.int32), np.array([j - i])),
-                        binary(terms.hashes, np.uint64),
                         binary(terms.words, np.uint8),
-                        binary(terms.word_ends, np.int32),
-                        binary(np.append(terms.begins[1:], len(terms.order)) if len(terms.order) else terms.begins, np.int32),
+                        binary(np.diff(terms.word_ends, prepend=0), np.int32),
+                        binary(np.diff(terms.begins, append=len(terms.order)), np.int32),
                         binary(terms.order + terms.row[terms.order], np.int32),
                     ],
-                    ["doc_ids", "first_positions", "n_words", "terms", "words", "word_ends", "ends", "postings"],
+                    ["doc_ids", "first_positions", "n_words", "words", "word_lengths", "counts", "postings"],
                 )
 
     return staged(docs.select(id_col, text_col).mapInArrow(tidied(run), _SEGMENT.format(kind=kind)), "postings")
@@ -99,9 +98,12 @@ class Segment:
         self.doc_ids = b.column(0).flatten()
         self.firsts = b.column(1).flatten().to_numpy().astype(np.int64)
         self.n_words = b.column(2).flatten().to_numpy().astype(np.int64)
-        self.terms, self.words, self.word_ends, ends, self.postings = view(3, np.uint64), view(4, np.uint8), view(5, np.int32).astype(np.int64), view(6, np.int32), view(7, np.int32)
-        self.starts, self.ends = np.append(np.int32(0), ends[:-1]), ends
-        self.word_starts = np.append(0, self.word_ends[:-1])
+        self.words, lengths, counts, self.postings = view(3, np.uint8), view(4, np.int32), view(5, np.int32), view(6, np.int32)
+        self.ends = np.cumsum(counts, dtype=np.int64)
+        self.starts = self.ends - counts
+        self.word_ends = np.cumsum(lengths, dtype=np.int64)
+        self.word_starts = self.word_ends - lengths
+        self.terms = run_hashes(self.words, self.word_starts, self.word_ends)
         total = int(self.firsts[-1] + self.n_words[-1] + 1) if len(self.firsts) else 0
         self.marks = np.zeros(total + 1, np.int32)
         self.items: dict[int, set[str]] = {}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, html_extract, line_dedup, media, quality, simhash, token_store, url_filter, warc
+from veritab.llm import bpe, decontam, html_extract, line_dedup, media, periodic, quality, simhash, token_store, url_filter, warc
 from veritab.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs}
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.duckdb_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: XOR and multiply constants of the splitmix64 finaliser (fixed values).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -285,3 +287,96 @@ def list_array(values: np.ndarray | pa.Array, lengths: np.ndarray, kind: pa.Data
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
+#: 1 for the bytes of words: digits, letters, everything beyond ASCII; and each byte with A-Z in lower case.
+WORD = np.zeros(256, np.uint8)
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+class Words:
+    """The distinct words of some texts by hash, and where each token stands in their order."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        data = LOWER[data]
+        h, self.row, starts, ends = byte_spans(data, offsets, WORD)
+        self.order, self.begins = grouped(data, h, starts, ends)
+        first = self.order[self.begins]
+        self.hashes = h[first]
+        self.bytes = run_bytes(data, starts[first], (ends - starts)[first])
+        self.ends = np.cumsum((ends - starts)[first])
+        self.starts = np.append(0, self.ends)[:-1]
+
+    def of_tokens(self) -> np.ndarray:
+        """The word of each token."""
+        out = np.zeros(len(self.order), np.int64)
+        new = np.zeros(len(self.order), np.int64)
+        new[self.begins[1:]] = 1
+        out[self.order] = np.cumsum(new)
+        return out
+
+    def forget_tokens(self) -> None:
+        """Keep the words alone."""
+        self.row = self.order = self.begins = None
+
+    def find(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The word that each stretch of data is, by its bytes; -1 if none."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, at = np.arange(len(hashes)), np.searchsorted(self.hashes, hashes)
+        while len(left):  # more than once only where different words share a hash
+            inside = at < len(self.hashes)
+            left, at = left[inside], at[inside]
+            alike = self.hashes[at] == hashes[left]
+            left, at = left[alike], at[alike]
+            equal = equal_runs(data, starts[left], ends[left] - starts[left], self.bytes, self.starts[at], self.ends[at] - self.starts[at])
+            out[left[equal]] = at[equal]
+            left, at = left[~equal], at[~equal] + 1
+        return out
+
+
+def write_blocks(items: DataFrame, make: Callable[[list, list], object], most: int) -> list[str]:
+    """Paths of blocks of items, each ``make(ids, texts)`` of about ``most`` text bytes or of one longer item.
+
+    items: (id, text). Tasks write their own rows as they come, so equal rows pile up nowhere; only paths come
+    to the driver, one or two for each ``most`` bytes.
+    """
+    folder = f"{shared_folder(items.sparkSession)}/blocks"
+    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+
+    def run(batches):
+        fs, place = file_system(folder)
+        fs.create_dir(place, recursive=True)
+        held: tuple[list, list] = ([], [])
+        weight = 0
+
+        def written():
+            name = uuid.uuid4().hex  # a task that runs again writes files of its own
+            with fs.open_output_stream(f"{place}/{name}") as f:
+                f.write(pickle.dumps(make(*held)))
+            held[0].clear()
+            held[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = len((text or "").encode()) + 64
+                if held[0] and weight + own > most:
+                    yield written()
+                    weight = 0
+                held[0].append(name)
+                held[1].append(text)
+                weight += own
+        if held[0]:
+            yield written()
+
+    parts = items.coalesce(max(1, -(-int(size) // most)))
+    return [r.path for r in parts.mapInArrow(tidied(run), "path string").collect()]
+
+
+def read_block(path: str) -> object:
+    """What write_blocks wrote."""
+    fs, place = file_system(path)
+    with fs.open_input_stream(place) as f:
+        return pickle.loads(f.read())

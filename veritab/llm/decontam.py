@@ -29,7 +29,6 @@ rows (documents) or no hits (benchmark). Extra columns are not read.
 from __future__ import annotations
 
 import functools
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,31 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import byte_spans, equal_runs, file_system, grouped, list_array, run_bytes, run_hashes, shared_folder, slices, staged, text_bytes, tidied
+from veritab.llm.common import Words, equal_runs, list_array, read_block, run_hashes, slices, staged, text_bytes, tidied, write_blocks
 
 #: Text bytes of a segment, and of a block of benchmark items.
 SEGMENT, BLOCK = 1 << 18, 1 << 22
-#: 1 for the bytes of words: digits, letters, everything beyond ASCII; and each byte with A-Z in lower case.
-WORD = np.zeros(256, np.uint8)
-WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 _SEGMENT = "doc_ids array<{kind}>, first_positions array<int>, n_words array<int>, words binary, word_lengths binary, counts binary, postings binary"
 
 
-class Terms:
-    """The distinct words of some texts: where each token stands in their order, and the words by hash."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = LOWER[data]
-        h, self.row, starts, ends = byte_spans(data, offsets, WORD)
-        self.order, self.begins = grouped(data, h, starts, ends)
-        first = self.order[self.begins]
-        self.hashes = h[first]
-        self.words = run_bytes(data, starts[first], (ends - starts)[first])
-        self.word_ends = np.cumsum((ends - starts)[first])
-
-
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each segment, stored in the shared folder. Every row of docs is in exactly one segment."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -70,7 +51,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             for i, j in slices(offsets, SEGMENT):
-                terms = Terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                terms = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n_words = np.bincount(terms.row, minlength=j - i)
                 firsts = np.append(0, np.cumsum(n_words + 1)[:-1])
                 binary = lambda a, t: pa.array([a.astype(t).tobytes()], pa.binary())
@@ -79,8 +60,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         list_array(b.column(0).slice(i, j - i), np.array([j - i])),
                         list_array(firsts.astype(np.int32), np.array([j - i])),
                         list_array(n_words.astype(np.int32), np.array([j - i])),
-                        binary(terms.words, np.uint8),
-                        binary(np.diff(terms.word_ends, prepend=0), np.int32),
+                        binary(terms.bytes, np.uint8),
+                        binary(np.diff(terms.ends, prepend=0), np.int32),
                         binary(np.diff(terms.begins, append=len(terms.order)), np.int32),
                         binary(terms.order + terms.row[terms.order], np.int32),
                     ],
@@ -188,13 +169,9 @@ class Block:
 
     def __init__(self, names: list[str], texts: list[str | None], window: int | None):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
-        terms = Terms(data, offsets)
-        self.names, self.hashes, self.words, self.word_ends = names, terms.hashes, terms.words, terms.word_ends
-        self.word_starts = np.append(0, self.word_ends[:-1])
-        self.term_of = np.zeros(len(terms.order), np.int64)
-        new = np.zeros(len(terms.order), np.int64)
-        new[terms.begins[1:]] = 1
-        self.term_of[terms.order] = np.cumsum(new)
+        terms = Words(data, offsets)
+        self.names, self.hashes, self.words, self.word_starts, self.word_ends = names, terms.hashes, terms.bytes, terms.starts, terms.ends
+        self.term_of = terms.of_tokens()
         counts = np.bincount(terms.row, minlength=len(names))
         size = np.minimum(window, counts) if window else counts
         windows = np.where(counts > 0, counts - size + 1, 0)
@@ -211,28 +188,10 @@ class Block:
             yield w, place[own], count[own]
 
 
-def write_blocks(benchmark: DataFrame, window: int | None, id_col: str, text_col: str, most: int) -> list[str]:
-    """The benchmark in blocks of about ``most`` bytes each in the shared folder; one at a time passes through the driver."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // most))
-    dealt = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
-    folder = f"{shared_folder(benchmark.sparkSession)}/blocks"
-    fs, place = file_system(folder)
-    fs.create_dir(place, recursive=True)
-    for k in range(parts):
-        rows = items.where(dealt == k).collect()
-        with fs.open_output_stream(f"{place}/{k:06d}") as f:
-            f.write(pickle.dumps(Block([r.id for r in rows], [r.text for r in rows], window)))
-    return [f"{folder}/{k:06d}" for k in range(parts)]
-
-
 @functools.lru_cache(maxsize=1)
 def _block(path: str) -> Block:
-    """A block that write_blocks wrote; a worker holds one."""
-    fs, place = file_system(path)
-    with fs.open_input_stream(place) as f:
-        return pickle.loads(f.read())
+    """A block of items; a worker holds one."""
+    return read_block(path)
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text", within: int | None = None, block_bytes: int = BLOCK) -> DataFrame:
@@ -244,7 +203,10 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, item_col: s
     words of its rarest one, at which the span stands.
     """
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    paths = write_blocks(benchmark, None if within is not None else window, item_col, text_col, block_bytes)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    size = None if within is not None else window
+    # An item's id counts once in a document, so repeated items change nothing.
+    paths = write_blocks(items.dropDuplicates(), lambda names, texts: Block(names, texts, size), block_bytes)
 
     def run(batches):
         for b in batches:

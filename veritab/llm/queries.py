@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, decontam, html_extract, lexical, line_dedup, media, periodic, quality, simhash, token_store, url_filter, warc
+from veritab.llm import bpe, decontam, html_extract, lexical, line_dedup, media, periodic, quality, simhash, token_store, toxicity, url_filter, warc
 from veritab.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,7 +135,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_lexical_search": op12_lexical_search}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_url_filter": op3_url_filter, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_token_store": op7_token_store, "op8_warc": op8_warc, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_lexical_search": op12_lexical_search, "op13_toxicity": op13_toxicity}
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.duckdb_sql(), "op9_line_dedup": LINE_DEDUP_SQL, "op12_lexical_search": lexical.duckdb_sql()}
 
 

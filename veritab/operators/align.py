@@ -33,15 +33,29 @@ def by_category(wanted: DataFrame, values: DataFrame) -> DataFrame:
 def by_filename(wanted: DataFrame, paths: DataFrame) -> DataFrame:
     """(name, path) of each name that a path names.
 
-    A whole word matches by an equi-join. Names across several words stand inside the joined words; they
-    are found by their first LEAST_INSIDE characters and then compared whole.
+    A whole word matches by an equi-join. Names across several words stand inside the joined words.
     """
     keyed = wanted.select("name", names.normalize(F.col("name")).alias("norm")).where("norm != ''")
     words = paths.select("path", F.explode(F.array_distinct(F.transform(names.content_tokens(F.col("path")), names.normalize))).alias("norm"))
     whole = words.join(keyed, "norm").select("name", "path")
-    joined = paths.select("path", F.array_join(F.array_sort(names.content_tokens(F.col("path"))), "").alias("joined"))
-    inside = joined.select("path", "joined", F.explode(grams(F.col("joined"), LEAST_INSIDE)).alias("gram")).join(keyed.withColumn("gram", first_gram(F.col("norm"), LEAST_INSIDE)), "gram")
-    return whole.union(inside.where(F.contains("joined", F.col("norm"))).select("name", "path")).distinct()
+    joined = paths.select("path", F.array_join(F.array_sort(names.content_tokens(F.col("path"))), "").alias("text"))
+    inside = contained(keyed.select("norm"), joined.select("text"), LEAST_INSIDE).join(joined, "text").join(keyed, "norm")
+    return whole.union(inside.select("name", "path")).distinct()
+
+
+def contained(needles: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(norm, text): the needles (norm) of at least n characters that stand inside texts (text), each pair once.
+
+    The stretches of n characters of all distinct texts are counted first. A needle that has one which no text has is nowhere; the others
+    are looked up by their rarest one alone and then compared whole. So what many needles and texts
+    have in common brings none of them together.
+    """
+    held = texts.where(F.length("text") >= n).select("text").distinct().select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    parts = needles.where(F.length("norm") >= n).select("norm").distinct().select("norm", F.explode(grams(F.col("norm"), n)).alias("gram"))
+    found = parts.join(counts, "gram", "left").groupBy("norm").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"), F.count_if(F.col("held").isNull()).alias("absent"))
+    met = found.where("absent = 0").select("norm", "gram").join(held, "gram")
+    return met.where(F.contains("text", F.col("norm"))).select("norm", "text")
 
 
 def grams(text: Column, n: int) -> Column:
@@ -50,11 +64,6 @@ def grams(text: Column, n: int) -> Column:
     return F.filter(F.array_distinct(every), lambda g: F.length(g) == n)
 
 
-def first_gram(text: Column, n: int) -> Column:
-    """Null for a text that is too short to have one."""
-    return F.when(F.length(text) >= n, F.substring(text, 1, n))
-
-
 def by_alias(wanted: DataFrame, aliases: DataFrame, values: DataFrame) -> DataFrame:
     """by_category through declared equivalences, in both directions. aliases: (left, right, path, line)."""
     both = aliases.select("left", "right").union(aliases.select(F.col("right"), F.col("left")))
@@ -165,10 +174,10 @@ def missing_checkpoint(cells: DataFrame, enumerations: DataFrame, values: DataFr
     label = cells.select("table_id", "level", "name").distinct().withColumn("norm", names.normalize(F.col("name")))
     model = enumerations.select("script", names.normalize(F.col("model")).alias("model_norm")).distinct()
     n = names.LEAST_CONTAINED
-    # A name stands inside a model's or the other way round: the shorter one's first characters are in the longer.
-    shown = label.select("norm", F.explode(grams(F.col("norm"), n)).alias("gram")).distinct().join(model.withColumn("gram", first_gram(F.col("model_norm"), n)), "gram")
-    hidden = model.select("script", "model_norm", F.explode(grams(F.col("model_norm"), n)).alias("gram")).join(label.select("norm", first_gram(F.col("norm"), n).alias("gram")).distinct(), "gram")
-    both = shown.where(F.contains("norm", F.col("model_norm"))).select("norm", "script").union(hidden.where(F.contains("model_norm", F.col("norm"))).select("norm", "script")).distinct()
+    # A name stands inside a model's, or the other way round.
+    shown = contained(model.select(F.col("model_norm").alias("norm")), label.select(F.col("norm").alias("text")), n).select(F.col("text").alias("norm"), F.col("norm").alias("model_norm"))
+    hidden = contained(label.select("norm"), model.select(F.col("model_norm").alias("text")), n).select("norm", F.col("text").alias("model_norm"))
+    both = shown.union(hidden).distinct().join(model, "model_norm").select("norm", "script").distinct()
     listed = label.join(both, "norm")
     # Labels whose group has a sibling in the script's list, without those that the list has itself.
     siblings = listed.select("table_id", "level", "script").distinct().join(label, ["table_id", "level"])

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import latex, names, numbers, scalars
 from veritab.operators import align, budget, extract, grade, harvest, outcomes, profile, report, scripts
 from veritab.plans import mapper
-from veritab.sources import contracts, files
+from veritab.sources import contracts, files, plan_cache
 from veritab.sources.staging import shared_folder
 from veritab.streaming import grading
 
@@ -72,8 +72,6 @@ def _segment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over(*columns: str):
-    from pyspark.sql import Window
-
     # The cells of one paper: a handful of rows.
     return Window.orderBy(*columns)
 
@@ -620,8 +618,6 @@ def cost_estimates(spark, sf_dir):
 )
 def budget_ledger(spark, sf_dir):
     """Each customer's orders as runs against one ceiling, in order."""
-    from pyspark.sql import Window
-
     orders = table(spark, sf_dir, "orders")
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     estimates = orders.select(F.col("o_custkey").alias("run"), rank.alias("ord"), F.round(F.col("o_totalprice") * 100).alias("download_mb"), F.lit(0.0).alias("gpu_hours"), F.lit(0.0).alias("wall_hours"))
@@ -689,6 +685,67 @@ def paper_files(spark, sf_dir):
     return out[0].union(out[1])
 
 
+@_registered(
+    f"""WITH {_PAPER_CELLS} SELECT CAST(c.paper_id AS VARCHAR) AS paper, 'tab:p' AS label, 'Table 1 › ' || c.s || ' › Price › ' || c.st AS address, v::DOUBLE AS value
+    FROM c LEFT JOIN m ON m.paper_id = c.paper_id AND m.s = c.s AND m.st = c.st UNION ALL SELECT CAST(paper_id AS VARCHAR), NULL, 'Inline table 1 › ' || s || ' › Orders', n FROM n"""
+)
+def papers_round_trip(spark, sf_dir):
+    """K1, K3: papers written through the document source, some of them twice, and read back under their ids."""
+    cells = extract.extract_cells(_papers(spark, sf_dir))
+    folder = shared_folder(spark)
+    contracts.write_papers(cells, folder)
+    contracts.write_papers(cells.where(F.col("paper_id") % 3 == 0), folder)
+    return contracts.read_tables(spark, folder).select("paper", "label", F.explode("cells").alias("c")).select("paper", "label", "c.address", "c.value")
+
+
+@_registered(
+    """SELECT CAST(s_nationkey AS VARCHAR) AS run_id, CASE WHEN s_nationkey % 4 <> 0 THEN 'nation ' || s_nationkey END AS label, s_name AS address, CASE WHEN s_suppkey % 5 NOT IN (0, 1) THEN s_acctbal + CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 0 END END AS value,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'OTHER' END AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'twice run' END AS caveat, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier
+    UNION ALL SELECT 'n' || n_nationkey, n_name, NULL, NULL, NULL, NULL, NULL FROM nation"""
+)
+def results_round_trip(spark, sf_dir):
+    """A run's results as one versioned document; null values, failures and empty runs come back, a run written again replaces itself."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 5
+    pos = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+
+    def results(rows: DataFrame, more: float) -> DataFrame:
+        failure = F.when(k == 0, F.struct(F.lit("other").alias("code"), F.lit('closed, says "she"').alias("evidence")))
+        caveats = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("twice run")))
+        none = F.lit(None)
+        return rows.select(F.col("s_nationkey").cast("string").alias("run_id"), pos.alias("pos"), F.col("s_name").alias("address"), F.when(k > 1, F.col("s_acctbal") + more).alias("value"), none.cast("double").alias("uncertainty"), none.cast("int").alias("n_seeds"), failure.alias("failure"), caveats.alias("caveats"))
+
+    known = s.where("s_nationkey % 4 != 0").select(F.col("s_nationkey").cast("string").alias("run_id")).distinct()  # ids are strings
+    known = known.withColumn("run", F.create_map(F.lit("label"), F.concat(F.lit("nation "), "run_id")))
+    empty = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("run_id"), F.create_map(F.lit("label"), F.col("n_name")).alias("run"))
+    folder = shared_folder(spark)
+    contracts.write_results(results(s, 0.0), folder, known.union(empty))
+    contracts.write_results(results(s.where("s_nationkey % 2 = 0"), 1.0), folder, known.where("cast(run_id as int) % 2 = 0"))
+    back = contracts.read_runs(spark, folder)
+    return back.select("run_id", F.col("run")["label"].alias("label"), "address", "value", F.col("failure.code").alias("code"), F.try_element_at("caveats", F.lit(1)).alias("caveat"), F.col("pos").cast("long").alias("pos"))
+
+
+@_registered(
+    """SELECT x.commit, p_partkey AS address, p_brand AS paper, p_size AS filter FROM part, (VALUES ('12e4'), ('120000')) x(commit) WHERE p_brand = 'Brand#12' AND (x.commit = '120000' OR p_size % 2 = 0)
+    UNION ALL SELECT 'none', count(*), CAST(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS VARCHAR), NULL FROM part WHERE p_brand = 'Brand#12'"""
+)
+def plan_cache_entries(spark, sf_dir):
+    """Plans stored by commit, mapper and paper, replaced when stored again, kept apart from keys that look alike."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("address"), F.col("p_size").alias("filter"), F.col("p_brand").alias("paper_key"))
+    folder = shared_folder(spark)
+    plan_cache.store_plan(parts, folder, "12e4", "rules")
+    plan_cache.store_plan(parts, folder, "120000", "rules")
+    plan_cache.store_plan(parts, folder, "120000", "rules")
+    plan_cache.store_plan(parts.where("filter % 2 = 0"), folder, "12e4", "rules", papers=parts)
+    load = lambda commit, mapper="rules", paper="Brand#12": plan_cache.load_plan(spark, folder, commit, mapper, paper, "address long, filter int")
+    found = [load(c).select(F.lit(c).alias("commit"), "address", F.col("paper_key").alias("paper"), "filter") for c in ("12e4", "120000")]
+    missed = [load("120000.0"), load("12"), load("12e4", "other"), load("12e4", "rules", "no brand")]
+    if any(m is not None for m in missed):
+        raise ValueError("a key that was never stored has a plan")
+    sizes = plan_cache.entries(spark, folder).where("paper_key = 'Brand#12'").agg(F.max("recipes"), F.min("recipes").cast("string"))
+    return found[0].union(found[1]).union(sizes.select(F.lit("none"), "*", F.lit(None).cast("int")))
+
+
 # --- outcomes of runs ------------------------------------------------------------------------------
 
 

@@ -6,10 +6,11 @@ import re
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.schema import CELL, RESULTS, TABLE, VERSION, checked_failure, checked_version
+from veritab.sources import documents
 
 DEFAULTS = {"relative": 0.05, "absolute": None, "multiplier": 3.0}
 #: Names that a setting goes by.
@@ -21,13 +22,27 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(pos, address, value, uncertainty, n_seeds, failure, caveats); another major version or an unknown code is an error."""
     docs = spark.read.schema(RESULTS).json(path, multiLine=True)
     rows = docs.select(checked_version(F.col("schema_version")).alias("version"), F.posexplode("cells").alias("pos", "c")).where("version is not null")
-    return rows.select("pos", "c.address", "c.value", "c.uncertainty", "c.n_seeds", checked_failure(F.col("c.failure")).alias("failure"), F.coalesce("c.caveats", F.array().cast("array<string>")).alias("caveats"))
+    return rows.select(*_entry_columns())
 
 
-def read_tables(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """(paper, table struct) of what write_papers wrote or, without ``lines``, of files that hold one paper each."""
-    docs = spark.read.schema(PAPER).json(path, multiLine=not lines)
-    return docs.select(F.input_file_name().alias("paper"), checked_version(F.col("schema_version")).alias("version"), F.explode("tables").alias("t")).where("version is not null").select("paper", "t.*")
+def _entry_columns() -> list[Column]:
+    caveats = F.coalesce("c.caveats", F.array().cast("array<string>"))
+    return [*map(F.col, ["pos", "c.address", "c.value", "c.uncertainty", "c.n_seeds"]), checked_failure(F.col("c.failure")).alias("failure"), caveats.alias("caveats")]
+
+
+def read_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper, table struct) of what write_papers wrote, under the ids that it was given."""
+    held = documents.latest(documents.read_documents(spark, folder))
+    return _tables(held.select(F.col("id").alias("paper"), F.from_json("document", PAPER).alias("d")).select("paper", "d.*"))
+
+
+def read_table_files(spark: SparkSession, path: str) -> DataFrame:
+    """(paper, table struct) of files that hold one paper each; a paper is known by its file."""
+    return _tables(spark.read.schema(PAPER).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("paper"), "*"))
+
+
+def _tables(docs: DataFrame) -> DataFrame:
+    return docs.select("paper", checked_version(F.col("schema_version")).alias("version"), F.explode("tables").alias("t")).where("version is not null").select("paper", "t.*")
 
 
 def paper_json(cells: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
@@ -53,40 +68,53 @@ def paper_json(cells: DataFrame, paragraphs: DataFrame | None = None) -> DataFra
     return papers.select("paper_id", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "tables")).alias("value"))
 
 
-def write_papers(cells: DataFrame, folder: str, paragraphs: DataFrame | None = None) -> None:
-    """paper_json as a folder of JSON lines, one paper each."""
-    paper_json(cells, paragraphs).select("value").write.text(folder)
+def write_papers(cells: DataFrame, folder: str, paragraphs: DataFrame | None = None, mode: str = "append") -> None:
+    """Each paper of paper_json as a document under its id; a paper that is written again replaces itself."""
+    written = paper_json(cells, paragraphs).select(F.col("paper_id").cast("string").alias("id"), F.col("value").alias("document"))
+    documents.write_documents(written, folder, mode)
 
 
 def _nested(schema: str) -> str:
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
 
 
-#: What write_papers writes on each line.
+#: A paper's document.
 PAPER = f"schema_version string, tables array<struct<{_nested(TABLE)}>>"
 
 
-def result_json(results: DataFrame) -> DataFrame:
-    """One JSON text for each result: failure or value, never both; a value that is null without a failure is kept."""
+def result_entry() -> Column:
+    """The JSON text of a result: failure or value, never both; a value that is null without a failure is kept."""
     failed = F.col("failure").isNotNull()
-    rest = F.to_json(F.struct("address", F.when(failed, F.col("failure")).alias("failure"), F.when(~failed, F.col("value")).alias("value"), F.when(~failed, F.col("uncertainty")).alias("uncertainty"), F.when(F.size("caveats") > 0, F.col("caveats")).alias("caveats")))
-    kept = F.when(~failed & F.col("value").isNull(), F.regexp_replace(rest, r"\}$", ',"value":null}')).otherwise(rest)
-    return results.select(kept.alias("value"))
+    made = lambda c: F.when(~failed, F.col(c)).alias(c)
+    rest = F.to_json(F.struct("address", F.when(failed, F.col("failure")).alias("failure"), made("value"), made("uncertainty"), made("n_seeds"), F.when(F.size("caveats") > 0, F.col("caveats")).alias("caveats")))
+    return F.when(~failed & F.col("value").isNull(), F.regexp_replace(rest, r"\}$", ',"value":null}')).otherwise(rest)
+
 
+def result_json(results: DataFrame) -> DataFrame:
+    """(value): result_entry of each result."""
+    return results.select(result_entry().alias("value"))
 
-def write_results(results: DataFrame, folder: str) -> None:
-    """A folder of JSON lines, one result each."""
-    result_json(results).write.text(folder)
 
+def write_results(results: DataFrame, folder: str, runs: DataFrame | None = None, mode: str = "append") -> None:
+    """Each run's results as one versioned document under its id; a run that is written again replaces itself.
 
-def store_plan(plan: DataFrame, folder: str, commit: str, mapper: str) -> None:
-    """Append a plan (with paper_key) to a cache partitioned by commit, mapper and paper."""
-    plan.withColumns({"commit": F.lit(commit), "mapper": F.lit(mapper), "version": F.lit(VERSION)}).write.mode("append").partitionBy("commit", "mapper", "paper_key").parquet(folder)
+    results: (run_id, pos, address, value, uncertainty, n_seeds, failure, caveats). runs: (run_id, run map<string,string>),
+    what is known of a run; one without results is written too. The results of a run meet in one row.
+    """
+    listed = results.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", result_entry().alias("entry")))), lambda x: x["entry"]), ",").alias("cells"))
+    known = listed.join(runs, "run_id", "full") if runs is not None else listed.withColumn("run", F.lit(None).cast("map<string,string>"))
+    whole = F.concat(
+        F.lit(f'{{"schema_version":"{VERSION}","run":'), F.coalesce(F.to_json("run"), F.lit("{}")),
+        F.lit(',"cells":['), F.coalesce("cells", F.lit("")), F.lit("]}"),
+    )
+    documents.write_documents(known.select(F.col("run_id").cast("string").alias("id"), whole.alias("document")), folder, mode)
 
 
-def load_plan(spark: SparkSession, folder: str, commit: str, mapper: str, paper_key: str) -> DataFrame:
-    """A stored plan; partition pruning reads nothing else."""
-    return spark.read.parquet(folder).where((F.col("commit") == commit) & (F.col("mapper") == mapper) & (F.col("paper_key") == paper_key) & (F.col("version") == VERSION))
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, run, pos, address, value, ...) of what write_results wrote, checked like read_results; runs without results have one row without an address."""
+    held = documents.latest(documents.read_documents(spark, folder)).select("id", F.from_json("document", RESULTS).alias("d"))
+    rows = held.select(F.col("id").alias("run_id"), F.col("d.run").alias("run"), checked_version(F.col("d.schema_version")).alias("version"), F.posexplode_outer("d.cells").alias("pos", "c")).where("version is not null")
+    return rows.select("run_id", "run", *_entry_columns())
 
 
 def parse_tolerance(spec: str) -> dict:

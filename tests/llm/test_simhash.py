@@ -99,3 +99,12 @@ def test_chains_take_logarithmic_rounds(spark, monkeypatch):
     found = graph.components(edges).collect()
     assert len(found) == 1002 and len({r.root for r in found if r.node < 1000}) == 1 and len({r.root for r in found}) == 2
     assert rounds.count("points") <= 12
+
+
+def test_one_template_is_joined_without_chunks(spark, monkeypatch):
+    """Texts of one template: one link each confirms them, and no set is sent to a chunk."""
+    template = [f"word{k}" for k in range(400)]
+    rows = [(n, " ".join([*template[:200], f"name{n}", *template[200:]])) for n in range(3000)] + [(5000, "unlike all of the others in the whole table")]
+    monkeypatch.setattr(simhash, "confirmed_chunks", lambda *args: pytest.fail("sets were dealt into chunks"))
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 0.8, shingle=5, radius=70, width=4, smallest=8)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(n, 0) for n in range(3000)} | {(5000, 5000)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.sources import staging
+
 #: XOR and multiply constants of the splitmix64 finaliser (fixed values).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: An odd base for polynomial hashes modulo 2**64 and its inverse there.
@@ -34,29 +35,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, a new subfolder for each call.
-
-    It is the session's ``spark.checkpoint.dir``; where that is unset (tests in
-    local mode) a local temporary folder is made and set as checkpoint folder.
-    """
+    """A new folder that driver and executors share; Arrow batches are small from then on."""
     small_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_veritab_shared", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veritab-")
-        spark._veritab_shared = base
-    if "://" not in base and not base.startswith("file:"):
-        # A bare path belongs to the cluster's default file system.
-        base = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(base)).toString()
-        base = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
-    return f"{base.rstrip('/')}/veritab-{uuid.uuid4().hex}"
+    return staging.shared_folder(spark)
 
 
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: this cuts the
-    lineage, so that a lost executor never replays the work before it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again, with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return staging.staged(df, name)
 
 
 def file_system(uri: str):

@@ -11,8 +11,10 @@ similarity s miss each other in all m buckets with a chance of about (1 - s) **
 
 Exact similarity (``similar``, the pipeline's). Fingerprints of distinct shingles only propose candidates
 there, with a radius so wide that a pair at the wanted similarity passes it but for a chance
-of 1e-7. Texts with a candidate then meet the others of their candidate component with their whole shingle sets,
-and a link is what shares at least that part of both sets.
+of 1e-7, and the shingle sets decide. Sets are made once, where the texts are; texts are never shuffled for it. First
+the candidates' own links are confirmed, one for each text and then those between texts that are still apart: where a template
+or copies make a component, that joins it with work linear in its texts. Only components that are still in several parts
+go on: their sets meet each other in chunks, but for pairs in one part already.
 
 Comparison. The fingerprints of a bucket are stored vertically: plane b holds bit
 b of 64 of them to a word. For each fingerprint of a word, its bits are spread over all
@@ -207,14 +209,18 @@ def _confirmed(label: np.ndarray, i: np.ndarray, j: np.ndarray, sets: list[np.nd
     return i[keep], j[keep]
 
 
-def linked(fps: np.ndarray, group: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0) -> np.ndarray:
+def linked(fps: np.ndarray, group: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0, parts: np.ndarray | None = None) -> np.ndarray:
     """The least linked row of each row; rows are sorted by group and linked only within one.
 
-    With ``sets``, the sorted shingle hashes of each row, a link is confirmed by their similarity.
+    With ``sets``, the sorted shingle hashes of each row, a link is confirmed by their similarity. Rows of a group with equal
+    ``parts`` are joined from the start.
     """
     sizes = np.array([len(x) for x in sets], np.int64) if sets is not None else None
     n = len(fps)
     label = np.arange(n)
+    if parts is not None and n:
+        _, first, which = np.unique(np.stack([group, parts]), axis=1, return_index=True, return_inverse=True)
+        label = first[which.reshape(-1)]
     if n < 2:
         return label
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -344,57 +350,107 @@ def shingle_sets(docs: DataFrame, shingle: int, width: int, smallest: int, id_co
     return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp binary, keys array<bigint>, size bigint")
 
 
-def confirmed_links(sets: DataFrame, radius: int, width: int, shingle: int, least: float) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each chunk pair (root, x, y). sets: (text, fp, root, x, y)."""
+def shares(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more; two empty ones do."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. sets: (fp, set), each fp once."""
+    of = lambda end: sets.select(F.col("fp").alias(end), F.col("set").alias(f"{end}_set"))
+    laid = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_set", "b_set")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(b.column(2), b.column(3), strict=True)
+        good = [shares(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in both]
+        return b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return mapped(laid, run, "a binary, b binary")
+
+
+def confirmed_chunks(sets: DataFrame, radius: int, width: int, least: float) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each chunk pair (root, x, y), what is one part already included. sets: (set, fp, part, root, x, y)."""
     dealt = sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
 
-    def found(fps: list[bytes], sets: list[np.ndarray], group: np.ndarray):
+    def found(fps: list[bytes], sets: list[np.ndarray], parts: list[bytes], group: np.ndarray):
         values = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)[:, :width]
-        label = linked(values, group, radius, sets, least)
+        named = np.unique(np.array(parts, object), return_inverse=True)[1].reshape(-1)
+        label = linked(values, group, radius, sets, least, named)
         rows = np.flatnonzero(label != np.arange(len(label)))
         pick = lambda at: pa.array([fps[i] for i in at], pa.binary())
         return pa.RecordBatch.from_arrays([pick(label[rows]), pick(rows)], ["a", "b"])
 
     def run(batches):
-        fps, sets, group, last, no, held = [], [], [], None, 0, 0
+        fps, sets, parts, group, last, no, held = [], [], [], [], None, 0, 0
         for b in batches:
-            for text, fp, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for own, fp, part, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != last:
                     if fps and held >= HELD:
-                        yield found(fps, sets, np.array(group))
-                        fps, sets, group, held = [], [], [], 0
+                        yield found(fps, sets, parts, np.array(group))
+                        fps, sets, parts, group, held = [], [], [], [], 0
                     last, no = at, no + 1
                 fps.append(fp)
-                sets.append(np.unique(shingle_hashes(text, shingle)))
+                sets.append(np.frombuffer(own, np.uint64))
+                parts.append(part)
                 group.append(no)
-                held += sets[-1].nbytes
+                held += len(own)
         if fps:
-            yield found(fps, sets, np.array(group))
+            yield found(fps, sets, parts, np.array(group))
 
     return dealt.mapInArrow(tidied(run), "a binary, b binary")
 
 
+def _sets(docs: DataFrame, near: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, set): the sorted shingle hashes of each text with a candidate, once. near: (id, fp)."""
+    few = F.broadcast(near) if near.count() <= SMALL else near
+    own = docs.select(id_col, text_col).join(few, id_col).select("fp", text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["fp", "set"])
+
+    return staged(mapped(own, run, "fp binary, set binary").dropDuplicates(["fp"]), "sets")
+
+
 def similar(docs: DataFrame, least: float, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): one row for each row of docs; links are pairs of texts that share ``least`` of their distinct shingles or more.
 
-    Equal ids must have equal texts. Only texts with a candidate are read again, one for each distinct set of shingles.
+    Equal ids must have equal texts. Only texts with a candidate are read again.
     """
     prints = staged(shingle_sets(docs, shingle, width, smallest, id_col, text_col), "fingerprints")
     nodes = prints.select("fp", F.explode("keys").alias("key")).distinct()
-    near = components(links(nodes, radius, width)).select(F.col("node").alias("fp"), "root")
+    forest = staged(links(nodes, radius, width).distinct(), "links")
     named = prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("size").alias("size"))
-    near = staged(named.join(near, "fp"), "candidates")
-    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / SPLIT_SETS, F.sum("size") * 8 / SPLIT_BYTES)).cast("int")
-    hot = staged(near.groupBy("root").agg(chunks.alias("chunks")).where("chunks > 1"), "hot")
-    few = lambda df: F.broadcast(df) if df.count() <= SMALL else df
-    near = near.join(few(hot), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    near = near.select(F.col("least").alias(id_col), "fp", "root", "chunks")
-    sets = docs.select(id_col, text_col).join(few(near), id_col).dropDuplicates(["fp"])  # rows may repeat
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.select(text_col, "fp", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    roots = components(confirmed_links(sets, radius, width, shingle, least))
-    return prints.select(id_col, "fp").join(_named(named, roots), "fp").select(id_col, "component_id")
+    near = staged(named.join(components(forest).select(F.col("node").alias("fp"), "root"), "fp"), "candidates")
+    sets = _sets(docs, near.select(F.col("least").alias(id_col), "fp"), shingle, id_col, text_col)
+    # A link for each text, then the links between texts that these leave apart.
+    one = forest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    good = staged(confirmed(one, sets, least), "confirmed")
+    at = components(good)
+    apart = _crossing(forest.join(one, ["a", "b"], "left_anti"), at)
+    good = staged(good.union(confirmed(apart, sets, least)), "confirmed")
+    parts = near.join(components(good).select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    parts = staged(parts, "parts")
+    # What is still in several parts meets in chunks.
+    open_ = parts.groupBy("root").agg(F.min("part").alias("least_part"), F.max("part").alias("most_part"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size"))
+    chunks = F.ceil(F.greatest(F.col("texts") / SPLIT_SETS, F.col("size") * 8 / SPLIT_BYTES)).cast("int")
+    open_ = staged(open_.where("least_part != most_part").select("root", F.greatest(chunks, F.lit(1)).alias("chunks")), "open")
+    left = open_.count()
+    if left:
+        several = parts.join(F.broadcast(open_) if left <= SMALL else open_, "root").select("fp", "part", "root", "chunks")
+        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = sets.join(dealt, "fp").select("set", "fp", "part", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        good = good.union(confirmed_chunks(dealt, radius, width, least))
+    return prints.select(id_col, "fp").join(_named(named, components(good)), "fp").select(id_col, "component_id")
+
+
+def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different parts. parts: (node, root); a node that isn't there is a part of its own."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}_part"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int, radius: int, width: int, smallest: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:

@@ -128,3 +128,19 @@ def test_digest_columns(spark):
         want.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     got = queries.op6_decontaminate(spark, path).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[-1] for r in want)
+
+
+def test_repeated_items_make_no_large_block(spark, monkeypatch):
+    """3,000 copies of one item are one; different items spread over blocks of bounded size."""
+    from veritab.llm import decontam
+    from veritab.llm.common import read_block, write_blocks
+
+    text = " ".join(f"w{k}" for k in range(800))
+    items = [("same", text)] * 3000 + [(f"i{k}", f"{text} {k}") for k in range(60)]
+    blocks: list[list[str]] = []
+    monkeypatch.setattr(decontam, "write_blocks", lambda df, make, most: blocks.extend(paths := write_blocks(df, make, most)) or paths)
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "w1 w2 w3")], "doc_id long, text string")
+    got = decontam.search(decontam.build_index(docs), spark.createDataFrame(items, "item_id string, text string").repartition(6), block_bytes=1 << 16)
+    assert sorted((r.doc_id, len(r["items"])) for r in got.collect()) == [(1, 61), (2, 0)]
+    names = [read_block(p).names for p in blocks]
+    assert max(len(n) for n in names) * len(text) <= 2 << 16 and sorted(sum(names, [])) == sorted({i for i, _ in items})

@@ -33,6 +33,55 @@ def test_wrappers_keep_their_article():
     assert main_text("<nav><article>menu</article></nav>") == ""
 
 
+def test_boxes_give_back_their_article():
+    assert main_text('<form id="aspnetForm"><input name="v"><div>menu</div><article><p>kept</p></article><p>more</p></form>') == "kept"
+    assert main_text('<div class="wrapper page-comments"><article><p>kept</p></article></div>') == "kept"
+    assert main_text('<div role="form"><div class="newsletter"><main><p>kept</p></main></div></div>') == "kept"
+    assert main_text('<footer><form><article>no</article></form></footer><form><nav><article>no</article></nav></form>') == ""
+    assert main_text('<article><p>text</p><form><label>Name</label><p>send</p><button>Go</button></form></article>') == "text"
+
+
+def test_inline_elements_cut_no_block():
+    page = """<article><p>Energy <math><mi>E</mi><annotation>tex</annotation></math> is <label>kept</label> here</p><p>a <script>var x = "<p>";</script>b<svg><path/></svg> c <noscript>no</noscript>d</p>
+    <p>x <span hidden>secret</span><span class="ad">BUY</span> y <select><option>1</option></select>z</p><div class="teaser"><p>lead</p></div><p>press <button>this</button> key</p><button>Share</button></article>"""
+    assert main_text(page) == "Energy E is kept here\na b c d\nx y z\nlead\npress this key"
+    assert H.blocks_of('<div>open <span class="ad">BUY</span> text</div>') == [(H.OPEN, "open text"), (H.DOUBTFUL, "BUY")]
+
+
+def test_built_pages(spark):
+    """Pages put together from known blocks; what is expected is what was put in, not what any parser says."""
+    import html
+    import random
+
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma & delta", "<tag>", "größe", "x", "the", "of", "“quoted”"]
+    text = lambda n: " ".join(rng.choices(words, k=rng.randrange(1, n)))
+    noise = [
+        "<nav><ul><li><a href='/'>{}</a></li></ul></nav>", "<aside><p>{}</p></aside>", "<div class='share-buttons'>{}</div>", "<script>if (a < b) {{ '{}' }}</script>", "<!-- <p>{}</p> -->",
+        "<form><label>{}</label><input><button>go</button></form>", "<section id='comments'><article class='comment'><p>{}</p></article></section>", "<div hidden>{}</div>", "<style>p {{ }} /* {} */</style>", "<div role='alert'>{}</div>",
+    ]
+    inline = ["<b>{}</b>", "<em class='x'>{}</em>", "<a href=\"/a>b\">{}</a>", "<math><mi>{}</mi></math>", "{}<script>no()</script>", "{}<span style='display: none'>no</span>"]
+    wrap = ["<div>{}</div>", "<form id='main'>{}</form>", "<div class='layout with-sidebar'>{}</div>", "<div class='page-comments wrapper'>{}</div>", "<body class='home'>{}</body>"]
+    rows, want = [], {}
+    for k in range(120):
+        blocks, body = [], []
+        for _ in range(rng.randrange(1, 8)):
+            pieces = [text(6) for _ in range(rng.randrange(1, 5))]
+            blocks.append(" ".join(pieces))
+            marked = [rng.choice([*inline, "{}", "{}"]).format(html.escape(p)) for p in pieces]
+            tag = rng.choice(["p", "h2", "li", "blockquote", "div"])
+            body.append(f"<{tag}>" + rng.choice([" ", "\n  ", "<br>"]).join(marked) + f"</{tag}>")
+            if rng.random() < 0.5:
+                body.append(rng.choice(noise).format(html.escape(text(9))))
+        page = f"<article>{''.join(body)}</article>"
+        for w in rng.sample(wrap, rng.randrange(0, 4)):
+            page = w.format(page + rng.choice(noise).format("around"))
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<html><head><title>t</title></head>{page}<footer>foot</footer></html>"))
+        want[k] = "\n".join(blocks)
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(4)
     for n in [1, 2, 9, 60, 300]:

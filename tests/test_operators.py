@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veritab.functions import latex
 from veritab.operators import align, budget, extract, grade, harvest, outcomes, profile, scripts
 from veritab.sources import contracts, files
 
@@ -112,8 +113,36 @@ def test_wide_and_odd_files(spark, tmp_path):
     assert rows["two.csv", 1] == {"a,b": "1", "c": "two\nlines"} and rows["two.csv", 2] == {"a,b": "3", "c": ""}
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "b.csv").write_text('"a\nb",c\n1,2\n')
-    with pytest.raises(ValueError, match="several lines"):
-        files.read_artifacts(spark, str(tmp_path / "bad"))
+    assert [(r.row_no, r.kv) for r in files.read_artifacts(spark, str(tmp_path / "bad")).collect()] == [(1, {"a\nb": "1", "c": "2"})]
+
+
+def test_headers_are_each_files_own(spark, tmp_path):
+    """Repeated and missing names, empty files, blank lines, an odd quote, columns asked for; as a reader of dictionaries takes them."""
+    import csv
+    import io
+
+    texts = {"twice.csv": "a,b,a\n1,2,3\n4\n", "gap.csv": "a,,c\n1,2,3\n", "none.csv": "", "head.csv": "a,b\n", "blank.csv": "\n\na,b\n\n1,2\n\n", "inch.csv": 'size 5",b\nx,y\n', "long.csv": "a,b\n" + "x" * 300_000 + ",1\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = {}
+    for r in files.read_artifacts(spark, str(tmp_path)).collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.row_no, r.kv))
+    want = {}
+    csv.field_size_limit(1 << 30)
+    for name, text in texts.items():
+        rows = list(csv.DictReader(io.StringIO(text.lstrip("\n"))))
+        if rows:
+            want[name] = [(k + 1, {c: v or "" for c, v in row.items() if c}) for k, row in enumerate(rows)]
+    assert {name: sorted(rows, key=lambda r: r[0]) for name, rows in got.items()} == want
+    few = files.read_artifacts(spark, [str(tmp_path / "twice.csv"), str(tmp_path / "gap.csv")], columns=["c", "a"])
+    assert sorted((tuple(sorted(r.kv.items())) for r in few.collect())) == [(("a", ""),), (("a", "1"), ("c", "3")), (("a", "3"),)]
+
+
+def test_nested_options_and_display_math():
+    assert latex.arguments("[t[x]y]{v} rest", 0, 1) == (["v"], 10)
+    assert latex.arguments("[open {v}", 0, 1)[0] == [""]
+    assert list(latex._cut("a & $$b & c$$ & d", row=False)) == ["a ", " $$b & c$$ ", " d"]
+    assert list(latex._cut("$x$ & $$$$ & $y & z$", row=False)) == ["$x$ ", " $$$$ ", " $y & z$"]
 
 
 def test_medians_against_sorting(spark):

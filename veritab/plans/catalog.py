@@ -206,6 +206,23 @@ def extract_tables(spark, sf_dir):
     return cells.select("paper_id", "address", "table_id", F.col("row").cast("long").alias("row"), "col", "is_numeric", "value", "uncertainty", "uncertainty_kind", F.array_join("emphasis", ",").alias("emphasis"), "caption")
 
 
+@_registered(
+    """WITH p AS (SELECT p_partkey AS k, p_brand AS b, p_size AS n FROM part)
+    SELECT k AS paper, address, value, is_numeric, text FROM (SELECT k,
+      unnest(['Inline table 1 › ' || b || ' › A', 'Inline table 1 › ' || b || ' › B', 'Inline table 1 › M › A', 'Inline table 1 › M › B', 'Inline table 1 › M › A #2', 'Inline table 1 › M › B #2']) AS address,
+      unnest([-n, NULL, 1, 2, 3, n])::DOUBLE AS value, unnest([true, false, true, true, true, true]) AS is_numeric,
+      unnest([chr(8722) || n, n || ' & 2', '1', '2', '3', n::VARCHAR]) AS text FROM p)"""
+)
+def odd_markup(spark, sf_dir):
+    """Nested options, display math with a separator in it, rows that go over two, a minus sign; a table for every part."""
+    n = F.col("p_size").cast("string")
+    body = F.concat(
+        F.lit("\\begin{tabular}{lcc} & A & B \\\\ \\hline \\makecell[t[x]y]{"), "p_brand", F.lit("} & \u2212"), n, F.lit(" & $$"), n, F.lit(" & 2$$ \\\\ \\multirow{2}{*}{M} & 1 & 2 \\\\ & 3 & "), n, F.lit(" \\\\ \\end{tabular}"),
+    )
+    cells = extract.extract_cells(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), body.alias("text")))
+    return cells.select(F.col("paper_id").alias("paper"), "address", "value", "is_numeric", "text")
+
+
 @_registered(
     """WITH p AS (SELECT DISTINCT c_nationkey AS paper_id FROM customer JOIN orders ON o_custkey = c_custkey) SELECT paper_id, 'tab:p' AS label, 'As Table 1 shows, nation ' || paper_id || ' varies.' AS paragraph FROM p
     UNION ALL SELECT paper_id, 'tab:p', 'Unlike tables tab:x, 1 is short.' FROM p WHERE paper_id % 3 = 0"""
@@ -276,6 +293,23 @@ def profile_columns(spark, sf_dir):
     return profile.profile(_artifact_rows(spark, sf_dir)).select("path", "column", "n_values", "is_numeric", "is_category")
 
 
+@_registered(
+    """SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_no, 'x"' || s_suppkey || ',' || chr(10) AS quoted, s_acctbal AS balance, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS name, 3 AS columns FROM supplier"""
+)
+def delimited_files(spark, sf_dir):
+    """A file for each nation's suppliers, with a name that the header repeats, one that it lacks, quotes, line ends inside them and short rows."""
+    s = table(spark, sf_dir, "supplier")
+    quoted = F.concat(F.lit('"x""'), F.col("s_suppkey").cast("string"), F.lit(',\n"'))
+    line = F.concat_ws(",", F.lit("first"), quoted, F.lit("none"), F.col("s_acctbal").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(",beyond"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"])
+    text = s.groupBy("s_nationkey").agg(F.concat(F.lit("name,quoted,,balance,name\n\n"), F.array_join(lines, "\n")).alias("value"))
+    folder = shared_folder(spark)
+    text.write.partitionBy("s_nationkey").text(folder)
+    rows = files.read_artifacts(spark, f"{folder}/*/*.txt")
+    of = lambda c: F.try_element_at("kv", F.lit(c))
+    return rows.select(F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int").alias("nation"), "row_no", of("quoted").alias("quoted"), of("balance").cast("double").alias("balance"), of("name").alias("name"), F.size("kv").alias("columns"))
+
+
 @_registered("SELECT count(*) AS n_rows FROM (SELECT 1 FROM orders) HAVING count(*) >= (SELECT count(*) FROM events) UNION ALL SELECT count(*) FROM events HAVING count(*) > (SELECT count(*) FROM orders)")
 def largest_input(spark, sf_dir):
     """Rows of the largest file."""

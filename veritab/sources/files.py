@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 import tarfile
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import latex
+from veritab.sources import delimited
 
 #: What a repository's files are by suffix or name, and folders that are not its own work.
 SCRIPT_SUFFIXES = ["py", "sh", "r"]
@@ -154,32 +156,16 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     return classify(files)
 
 
-def _columns(spark: SparkSession, paths: str | list[str], separator: str) -> int:
-    """Fields of the widest header, at most: separators between quotes count too."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("id"))
-    head = lines.groupBy("path").agg(F.min_by("value", F.struct(F.col("value") == "", "id")).alias("head"))
-    quotes = F.length("head") - F.length(F.replace("head", F.lit('"'), F.lit("")))
-    row = head.agg(F.max(F.length("head") - F.length(F.replace("head", F.lit(separator), F.lit("")))).alias("most"), F.max_by("path", quotes % 2).alias("path"), F.max(quotes % 2).alias("odd")).first()
-    if row["odd"]:
-        raise ValueError(f"the header of {row['path']} goes over several lines")
-    return (row["most"] or 0) + 1
-
-
-def read_artifacts(spark: SparkSession, paths: str | list[str], separator: str = ",") -> DataFrame:
+def read_artifacts(spark: SparkSession, paths: str | list[str], separator: str = ",", columns: list[str] | None = None) -> DataFrame:
     """(path, row_no, kv map<string,string>) of CSV or TSV files, each with a header of its own; all values are text.
 
-    Every column that a header names is read, however many there are; fields beyond a file's header have no name and
-    are left out. A name between quotes that holds a line end is an error.
+    paths: files, folders or patterns. Only their listing is read to plan; what rows and headers mean is told in ``delimited``.
     """
-    n = _columns(spark, paths, separator)
-    names = [f"c{i}" for i in range(n)]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(paths, header=False, sep=separator, quote='"', escape='"', multiLine=True, enforceSchema=True, maxColumns=max(20480, 2 * n))
-    whole = raw.select(F.col("_metadata.file_path").alias("path"), F.array(*names).alias("values"), F.monotonically_increasing_id().alias("id"))
-    # A multi-line file is read by one task, so ids follow its lines.
-    head = whole.groupBy("path").agg(F.min_by("values", "id").alias("head"), F.min("id").alias("first"))
-    rows = whole.join(head, "path").where("id > first")
-    pairs = F.filter(F.arrays_zip(F.col("head"), F.col("values").alias("values")), lambda p: F.coalesce(p["head"], F.lit("")) != "")
-    return rows.select("path", (F.col("id") - F.col("first")).alias("row_no"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["head"], F.coalesce(p["values"], F.lit(""))))).alias("kv"))
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "length")
+    found = [[r["path"], r["length"]] for r in listed.collect()]
+    spark.dataSource.register(delimited.Delimited)
+    reader = spark.read.format(delimited.FORMAT).option("files", json.dumps(found)).option("separator", separator)
+    return (reader if columns is None else reader.option("columns", json.dumps(columns))).load()
 
 
 def ordered_distinct(df: DataFrame, key: str, value: Column, order: str) -> DataFrame:

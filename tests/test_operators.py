@@ -145,6 +145,20 @@ def test_nested_options_and_display_math():
     assert list(latex._cut("$x$ & $$$$ & $y & z$", row=False)) == ["$x$ ", " $$$$ ", " $y & z$"]
 
 
+@pytest.mark.parametrize(("few", "cuts"), [(harvest.FEW, harvest.SPLITTERS), (5, 3), (2, 1)])
+def test_medians_of_many_numbers(spark, monkeypatch, few, cuts):
+    """Ranges are narrowed until few numbers are left; exact however small that bound is."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(harvest, "FEW", few)
+    monkeypatch.setattr(harvest, "SPLITTERS", cuts)
+    rng = random.Random(6)
+    groups = {f"g{n}": [rng.choice([rng.gauss(0, 9), rng.randrange(5) / 4, -1e300, 7.0]) for _ in range(n)] for n in (1, 2, 40, 173)}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "address string, x double")
+    assert {r.address: r["median"] for r in harvest.medians(rows).collect()} == {g: statistics.median(xs) for g, xs in groups.items()}
+
+
 def test_medians_against_sorting(spark):
     import random
     import statistics

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.scalars import is_finite, to_number
+from veritab.sources.staging import staged
 
 #: Recipes up to which they are sent to every task; rows are many, recipes few.
 SMALL = 50_000
 DIGITS = 3
+#: Distinct numbers that one running count goes over at most, and cuts of a range that has more.
+FEW, SPLITTERS = 1 << 16, 63
 
 
 def aggregates(x: Column) -> list[Column]:
@@ -27,17 +30,46 @@ def aggregates(x: Column) -> list[Column]:
 
 
 def medians(seen: DataFrame) -> DataFrame:
-    """(address, median) of rows (address, x): equal numbers are counted first, then their running count tells the middle.
+    """(address, median) of rows (address, x), exact, by distributed selection.
 
-    The numbers of one address are sorted, outside memory if need be, not collected.
+    Equal numbers are counted first. A rank that is asked for starts with the whole line as its range. While the range of a rank has more than
+    FEW distinct numbers, SPLITTERS of them cut it into smaller ones, the numbers of each are counted where they stand, and the range that
+    holds the rank takes its place. Only then a running count tells the number: it goes over FEW numbers at most,
+    however many rows a recipe selects.
     """
-    counted = seen.where(is_finite(F.col("x"))).groupBy("address", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("address").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    total = counted.groupBy("address").agg(F.sum("n").alias("total"))
-    ranked = counted.withColumn("last", F.sum("n").over(upto)).join(total, "address")
-    first = F.col("last") - F.col("n") + 1
-    at = lambda place: F.max(F.when((first <= place) & (F.col("last") >= place), F.col("x")))
-    return ranked.groupBy("address").agg(((at(F.expr("(total + 1) div 2")) + at(F.expr("total div 2 + 1"))) / 2).alias("median"))
+    values = staged(seen.where(is_finite(F.col("x"))).groupBy("address", "x").agg(F.count(F.lit(1)).alias("n")))
+    total = values.groupBy("address").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
+    ranks = F.array_distinct(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")))
+    whole = (F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    asked = staged(total.select("address", F.explode(F.filter(ranks, lambda k: k <= F.col("total"))).alias("rank"), *whole, F.lit(0).cast("long").alias("below"), "size"))
+    while not (wide := asked.where(F.col("size") > FEW)).isEmpty():
+        asked = staged(asked.where(F.col("size") <= FEW).unionByName(_narrowed(values, wide)))
+    upto = Window.partitionBy("address", "rank").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = _inside(values, asked).withColumn("last", F.col("below") + F.sum("n").over(upto))
+    found = counted.where((F.col("last") >= F.col("rank")) & (F.col("last") - F.col("n") < F.col("rank")))
+    return found.groupBy("address").agg(F.avg("x").alias("median"))
+
+
+def _inside(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """The numbers of each rank's range, which has its upper end but not its lower one."""
+    return values.join(asked, "address").where((F.col("x") > F.col("low")) & (F.col("x") <= F.col("high")))
+
+
+def _narrowed(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked with the part of each range that holds the rank."""
+    keys = ["address", "rank"]
+    at = F.array(*[F.lit(k / (SPLITTERS + 1)) for k in range(1, SPLITTERS + 1)])
+    inside = _inside(values, asked)
+    cuts = inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", at, F.lit(100 * SPLITTERS))).alias("cuts"))
+    dealt = inside.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+    counts = dealt.groupBy(*keys, "part").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("size"), F.first("cuts").alias("cuts"), F.first("below").alias("below"), F.first("low").alias("low"), F.first("high").alias("high")
+    )
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # SPLITTERS + 1 rows
+    run = counts.withColumn("last", F.col("below") + F.sum("n").over(upto))
+    held = run.where((F.col("last") >= F.col("rank")) & (F.col("last") - F.col("n") < F.col("rank")))
+    cut = lambda k: F.get("cuts", k)
+    return held.select(*keys, F.coalesce(cut(F.col("part") - 1), "low").alias("low"), F.coalesce(cut(F.col("part")), "high").alias("high"), (F.col("last") - F.col("n")).alias("below"), "size")
 
 
 def selected(recipes: DataFrame, rows: DataFrame) -> DataFrame:

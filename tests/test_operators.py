@@ -145,6 +145,25 @@ def test_nested_options_and_display_math():
     assert list(latex._cut("$x$ & $$$$ & $y & z$", row=False)) == ["$x$ ", " $$$$ ", " $y & z$"]
 
 
+def test_observed_keeps_the_first_combinations(spark, monkeypatch):
+    """More combinations than are kept, rows out of order and over several tasks."""
+    import random
+
+    monkeypatch.setattr(profile, "MOST_COMBINATIONS", 5)
+    rng = random.Random(9)
+    rows = [(f"p{k % 2}.csv", k // 2, {"model": f"m{rng.randrange(9)}", "split": rng.choice(["dev", "test", ""]), "score": str(k)}) for k in range(600)]
+    first = {}
+    for path, row, kv in rows:
+        first.setdefault(path, {}).setdefault((kv["model"], kv["split"]), row)
+    want = {p: [k for k, _ in sorted(own.items(), key=lambda x: x[1])][:5] for p, own in first.items()}
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "path string, row_no long, kv map<string,string>").repartition(7)
+    got = {}
+    for r in profile.observed(table, profile.profile(table)).orderBy("path", "rank").collect():
+        got.setdefault(r.path, []).append(tuple(dict((e.column, e.value) for e in r.combination)[c] for c in ("model", "split")))
+    assert got == want
+
+
 @pytest.mark.parametrize(("few", "cuts"), [(harvest.FEW, harvest.SPLITTERS), (5, 3), (2, 1)])
 def test_medians_of_many_numbers(spark, monkeypatch, few, cuts):
     """Ranges are narrowed until few numbers are left; exact however small that bound is."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +39,49 @@ def row_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def first_seen(keys: DataFrame, most: int) -> DataFrame:
+    """(path, row_no, a, b): for each path at least the ``most`` keys (a, b) whose first row is least, with that row.
+
+    keys: (path, row_no, a, b). Each task holds a bounded number of keys for a path and lets those go that ``most`` others precede, so what
+    is shuffled doesn't grow with the rows. The order of rows in a task doesn't matter: a key that was let go comes back with an earlier row.
+    """
+
+    def pruned(held: dict) -> dict:
+        return dict(sorted(held.items(), key=lambda item: item[1])[:most])
+
+    def run(batches):
+        held: dict[str, dict[tuple[int, int], int]] = {}
+        for batch in batches:
+            for path, row, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.setdefault(path, {})
+                if row < own.get(tuple(key), row + 1):
+                    own[tuple(key)] = row
+                    if len(own) > 4 * most:
+                        held[path] = pruned(own)
+        for path, own in held.items():
+            rows = list(pruned(own).items())
+            columns = [[path] * len(rows), [r for _, r in rows], [k[0] for k, _ in rows], [k[1] for k, _ in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["path", "row_no", "a", "b"])
+
+    partial = keys.select("path", "row_no", "a", "b").mapInArrow(run, "path string, row_no long, a long, b long")
+    return partial.groupBy("path", "a", "b").agg(F.min("row_no").alias("row_no"))
+
+
 def observed(rows: DataFrame, profiled: DataFrame) -> DataFrame:
     """(path, rank, combination): combinations of non-numeric values in order of their first row, projected to categories.
 
-    The number kept for each path is a feature: it bounds what names are resolved against.
+    The number kept for each path is a feature: it bounds what names are resolved against. Combinations are told apart by
+    two 64-bit hashes, and only first rows are read again for their values, so no row's text is shuffled.
     """
     entries = F.filter(F.map_entries("kv"), lambda e: (F.trim(F.coalesce(e["value"], F.lit(""))) == "") | to_number(e["value"]).isNull())
     key = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("column"), F.trim(F.coalesce(e["value"], F.lit(""))).alias("value"))))
-    seen = rows.select("path", "row_no", key.alias("key")).groupBy("path", "key").agg(F.min("row_no").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("path").orderBy("first"))
-    seen = seen.withColumn("rank", rank).where(F.col("rank") <= MOST_COMBINATIONS)
+    keyed = rows.select("path", F.col("row_no").cast("long").alias("row_no"), key.alias("key"))
+    seen = first_seen(keyed.select("path", "row_no", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")), MOST_COMBINATIONS)
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("row_no"))
+    seen = seen.withColumn("rank", rank).where(F.col("rank") <= MOST_COMBINATIONS).select("path", "row_no", "rank")
     categories = profiled.where("is_category").groupBy("path").agg(F.collect_set("column").alias("columns"))
-    return seen.join(categories, "path").select("path", "rank", F.filter("key", lambda e: F.array_contains("columns", e["column"])).alias("combination"))
+    found = keyed.join(seen, ["path", "row_no"]).join(categories, "path")
+    return found.select("path", "rank", F.filter("key", lambda e: F.array_contains("columns", e["column"])).alias("combination"))
 
 
 def largest_input(rows: DataFrame) -> DataFrame:

@@ -433,6 +433,17 @@ def match_filenames(spark, sf_dir):
     return align.by_filename(wanted, paths)
 
 
+@_registered("""SELECT 'Country code ' || n_nationkey AS name, 'f.csv' AS path, 'nation' AS "column", n_name AS value FROM nation WHERE n_regionkey <> 0""")
+def match_aliases(spark, sf_dir):
+    """Names that a script's renaming table leads to a category, in either direction."""
+    nations = table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("Country code "), F.col("n_nationkey").cast("string"))
+    swapped = F.col("n_nationkey") % 2 == 0
+    pairs = nations.where("n_regionkey != 0").select(F.when(swapped, F.col("n_name")).otherwise(code).alias("left"), F.when(swapped, code).otherwise(F.col("n_name")).alias("right"), F.lit("names.py").alias("path"), F.lit(1).alias("line"))
+    values = nations.select(F.lit("f.csv").alias("path"), F.lit("nation").alias("column"), F.col("n_name").alias("value"), names.normalize(F.col("n_name")).alias("norm"), F.col("n_nationkey").alias("ord"))
+    return align.by_alias(nations.select(code.alias("name")), pairs, values)
+
+
 @_registered(
     """WITH c AS (SELECT DISTINCT o_orderstatus AS st, o_orderpriority AS pr FROM orders), w AS (SELECT DISTINCT o_orderstatus AS given, split_part(o_orderpriority, '-', 2) AS name FROM orders)
     SELECT DISTINCT w.name || '/' || w.given AS name, pr AS value FROM w JOIN c ON c.st = w.given AND contains(regexp_replace(lower(pr), '[^a-z0-9]+', ' ', 'g'), lower(w.name)) WHERE w.name <> ''"""
@@ -685,6 +696,28 @@ def grade_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/graded")
 
 
+@_registered("SELECT c_mktsegment AS table_id, 0.1::DOUBLE AS relative, count(*)::DOUBLE AS absolute, 3.0::DOUBLE AS multiplier FROM customer GROUP BY 1 UNION ALL SELECT 'default', 0.2::DOUBLE, NULL, 4.0::DOUBLE")
+def tolerance_policy(spark, sf_dir):
+    """Settings of a file, each table's own on top of its default, and a given default in place of the file's; a table for each segment."""
+    counts = table(spark, sf_dir, "customer").groupBy("c_mktsegment").count().collect()
+    config = "[default]\nrel = 0.1\n" + "".join(f'[tables."{r["c_mktsegment"]}"]\nabs = {r["count"]}.0\n' for r in counts)
+    default, tables = contracts.resolve_policy(spark, "0.2 yellow=4", config)
+    return tables.union(spark.createDataFrame([("default", default["relative"], default["absolute"], default["multiplier"])], tables.schema))
+
+
+@_registered("SELECT o_custkey AS run, 'from ' || string_agg(DISTINCT o_orderstatus || '.py', ', ' ORDER BY o_orderstatus || '.py') AS note FROM orders GROUP BY 1")
+def run_provenance(spark, sf_dir):
+    """The scripts that each run's numbers come from."""
+    return mapper.provenance(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.concat("o_orderstatus", F.lit(".py")).alias("script")))
+
+
+@_registered("SELECT round(sum(strlen(html)) / 1048576.0, 6)::DOUBLE AS mb FROM pages")
+def repository_size(spark, sf_dir):
+    """Megabytes of all files."""
+    listed = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length("html").alias("length"))
+    return mapper.size_mb(listed).select(F.round("mb", 6).alias("mb"))
+
+
 # --- contracts -------------------------------------------------------------------------------------
 
 

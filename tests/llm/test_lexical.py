@@ -78,3 +78,10 @@ def test_heaps_keep_the_least_ids_of_ties(spark):
     docs += [(5000 + k, "gamma") for k in range(3000)]
     got = lexical.search(spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame([("i", "alpha")], ITEMS), k=7).collect()
     assert [(r["rank"], r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(k + 1, k) for k in range(7)]
+
+
+def test_item_ids_keep_their_type(spark):
+    items = spark.createDataFrame([(7, "alpha"), (None, "beta")], "item_id long, text string")
+    got = lexical.search(spark.createDataFrame([(1, "alpha beta")], DOCS), items)
+    assert got.schema["item_id"].dataType.simpleString() == "bigint"
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == [(7, 1, 1), (None, 1, 1)]

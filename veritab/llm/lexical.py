@@ -148,7 +148,7 @@ def merge_heaps(heaps: DataFrame, k: int) -> DataFrame:
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK) -> DataFrame:
-    """(item_id, rank, doc_id, score): the k best documents of each item, from rank 1."""
+    """(item_id, rank, doc_id, score): the k best documents of each item, from rank 1; item ids keep their type."""
     spark = docs.sparkSession
     named = items.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     out, N, L = None, 0, 0
@@ -163,7 +163,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
         weights[term] = [math.floor(1000 * math.log((2 * N + 2) / (2 * c + 1))) for c in count]
         best = merge_heaps(score_documents(counted, block, spark.sparkContext.broadcast(weights), N, max(1, L), k), k)
         out = best if out is None else out.unionByName(best)
-    return spark.createDataFrame([], "item_id string, rank int, doc_id long, score long") if out is None else out
+    if out is None:
+        out = spark.createDataFrame([], "item_id string, rank int, doc_id long, score long")
+    return out.withColumn("item_id", F.col("item_id").cast(items.schema[item_col].dataType))
 
 
 def duckdb_sql(k: int = 20) -> str:

@@ -52,6 +52,25 @@ def test_paragraphs(cells):
     assert [(r.label, r.paragraph) for r in extract.citing_paragraphs(papers, found).collect()] == [("tab:m", "As Table 1 shows.")]
 
 
+def test_nested_floats_hide_references(spark):
+    text = "\\ref{a} one\n\n\\begin{table}\\begin{table*}x\\end{table*} \\ref{a}\\end{table} \\ref{b, a} two \\cref{b}\n\n\n \\ref{a}\ue000"
+    papers = spark.createDataFrame([(1, text), (2, None), (3, "\\begin{table} \\ref{a}")], "paper_id int, text string")
+    found = extract.outside(extract.scan_citations(papers), ["paper_id"])
+    where = [m for m in range(len(text)) if text.startswith(("\\ref", "\\cref"), m)]
+    got = sorted((r.paper_id, r.at, r.label) for r in found.collect())
+    assert got == [(1, where[0], "a"), (1, where[2], "a"), (1, where[2], "b"), (1, where[3], "b"), (1, where[4], "a"), (3, 14, "a")]  # the last has no float, as none ends
+
+
+def test_fields_from_sql(spark, cells):
+    papers, found = cells
+    extract.register(spark)
+    fields = spark.sql("SELECT p.paper_id, f.* FROM {papers} p, LATERAL table_fields(p.text) f", papers=papers)
+    assert sorted(map(str, fields.collect())) == sorted(map(str, extract.scan_fields(papers).collect()))
+    assert sorted(map(str, extract.cells_of(fields).collect())) == sorted(map(str, found.collect()))
+    with pytest.raises(Exception, match="takes the text of a paper"):
+        spark.sql("SELECT * FROM table_fields(1)").collect()
+
+
 NO_FAILURE = None
 GRADES = [
     # published, uncertainty, rerun, relative, absolute -> status

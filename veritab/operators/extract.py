@@ -9,14 +9,18 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, IntegerType, NullType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from veritab.functions import latex, names, numbers
 
 TABLE_KEY = ["paper_id", "inline", "place"]
 _FIELDS = "inline boolean, place int, environment string, label string, caption string, row int, ruled boolean, field int, raw string, colspan int, rowspan int, text string"
-_NAMES = [x.split()[0] for x in _FIELDS.split(", ")]
+_NAMES, _KINDS = zip(*(x.split() for x in _FIELDS.split(", ")), strict=True)
+_TYPES = {"boolean": BooleanType(), "int": IntegerType(), "string": StringType()}
 _REF = re.compile(r"\\(?:ref|autoref|Cref|cref|tabref|eqref)\b\*?\{([^}]*)\}")
 
 
@@ -57,6 +61,24 @@ def scan_fields(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", "text").mapInArrow(run, f"paper_id {kind}, {_FIELDS}")
 
 
+class TableFields:
+    """fields of a text's tables, a row each: ``SELECT p.paper_id, f.* FROM papers p, LATERAL table_fields(p.text) f`` once registered."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument) -> AnalyzeResult:
+        if text.isTable or not isinstance(text.dataType, StringType | NullType):
+            raise ValueError("table_fields takes the text of a paper")
+        return AnalyzeResult(StructType([StructField(*f) for f in zip(_NAMES, map(_TYPES.get, _KINDS), strict=True)]))
+
+    def eval(self, text: str | None):
+        yield from _fields_of(text or "")
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``table_fields`` known to SQL; scan_fields(view) and the lateral join above have the same rows."""
+    spark.udtf.register("table_fields", udtf(TableFields))
+
+
 def placed_fields(fields: DataFrame) -> DataFrame:
     """fields with their column, with multirow content in the blank fields below, and with what the grid says of each row."""
     table = Window.partitionBy(*TABLE_KEY)
@@ -86,7 +108,12 @@ def header_paths(placed: DataFrame) -> DataFrame:
 
 def extract_cells(papers: DataFrame) -> DataFrame:
     """One row for each data cell of each table that has any, addressed and typed."""
-    placed = placed_fields(scan_fields(papers))
+    return cells_of(scan_fields(papers))
+
+
+def cells_of(fields: DataFrame) -> DataFrame:
+    """The cells of fields, as scan_fields gives them or ``table_fields`` in SQL."""
+    placed = placed_fields(fields)
     body = placed.where("row >= body")
     by_row = Window.partitionBy(*TABLE_KEY).orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("section", F.last(F.when(F.col("is_section"), F.col("text")), ignorenulls=True).over(by_row))
@@ -112,8 +139,11 @@ def extract_cells(papers: DataFrame) -> DataFrame:
     )
 
 
-def citing_paragraphs(papers: DataFrame, cells: DataFrame) -> DataFrame:
-    """(paper_id, label, ord, paragraph): paragraphs outside floats that refer to a table, their references resolved to its number."""
+def scan_citations(papers: DataFrame) -> DataFrame:
+    """(paper_id, at, until, label, paragraph): floats with where they end, and references with their paragraph, by offset.
+
+    A paragraph that several references share is cleaned once.
+    """
     kind = papers.schema["paper_id"].dataType.simpleString()
 
     def run(batches):
@@ -121,19 +151,36 @@ def citing_paragraphs(papers: DataFrame, cells: DataFrame) -> DataFrame:
             rows = []
             for paper, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = latex.expand(latex.strip_comments(text or ""))
-                floats = [(s, e) for _, s, _, _, e in latex.environments(text, latex.FLOATS)]
+                rows += [(paper, start, end, [], None) for _, start, _, _, end in latex.environments(text, latex.FLOATS)]
+                cited: dict[tuple[int, int], list[dict]] = {}
                 for m in _REF.finditer(text):
-                    if any(s <= m.start() < e for s, e in floats):
-                        continue
                     start, end = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
-                    paragraph = text[0 if start < 0 else start + 2 : len(text) if end < 0 else end]
-                    marked = _REF.sub(lambda r: ", ".join(f"\ue000{x.strip()}\ue001" for x in r[1].split(",")), paragraph)
-                    rows += [(paper, x.strip(), m.start(), latex.flatten(marked)) for x in m[1].split(",")]
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            types = [b.schema.field(0).type, pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["paper_id", "label", "ord", "paragraph"])
-
-    cited = papers.select("paper_id", "text").mapInArrow(run, f"paper_id {kind}, label string, ord int, paragraph string")
+                    place = (0 if start < 0 else start + 2, len(text) if end < 0 else end)
+                    cited.setdefault(place, []).extend({"at": m.start(), "label": x.strip()} for x in m[1].split(","))
+                for (start, end), found in cited.items():
+                    marked = _REF.sub(lambda r: ", ".join(f"\ue000{x.strip()}\ue001" for x in r[1].split(",")), text[start:end])
+                    rows.append((paper, start, None, found, latex.flatten(marked)))
+            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("label", pa.string())])), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["paper_id", "at", "until", "cited", "paragraph"])
+
+    found = papers.select("paper_id", "text").mapInArrow(run, f"paper_id {kind}, at int, until int, cited array<struct<at:int,label:string>>, paragraph string")
+    found = found.select("paper_id", "at", "until", "paragraph", F.explode_outer("cited").alias("cited"))
+    return found.select("paper_id", F.coalesce("cited.at", "at").alias("at"), "until", "cited.label", "paragraph")
+
+
+def outside(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of points (keys, at, until) that are no spans (until null) and in none: no span [at, until) of their keys covers them.
+
+    One pass in order of place with the farthest end so far: spans may nest or overlap, and no point meets a span in a join.
+    """
+    so_far = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    return points.withColumn("covered", F.coalesce(F.max("until").over(so_far) > F.col("at"), F.lit(False))).where("until is null and not covered").drop("until", "covered")
+
+
+def citing_paragraphs(papers: DataFrame, cells: DataFrame) -> DataFrame:
+    """(paper_id, label, ord, paragraph): paragraphs outside floats that refer to a table, their references resolved to its number."""
+    cited = outside(scan_citations(papers), ["paper_id"]).withColumnRenamed("at", "ord")
     known = cells.where("label is not null").select("paper_id", "label", "index").distinct()
     numbers_of = known.groupBy("paper_id").agg(F.collect_list(F.struct("label", "index")).alias("known"))
     resolved = F.aggregate("known", F.col("paragraph"), lambda text, k: F.replace(text, F.concat(F.lit("\ue000"), k["label"], F.lit("\ue001")), k["index"].cast("string")))

@@ -233,6 +233,49 @@ def citing_paragraphs(spark, sf_dir):
     return extract.citing_paragraphs(papers, extract.extract_cells(papers)).select("paper_id", "label", "paragraph")
 
 
+@_registered("SELECT c_nationkey AS paper_id, 'tab:' || c_custkey AS label, count(*) AS n_cited, min(o_orderkey) AS first_order FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2")
+def cited_outside_floats(spark, sf_dir):
+    """Every order cites its customer's table in its nation's paper, each third one inside a float that holds another; those aren't context."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    said = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(r" is in \autoref{tab:"), F.col("c_custkey").cast("string"), F.lit("}."))
+    inside = F.concat(F.lit("\\begin{table}\\begin{table*}x\n\n\\end{table*}"), said, F.lit("\\end{table}"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("paper_id"), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, inside).otherwise(said).alias("said"))
+    papers = rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "said"))), lambda x: x["said"]), "\n\n").alias("text"))
+    tables = customers.select(F.col("c_nationkey").alias("paper_id"), F.concat(F.lit("tab:"), F.col("c_custkey").cast("string")).alias("label"))
+    found = extract.outside(extract.scan_citations(papers), ["paper_id"]).join(tables, ["paper_id", "label"])
+    return found.groupBy("paper_id", "label").agg(F.count_distinct("paragraph").alias("n_cited"), F.min(F.regexp_extract("paragraph", r"Order (\d+)", 1).cast("long")).alias("first_order"))
+
+
+@_registered(
+    """WITH m AS (SELECT c_nationkey AS paper_id, c_mktsegment AS s FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), n AS (SELECT paper_id, count(*) AS n FROM m GROUP BY 1)
+    SELECT paper_id, false AS inline, 3 * n + 5 AS n_fields, n + 2 AS n_rows FROM n UNION ALL SELECT paper_id, true, 2 * n + 2, n + 1 FROM n"""
+)
+def lateral_fields(spark, sf_dir):
+    """L10, L18, L21 in SQL: a table function of a paper's text in a lateral join; each table's fields and rows."""
+    extract.register(spark)
+    fields = spark.sql("SELECT p.paper_id, f.* FROM {papers} p, LATERAL table_fields(p.text) f", papers=_papers(spark, sf_dir))
+    return fields.groupBy("paper_id", "inline").agg(F.count(F.lit(1)).alias("n_fields"), F.count_distinct("row").alias("n_rows"))
+
+
+@_registered(
+    """WITH f AS (SELECT c_nationkey AS paper_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, c_name FROM customer),
+    t AS (SELECT paper_id, string_agg(CASE WHEN r = 1 THEN chr(92) || 'documentclass{a}' ELSE '' END || c_name || ';' || chr(10), '' ORDER BY bin(r)) AS text FROM f GROUP BY 1)
+    SELECT paper_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM t"""
+)
+def included_sources(spark, sf_dir):
+    """A nation's customers as files, each asking for two others (one as input, one as include from another folder), for those again, for one that asks for it and for one that isn't there."""
+    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    f = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("paper_id"), "c_name", r.alias("r"))
+    ask = lambda command, k: F.concat(F.lit("\\" + command + "{f"), k.cast("long").cast("string"), F.lit("}"))
+    left, right = ask("input", 2 * F.col("r")), ask("include", 2 * F.col("r") + 1)
+    back = F.when(F.col("r") > 3, ask("input", F.floor(F.col("r") / 2))).otherwise("")
+    head = F.when(F.col("r") == 1, r"\documentclass{a}").otherwise("")
+    text = F.concat(head, "c_name", F.lit("; % \\input{f1}\n".replace(" ", "")), left, right, left, back, right, F.lit(r"\input{gone}"))
+    path = F.concat(F.when(F.col("r") % 2 == 1, "parts/f").otherwise("f"), F.col("r").cast("string"), F.lit(".tex"))
+    papers = files.papers(f.select("paper_id", path.alias("path"), text.alias("text")))
+    return papers.select("paper_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @_registered(
     f"""WITH {_PAPER_CELLS} SELECT paper_id, substr(sha256('tab:p' || string_agg('Table 1 › ' || s || ' › Price › ' || st, '' ORDER BY s, st) || 'table-1' ||
     (SELECT string_agg('Inline table 1 › ' || s || ' › Orders', '' ORDER BY s) FROM n WHERE n.paper_id = c.paper_id)), 1, 12) AS paper_key FROM c GROUP BY paper_id"""

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.functions import latex
-from veritab.sources import delimited
+from veritab.sources import delimited, includes
 
 #: What a repository's files are by suffix or name, and folders that are not its own work.
 SCRIPT_SUFFIXES = ["py", "sh", "r"]
@@ -28,7 +27,6 @@ SKIPPED = [
     ".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "site-packages", ".idea", ".vscode", "build", "dist", ".eggs",
 ]
 SCRIPT_BYTES, ARTIFACT_BYTES = 1 << 20, 64 << 20
-DEPTH = 10
 
 
 def _safe(name: str) -> bool:
@@ -88,43 +86,10 @@ def main_files(files: DataFrame) -> DataFrame:
     return tex_files(files).groupBy("paper_id").agg(F.coalesce(F.min(classed), F.min("path")).alias("main"))
 
 
-def _member(files: dict[str, str], target: str) -> str | None:
-    for name in (target, target + ".tex", target + ".ltx"):
-        if name in files:
-            return files[name]
-    tail = target.rsplit("/", 1)[-1]
-    return next((files[p] for p in sorted(files) if p.endswith(("/" + target, "/" + target + ".tex", "/" + tail + ".tex"))), None)
-
-
-def joined_source(main: str, files: dict[str, str]) -> str:
-    """The main file with its input and include files in place, each once."""
-    seen: set[str] = set()
-
-    def grown(text: str, depth: int) -> str:
-        text = latex.strip_comments(text)
-        for command in ("input", "include") if depth <= DEPTH else ():
-            while found := latex.first_command(text, command, 1):
-                start, end, (target,) = found
-                target, part = latex.flatten(target), None
-                if target and target not in seen:
-                    seen.add(target)
-                    part = _member(files, target)
-                text = text[:start] + (grown(part, depth + 1) if part else "") + text[end:]
-        return text
-
-    return grown(files.get(main, ""), 0)
-
-
 def papers(files: DataFrame) -> DataFrame:
-    """(paper_id, text): each paper's sources as one text. A paper's files meet in one row: some MB at most."""
-    listed = tex_files(files).groupBy("paper_id").agg(F.collect_list(F.struct("path", "text")).alias("files")).join(main_files(files), "paper_id")
-
-    def run(batches):
-        for b in batches:
-            texts = [joined_source(m, {f["path"]: f["text"] for f in fs}) for fs, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["paper_id", "text"])
-
-    return listed.select("paper_id", "files", "main").mapInArrow(run, "paper_id string, text string")
+    """(paper_id, text): each paper's sources as one text, its input and include files in place."""
+    sources = tex_files(files)
+    return includes.documents(sources, main_files(sources))
 
 
 def read_papers(spark: SparkSession, target: str) -> DataFrame:

@@ -61,6 +61,17 @@ def test_parse_cell(spark):
         assert p.value == pytest.approx(value) if value is not None else p.value is None
 
 
+def test_parse_cells_step_by_step(spark):
+    more = ["1|2", "± 3", "1 ± x", "1.5 (2", "< 1,234 *†", "1e999", "3 * 4", "$10^{2}$", r"$2 \cdot 10^{99999999999}$", "x_{1}", "1_{2}*", "−4 ± −1", "≈ 5\\%", "*", "NaN ‡", None]
+    cells = spark.createDataFrame([(i, c, latex.flatten(c)) for i, c in enumerate([c[0] for c in CELLS] + more)], "i int, raw string, text string")
+    one_by_one = cells.withColumn("parsed", numbers.parse_cell(F.col("raw"), F.col("text")))
+    stepwise = numbers.parse_cells(cells)
+    assert stepwise.columns == one_by_one.columns and sorted(map(str, stepwise.collect())) == sorted(map(str, one_by_one.collect()))
+    got = {r.raw: r.parsed for r in stepwise.collect()}
+    assert (got["< 1,234 *†"].value, got["< 1,234 *†"].markers) == (1234.0, ["*", "†", "<"]) and (got["−4 ± −1"].value, got["−4 ± −1"].uncertainty) == (-4.0, 1.0)
+    assert got["1|2"].value is None and got["± 3"].value is None and got["1 ± x"].value is None and got["1_{2}*"].uncertainty_kind == "subscript"
+
+
 def test_names(spark):
     for name, norm in [("GPT-2-large", "gpt2large"), ("Pythia-1.4B", "pythia1.4b"), ("pythia_1_4b", "pythia1.4b"), ("1..-2", "1.2"), ("a.b", "ab"), ("", "")]:
         assert one(spark, names.normalize(F.col("n")), n=name) == norm

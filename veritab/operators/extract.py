@@ -118,7 +118,7 @@ def cells_of(fields: DataFrame) -> DataFrame:
     by_row = Window.partitionBy(*TABLE_KEY).orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("section", F.last(F.when(F.col("is_section"), F.col("text")), ignorenulls=True).over(by_row))
     body = body.where("not is_section").withColumn("number", F.dense_rank().over(Window.partitionBy(*TABLE_KEY).orderBy("row")))
-    body = body.withColumn("parsed", numbers.parse_cell(F.col("raw"), F.col("text")))
+    body = numbers.parse_cells(body)
     labels_only = F.collect_set(F.when(F.col("wordy"), F.col("col"))).over(Window.partitionBy(*TABLE_KEY))
     wordy = ~F.max(F.col("parsed.is_numeric")).over(Window.partitionBy(*TABLE_KEY, "col"))
     body = body.withColumn("wordy", wordy).withColumn("labels_only", labels_only)

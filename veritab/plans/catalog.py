@@ -299,7 +299,7 @@ def parse_numbers(spark, sf_dir):
     forms = [q, F.concat(F.lit("$"), q, F.lit(r" \pm "), d, F.lit("$")), F.concat(q, F.lit(" ("), d, F.lit(")")), F.concat(q, F.lit(r"\%")), F.concat(F.lit("< "), q, F.lit("*")), F.concat(F.lit("$"), q, F.lit(r"\cdot 10^{2}$")), F.lit("--")]
     raw = F.element_at(F.array(*forms), (F.col("l_linenumber") - 1) % 7 + 1)
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
-    parsed = cells.withColumn("text", latex.flattened(F.col("raw"))).withColumn("p", numbers.parse_cell(F.col("raw"), F.col("text")))
+    parsed = numbers.parse_cells(cells.withColumn("text", latex.flattened(F.col("raw"))), "p")
     return parsed.select("l_orderkey", "l_linenumber", "p.is_numeric", "p.value", "p.uncertainty", "p.uncertainty_kind", "p.unit", F.array_join("p.markers", ",").alias("markers"))
 
 

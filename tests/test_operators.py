@@ -297,3 +297,29 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r2.json").write_text('{"schema_version": "2.0", "cells": []}')
     with pytest.raises(Exception, match="unsupported schema version"):
         spark.read.schema("schema_version string").json(str(tmp_path / "r2.json")).select(contracts.checked_version(F.col("schema_version"))).collect()
+
+
+def test_values_of_a_column_are_followed_up_to_a_bound(spark):
+    def rows(path, values):
+        return [(path, i, {"c": v, "blank": " "}) for i, v in enumerate(values)]
+
+    many = [f"v{i % 65}" for i in range(650)]
+    late = [str(i) for i in range(200)] + ["x"]
+    data = rows("most", [f"v{63 - i % 64}" for i in range(640)]) + rows("more", many) + rows("late", late) + rows("unique", map(str, range(500))) + rows("none", [])
+    for parts in (1, 7, 40):  # where no task sees more than 64 values too
+        table = spark.createDataFrame(data, "path string, row_no int, kv map<string,string>").repartition(parts)
+        done = {(r.path, r.column): (r.n_values, r.is_numeric, r.is_category, r.categories) for r in profile.profile(table).collect()}
+        assert done["most", "c"] == (64, False, True, [f"v{63 - i}" for i in range(64)])
+        assert done["more", "c"] == done["late", "c"] == (65, False, False, None)
+        assert done["unique", "c"] == (65, True, False, None)
+        assert done["most", "blank"] == (0, True, False, None)
+        assert {(r.path, r.column): r.n_values for r in profile.distinct_counts(table).collect()} == {("most", "c"): 64, ("more", "c"): 65, ("late", "c"): 201, ("unique", "c"): 500}
+        sent = profile.bounded_values(profile.unpivot(table)).groupBy("path").count().collect()
+        assert all(r["count"] <= 64 * parts for r in sent)
+
+
+def test_held_columns_are_given_on(spark, monkeypatch):
+    monkeypatch.setattr(profile, "HELD_COLUMNS", 0)
+    spark_rows = spark.createDataFrame([("p", i, {f"c{j}": f"v{i % 3}" for j in range(3)}) for i in range(30)], "path string, row_no int, kv map<string,string>")
+    assert [r.categories for r in profile.profile(spark_rows).collect()] == [["v0", "v1", "v2"]] * 3
+    assert profile.profile(spark_rows.where("false")).count() == 0

@@ -333,7 +333,9 @@ def _profile_sql(path: str, tbl: str, column: str, number: bool) -> str:
 )
 def profile_columns(spark, sf_dir):
     """Numeric and categorical columns of all-text rows."""
-    return profile.profile(_artifact_rows(spark, sf_dir)).select("path", "column", "n_values", "is_numeric", "is_category")
+    rows = _artifact_rows(spark, sf_dir)
+    done = profile.profile(rows).drop("n_values").join(profile.distinct_counts(rows), ["path", "column"], "left")
+    return done.select("path", "column", F.coalesce("n_values", F.lit(0)).alias("n_values"), "is_numeric", "is_category")
 
 
 @_registered(

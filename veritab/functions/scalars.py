@@ -63,13 +63,16 @@ def weight_mb(model: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), millions * MB_PER_MILLION)
 
 
-def duration(seconds: Column) -> Column:
-    """Seconds below 90, minutes below 5400, else hours."""
-    return (
-        F.when(seconds < 90, F.concat(F.format_string("%.0f", seconds), F.lit(" seconds")))
-        .when(seconds < 5400, F.concat(F.format_string("%.0f", seconds / 60), F.lit(" minutes")))
-        .otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" hours")))
-    )
+@F.pandas_udf(StringType())
+def duration(seconds: pd.Series) -> pd.Series:
+    """Seconds below 90, minutes below 5400, else hours; halves go to the even digit. Only reports use it."""
+
+    def shown(s: float) -> str | None:
+        if pd.isna(s):
+            return None
+        return f"{s:.0f} seconds" if s < 90 else f"{s / 60:.0f} minutes" if s < 5400 else f"{s / 3600:.1f} hours"
+
+    return seconds.map(shown)
 
 
 @F.pandas_udf(StringType())

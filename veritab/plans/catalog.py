@@ -154,6 +154,16 @@ def report_reasons(spark, sf_dir):
     return full.select("ord", F.regexp_replace(cells[0], r"^\| ", "").alias("status"), "address", F.regexp_replace(cells[5], r" \|$", "").alias("reason"))
 
 
+@_registered(
+    f"""WITH {_COMPARED} SELECT ord, printf('%g', p) AS paper, coalesce(printf('%g', v), '—') AS rerun, coalesce(printf('%+g', v - p) || ' (' || printf('%.1f', abs(v - p) / abs(p) * 100) || '%)', '—') AS delta FROM graded"""
+)
+def report_values(spark, sf_dir):
+    """M5, M6, K5: the numbers of a report, six digits each, with the relative difference."""
+    cells = F.split("line", r" \| ")
+    full = report.lines(_compared(spark, sf_dir)).join(_segment_cells(spark, sf_dir).select("ord", "address"), "ord")
+    return full.select("ord", cells[2].alias("paper"), cells[3].alias("rerun"), cells[4].alias("delta"))
+
+
 @_registered(
     f"""WITH pr AS ({_PRICED}), a AS (SELECT DISTINCT 'Table 1 › ' || s || ' › ' || st AS address FROM pr WHERE s <> 'FURNITURE') SELECT a.address FROM a
     WHERE address NOT IN (SELECT 'Table 1 › ' || s || ' › ' || st FROM pr GROUP BY s, st HAVING round(avg(price) / 1000) < 130)"""
@@ -223,6 +233,21 @@ def odd_markup(spark, sf_dir):
     return cells.select(F.col("paper_id").alias("paper"), "address", "value", "is_numeric", "text")
 
 
+@_registered(
+    """SELECT p_partkey AS paper, unnest(['Inline table 1 › ' || p_brand || ' › x › B', 'Inline table 1 › ' || p_brand || ' › y › B', 'Inline table 1 › Second › x › B', 'Inline table 1 › Second › x › B #2']) AS address,
+    unnest([1, p_size, 3, 4])::DOUBLE AS value, unnest([1, 2, 3, 5]) AS "row" FROM part"""
+)
+def section_rows(spark, sf_dir):
+    """rows of one wide cell name the rows below them and have no number; a blank one has a number and names nothing. A table for every part."""
+    n = F.col("p_size").cast("string")
+    wide = lambda text: F.concat(F.lit("\\multicolumn{2}{c}{"), text, F.lit("} \\\\ "))
+    body = F.concat(
+        F.lit("\\begin{tabular}{lc} A & B \\\\ \\hline "), wide(F.col("p_brand")), F.lit("x & 1 \\\\ y & "), n, F.lit(" \\\\ "), wide(F.lit("Second")), F.lit("x & 3 \\\\ "), wide(F.lit("")), F.lit("x & 4 \\\\ \\end{tabular}"),
+    )
+    cells = extract.extract_cells(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), body.alias("text")))
+    return cells.select(F.col("paper_id").alias("paper"), "address", "value", F.col("row").cast("int").alias("row"))
+
+
 @_registered(
     """WITH p AS (SELECT DISTINCT c_nationkey AS paper_id FROM customer JOIN orders ON o_custkey = c_custkey) SELECT paper_id, 'tab:p' AS label, 'As Table 1 shows, nation ' || paper_id || ' varies.' AS paragraph FROM p
     UNION ALL SELECT paper_id, 'tab:p', 'Unlike tables tab:x, 1 is short.' FROM p WHERE paper_id % 3 = 0"""
@@ -750,6 +775,15 @@ def tolerance_policy(spark, sf_dir):
     return tables.union(spark.createDataFrame([("default", default["relative"], default["absolute"], default["multiplier"])], tables.schema))
 
 
+@_registered(
+    """WITH s AS (SELECT o_orderkey, (o_orderkey * 7 % 20000)::DOUBLE AS s FROM orders)
+    SELECT o_orderkey, CASE WHEN s < 90 THEN printf('%.0f', s) || ' seconds' WHEN s < 5400 THEN printf('%.0f', s / 60) || ' minutes' ELSE printf('%.1f', s / 3600) || ' hours' END AS takes FROM s"""
+)
+def shown_durations(spark, sf_dir):
+    """Seconds, minutes or hours; every order is a run."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.duration((F.col("o_orderkey") * 7 % 20000).cast("double")).alias("takes"))
+
+
 @_registered("SELECT o_custkey AS run, 'from ' || string_agg(DISTINCT o_orderstatus || '.py', ', ' ORDER BY o_orderstatus || '.py') AS note FROM orders GROUP BY 1")
 def run_provenance(spark, sf_dir):
     """The scripts that each run's numbers come from."""

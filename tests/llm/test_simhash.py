@@ -108,3 +108,51 @@ def test_one_template_is_joined_without_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "confirmed_chunks", lambda *args: pytest.fail("sets were dealt into chunks"))
     got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 0.8, shingle=5, radius=70, width=4, smallest=8)
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(n, 0) for n in range(3000)} | {(5000, 5000)}
+
+
+def test_a_common_passage_sends_no_set_to_every_chunk(spark, monkeypatch):
+    """Texts that share a passage and little else are one component of candidates; a set is sent only where it may be similar."""
+    monkeypatch.setattr(simhash, "SPLIT_SETS", 16)
+    sent, whole = [], simhash.confirmed_chunks
+
+    def counted(sets, *args):
+        sent.append(sets.count())
+        return whole(sets, *args)
+
+    monkeypatch.setattr(simhash, "confirmed_chunks", counted)
+    own = np.random.default_rng(3)
+    passage = [f"common{k}" for k in range(30)]
+    rows = []
+    for n in range(400):
+        words = [*passage, *[f"w{x}" for x in own.integers(0, 10**9, 40)]]
+        rows.append((n, " ".join(words)))
+        if n % 20 == 0:  # a text with a similar one
+            words[50] = "changed"
+            rows.append((1000 + n, " ".join(words)))
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 0.5, shingle=5, radius=100, width=4, smallest=8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {n: n % 1000 for n, _ in rows}
+    assert sum(sent) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_groups_part_nothing_similar(spark, least):
+    """All pairs of a component that are similar and in two parts are in one group; texts of two components never are."""
+    own = np.random.default_rng(6)
+    sets, common = [], own.integers(0, 2**63, 40, dtype=np.uint64)
+    for _ in range(60):
+        base = np.concatenate([own.choice(common, own.integers(0, 30), replace=False), own.integers(0, 2**63, own.integers(1, 30), dtype=np.uint64)])
+        for _ in range(own.integers(1, 5)):
+            kept = base[own.random(len(base)) < own.choice([0.7, 0.85, 0.95, 1.0])]
+            sets.append(np.unique(kept))
+    names = [f"{i:04d}".encode() for i in range(len(sets))]
+    root = [int(x) for x in own.integers(0, 3, len(sets))]
+    part = [i if own.random() < 0.8 else max(k for k in range(i + 1) if root[k] == root[i] and (k == i or own.random() < 0.2)) for i in range(len(sets))]
+    part = [p if part[p] == p else i for i, p in enumerate(part)]
+    rows = [(names[i], names[part[i]], f"root{root[i]}".encode(), 2, len(s)) for i, s in enumerate(sets)]
+    several = spark.createDataFrame(rows, "fp binary, part binary, root binary, chunks int, size bigint")
+    held = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(names, sets, strict=True)], "fp binary, set binary")
+    group = {bytes(r.fp): bytes(r.root) for r in simhash._sharing(several, held, least).collect()}
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] == root[j] and part[i] != part[j] and len(sets[i]) and simhash.shares(sets[i], sets[j], least)]
+    assert len(similar) > 20 and all(group[names[i]] == group[names[j]] for i, j in similar)
+    assert all(root[i] == root[j] for i in range(len(sets)) for j in range(i) if group.get(names[i], 0) == group.get(names[j], 1))
+    assert len(group) < len(sets)

@@ -14,7 +14,8 @@ there, with a radius so wide that a pair at the wanted similarity passes it but
 of 1e-7, and the shingle sets decide. Sets are made once, where the texts are; texts are never shuffled for it. First
 the candidates' own links are confirmed, one for each text and then those between texts that are still apart: where a template
 or copies make a component, that joins it with work linear in its texts. Only components that are still in several parts
-go on: their sets meet each other in chunks, but for pairs in one part already.
+go on: their sets meet each other, but for pairs in one part already. A component of more than a chunk is cut first into groups of
+texts that share one of their rarest shingles, as similar texts must; only a group beyond a chunk meets itself in chunks.
 
 Comparison. The fingerprints of a bucket are stored vertically: plane b holds bit
 b of 64 of them to a word. For each fingerprint of a word, its bits are spread over all
@@ -39,7 +40,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.common import BASE, mapped, mix, staged, tidied
@@ -432,13 +433,14 @@ def similar(docs: DataFrame, least: float, shingle: int, radius: int, width: int
     good = staged(good.union(confirmed(apart, sets, least)), "confirmed")
     parts = near.join(components(good).select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     parts = staged(parts, "parts")
-    # What is still in several parts meets in chunks.
-    open_ = parts.groupBy("root").agg(F.min("part").alias("least_part"), F.max("part").alias("most_part"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size"))
-    chunks = F.ceil(F.greatest(F.col("texts") / SPLIT_SETS, F.col("size") * 8 / SPLIT_BYTES)).cast("int")
-    open_ = staged(open_.where("least_part != most_part").select("root", F.greatest(chunks, F.lit(1)).alias("chunks")), "open")
+    # What is still in several parts meets in groups, the texts of large components only with those that they may be linked to.
+    spread = parts.groupBy("root").agg(F.min("part").alias("least_part"), F.max("part").alias("most_part"), _chunks())
+    open_ = staged(spread.where("least_part != most_part").select("root", "chunks"), "open")
     left = open_.count()
     if left:
-        several = parts.join(F.broadcast(open_) if left <= SMALL else open_, "root").select("fp", "part", "root", "chunks")
+        several = parts.join(F.broadcast(open_) if left <= SMALL else open_, "root").select("fp", "part", "root", "chunks", "size")
+        if not open_.where("chunks > 1").isEmpty():
+            several = several.where("chunks = 1").unionByName(_sharing(several.where("chunks > 1"), sets, least))
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         dealt = sets.join(dealt, "fp").select("set", "fp", "part", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -446,6 +448,44 @@ def similar(docs: DataFrame, least: float, shingle: int, radius: int, width: int
     return prints.select(id_col, "fp").join(_named(named, components(good)), "fp").select(id_col, "component_id")
 
 
+def _chunks() -> F.Column:
+    """The chunks of a component of texts, each with its size."""
+    of = F.greatest(F.count(F.lit(1)) / SPLIT_SETS, F.sum("size") * 8 / SPLIT_BYTES)
+    return F.greatest(F.ceil(of).cast("int"), F.lit(1)).alias("chunks")
+
+
+def _sharing(several: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(fp, part, root, chunks, size): several, in groups outside which no text is similar to one of another part of its component.
+
+    A shingle counts if texts of two parts hold it. A text of n shingles needs t = ceil(least * n) that count to be similar to any text of
+    another part. Of m that count, rarest first, two similar texts share one among the first m - t + 1 of each. Texts
+    that share such a shingle are a group, in chains too; all others go. Nothing similar is lost, and each shingle moves a fixed number of times.
+    """
+    # Numbers stand for texts and parts; a part has the name of one of its texts.
+    own = staged(several.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = own.select(F.col("fp").alias("part"), F.col("node").alias("part_node"))
+    own = staged(own.join(named, "part").select("fp", "part", "part_node", "node", "size", F.xxhash64("root").alias("salt")), "nodes")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = np.array([len(x.as_buffer()) // 8 for x in b.column(0)], np.int64)
+        salt = mix(np.repeat(b.column(3).to_numpy().view(np.uint64), lengths))
+        keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) ^ salt
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(k).to_numpy(), lengths)) for k in (1, 2)] + [pa.array(keys.view(np.int64))], ["node", "part", "key"])
+
+    held = mapped(sets.join(own, "fp").select("set", "node", "part_node", "salt"), run, "node bigint, part bigint, key bigint")
+    across = [F.min("part").alias("low"), F.max("part").alias("high")]
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), *across).where("low != high").select("key", "texts")
+    met = held.join(counts, "key").join(own.select("node", "size"), "node")
+    of_text = Window.partitionBy("node")
+    met = met.withColumn("m", F.count(F.lit(1)).over(of_text)).withColumn("place", F.row_number().over(of_text.orderBy("texts", "key")))
+    first = staged(met.where(F.col("place") <= F.col("m") - F.ceil(F.lit(least) * F.col("size")) + 1).select("key", "node", "part"), "first")
+    hubs = first.groupBy("key").agg(F.min("node").alias("hub"), *across).where("low != high").select("key", "hub")
+    groups = components(first.join(hubs, "key").select("hub", "node"), "hub", "node")
+    groups = staged(own.join(groups, "node").select("fp", "part", F.encode(F.col("root").cast("string"), "UTF-8").alias("root"), "size"), "groups")
+    chunks = groups.groupBy("root").agg(_chunks())
+    return groups.join(chunks, "root").select("fp", "part", "root", "chunks", "size")
+
+
 def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are in different parts. parts: (node, root); a node that isn't there is a part of its own."""
     of = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}_part"))

@@ -178,3 +178,29 @@ def test_blocks_share_prefixes_and_detect_damage(tmp_path, monkeypatch):
     path.write_bytes(data)
     with path.open("rb") as f, pytest.raises(ValueError):
         token_store.Reader(f, size)
+
+
+def test_a_full_store_costs_a_look_up_nothing():
+    """What is asked for decides the work, not how much the store holds."""
+    hashed = []
+
+    class Key:
+        def __init__(self, n):
+            self.n = n
+
+        def __hash__(self):
+            hashed.append(self.n)
+            return hash(self.n)
+
+        def __eq__(self, other):
+            return self.n == other.n
+
+    store = Store(lambda keys: [k.n for k in keys], 3000)
+    store.learned({Key(n) for n in range(2000)})
+    store.learned({Key(n) for n in range(2000, 4000)})
+    assert len(store.old) == len(store.new) == 2000
+    wanted = {Key(5), Key(2500), Key(9000)}
+    hashed.clear()
+    found = store.learned(wanted)
+    assert [found[k] for k in sorted(wanted, key=lambda k: k.n)] == [5, 2500, 9000]
+    assert len(hashed) < 50

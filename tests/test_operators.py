@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import latex
 from veritab.operators import align, budget, extract, grade, harvest, outcomes, profile, scripts
+from veritab.plans import catalog
 from veritab.sources import contracts, files
 
 PAPER = r"""\documentclass{article}
@@ -47,6 +48,32 @@ def test_extraction(cells):
     assert rows["Inline table 1 › a › n #2"].value == 2.0
 
 
+def test_headers_meet_cells_without_a_join(spark, tmp_path):
+    """Headers over each cell, spans and repeats too, in one pass: markup is read once and no header goes through the driver."""
+    text = r"\begin{tabular}{lccc} & \multicolumn{2}{c}{P} & Q \\ & P & R & \\ & & R & Q \\ \hline x & 1 & 2 & 3 \\ \multicolumn{4}{c}{S} \\ y & 4 & \multicolumn{2}{c}{5} \\ \end{tabular}"
+    found = extract.extract_cells(spark.createDataFrame([(1, text), (2, "\\begin{tabular}{lc} a & 1 \\end{tabular}")], "paper_id int, text string"))
+    assert {(r.paper_id, *r.row_path, r.col): r.col_path for r in found.collect()} == {
+        (1, "x", 1): ["P"], (1, "x", 2): ["P", "R"], (1, "x", 3): ["Q"], (1, "S", "y", 1): ["P"], (1, "S", "y", 2): ["P", "R"], (2, "a", 1): ["column 2"],
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def _parts(spark, folder, n):
+    spark.range(n).selectExpr("id AS p_partkey", "concat('Brand#', id % 7) AS p_brand", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{folder}/part.parquet")
+
+
+def test_section_rows_of_a_small_file_are_read_by_several_tasks(spark, tmp_path):
+    _parts(spark, tmp_path, 300)
+    found = catalog.queries()["section_rows"](spark, str(tmp_path))
+    assert {(r.address, r.value, r.row) for r in found.where("paper = 8").collect()} == {
+        ("Inline table 1 › Brand#1 › x › B", 1.0, 1), ("Inline table 1 › Brand#1 › y › B", 8.0, 2), ("Inline table 1 › Second › x › B", 3.0, 3), ("Inline table 1 › Second › x › B #2", 4.0, 5),
+    }
+    assert found.count() == 1200
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" in plan[plan.index("MapInArrow") :]
+
+
 def test_paragraphs(cells):
     papers, found = cells
     assert [(r.label, r.paragraph) for r in extract.citing_paragraphs(papers, found).collect()] == [("tab:m", "As Table 1 shows.")]

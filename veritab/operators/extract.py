@@ -18,6 +18,8 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from veritab.functions import latex, names, numbers
 
 TABLE_KEY = ["paper_id", "inline", "place"]
+#: Fields that a scan sends on at once; those of one paper stay together.
+FIELDS = 4096
 _FIELDS = "inline boolean, place int, environment string, label string, caption string, row int, ruled boolean, field int, raw string, colspan int, rowspan int, text string"
 _NAMES, _KINDS = zip(*(x.split() for x in _FIELDS.split(", ")), strict=True)
 _TYPES = {"boolean": BooleanType(), "int": IntegerType(), "string": StringType()}
@@ -52,11 +54,16 @@ def scan_fields(papers: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            types = [b.schema.field(0).type, pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["paper_id", *_NAMES])  # noqa: B023, E731
+            rows = []
             for paper, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(paper, *f) for f in _fields_of(text or "")]
-                if rows:
-                    types = [b.schema.field(0).type, pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["paper_id", *_NAMES])
+                rows += [(paper, *f) for f in _fields_of(text or "")]
+                if len(rows) >= FIELDS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     return papers.select("paper_id", "text").mapInArrow(run, f"paper_id {kind}, {_FIELDS}")
 
@@ -97,13 +104,19 @@ def placed_fields(fields: DataFrame) -> DataFrame:
     return out.drop("high").withColumn("is_section", section)
 
 
-def header_paths(placed: DataFrame) -> DataFrame:
-    """(table, col, col_path): header texts from top to bottom, without blanks and repeats of the one above."""
-    covered = F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1))
-    heads = placed.where("row < body and text != ''").select(*TABLE_KEY, "row", "text", covered.alias("col"))
-    above = F.lag("text").over(Window.partitionBy(*TABLE_KEY, "col").orderBy("row"))
-    heads = heads.withColumn("above", above).where("above is null or above != text")
-    return heads.groupBy(*TABLE_KEY, "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]).alias("col_path"))
+def with_header_paths(placed: DataFrame) -> DataFrame:
+    """The fields below the headers with col_path: header texts over their column from top to bottom, without blanks and repeats of the one above.
+
+    Headers meet the fields below them in one pass by column; markup is read once, and nothing is joined or sent through the driver.
+    """
+    head = F.col("row") < F.col("body")
+    covered = F.when(head, F.sequence("col", F.col("col") + F.col("colspan") - 1)).otherwise(F.array("col"))
+    by_column = Window.partitionBy(*TABLE_KEY, "col").orderBy("row")
+    out = placed.where(~head | (F.col("text") != "")).withColumn("col", F.explode(covered))
+    out = out.withColumn("above", F.lag("text").over(by_column))
+    named = F.when(head & (F.col("above").isNull() | (F.col("above") != F.col("text"))), F.col("text"))
+    whole = by_column.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return out.withColumn("col_path", F.collect_list(named).over(whole)).where(~head).drop("above")
 
 
 def extract_cells(papers: DataFrame) -> DataFrame:
@@ -113,8 +126,7 @@ def extract_cells(papers: DataFrame) -> DataFrame:
 
 def cells_of(fields: DataFrame) -> DataFrame:
     """The cells of fields, as scan_fields gives them or ``table_fields`` in SQL."""
-    placed = placed_fields(fields)
-    body = placed.where("row >= body")
+    body = with_header_paths(placed_fields(fields))
     by_row = Window.partitionBy(*TABLE_KEY).orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("section", F.last(F.when(F.col("is_section"), F.col("text")), ignorenulls=True).over(by_row))
     body = body.where("not is_section").withColumn("number", F.dense_rank().over(Window.partitionBy(*TABLE_KEY).orderBy("row")))
@@ -126,8 +138,7 @@ def cells_of(fields: DataFrame) -> DataFrame:
     body = body.withColumn("stub", F.greatest(F.lit(1), leading))
     own = F.collect_list(F.when((F.col("col") < F.col("stub")) & (F.col("text") != ""), F.struct("col", "text"))).over(Window.partitionBy(*TABLE_KEY, "row"))
     body = body.withColumn("row_path", F.concat(F.filter(F.array("section"), lambda s: s.isNotNull()), F.transform(F.array_sort(own), lambda x: x["text"])))
-    cells = body.where("col >= stub").join(header_paths(placed), [*TABLE_KEY, "col"], "left")
-    cells = cells.withColumn("col_path", F.coalesce("col_path", F.array(F.format_string("column %d", F.col("col") + 1))))
+    cells = body.where("col >= stub").withColumn("col_path", F.when(F.size("col_path") > 0, F.col("col_path")).otherwise(F.array(F.format_string("column %d", F.col("col") + 1))))
     cells = cells.withColumn("index", F.dense_rank().over(Window.partitionBy("paper_id", "inline").orderBy("place")))
     title = F.format_string("%s %d", F.when(F.col("inline"), "Inline table").otherwise("Table"), "index")
     cells = cells.withColumn("plain", names.make_address(title, F.col("row_path"), F.col("col_path")))

@@ -74,6 +74,18 @@ def test_section_rows_of_a_small_file_are_read_by_several_tasks(spark, tmp_path)
     assert "Join" not in plan and "Repartition" in plan[plan.index("MapInArrow") :]
 
 
+def test_odd_markup_sends_no_header_through_the_driver(spark, tmp_path):
+    _parts(spark, tmp_path, 300)
+    found = catalog.queries()["odd_markup"](spark, str(tmp_path))
+    assert sorted((r.address, r.value, r.text) for r in found.where("paper = 9").collect()) == [
+        ("Inline table 1 › Brand#2 › A", -9.0, "\u22129"), ("Inline table 1 › Brand#2 › B", None, "9 & 2"), ("Inline table 1 › M › A", 1.0, "1"), ("Inline table 1 › M › A #2", 3.0, "3"),
+        ("Inline table 1 › M › B", 2.0, "2"), ("Inline table 1 › M › B #2", 9.0, "9"),
+    ]
+    assert found.count() == 1800
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Repartition" in plan[plan.index("MapInArrow") :]
+
+
 def test_paragraphs(cells):
     papers, found = cells
     assert [(r.label, r.paragraph) for r in extract.citing_paragraphs(papers, found).collect()] == [("tab:m", "As Table 1 shows.")]

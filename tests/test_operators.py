@@ -100,6 +100,46 @@ def test_nested_floats_hide_references(spark):
     assert got == [(1, where[0], "a"), (1, where[2], "a"), (1, where[2], "b"), (1, where[3], "b"), (1, where[4], "a"), (3, 14, "a")]  # the last has no float, as none ends
 
 
+def test_references_of_parts_are_those_of_the_whole_text(spark):
+    """Floats within parts and over many, begins and ends that meet nothing, comments, macros of other parts; one part number in ten is left out."""
+    import random
+
+    rng = random.Random(3)
+    words = [
+        "\\begin{table}", "\\end{table}", "\\begin{table*}", "\\end{table*}", "\\begin{table}", "\\end{table}", "\\ref{a}", "\\cref{b, c}", "\\autoref*{a}", "x", "50\\% %\\ref{no} \\begin{table}\n", "\n\n", "\\open", "\\shut", "\\see{d}",
+    ]
+    rows = []
+    for paper in range(12):
+        sparse = [1, 1, 40][paper % 3]  # few marks, so that floats are long
+        for part in range(150):
+            text = " ".join("x" if rng.randrange(sparse) and "table" in w else w for w in rng.choices(words, k=rng.randrange(6)))
+            if part in (30, 90) and paper % 2:
+                text += " \\newcommand{\\see}[1]{\\emph{see %d} \\ref{#1}}" % part + ("\\renewcommand{\\open}{\\begin{sidewaystable}} \\def\\shut{\\end{sidewaystable}} \\def\\shut{y}" if part == 90 else "")
+            rows.append((paper, 100 * part, text))
+    rows.append((12, 0, None))
+    parts = spark.createDataFrame(rows, "paper_id int, part int, text string").repartition(5)
+    whole = spark.createDataFrame([(p, "\n\n".join(t or "" for q, _, t in rows if q == p)) for p in range(13)], "paper_id int, text string")
+    want = sorted((r.paper_id, r.label, r.paragraph) for r in extract.outside(extract.scan_citations(whole), ["paper_id"]).collect())
+    got = extract.cited_in_parts(parts, extract.part_macros(parts))
+    assert sorted((r.paper_id, r.label, r.paragraph) for r in got.collect()) == want
+    assert len(want) > 200 and {r[0] for r in want} >= set(range(10)) and len(want) < 0.8 * sum(t.count("ref{") for _, _, t in rows[:-1])
+    plain = parts.where("paper_id % 2 = 0")  # without macros nothing need be known
+    assert sorted((r.paper_id, r.label, r.paragraph) for r in extract.cited_in_parts(plain).collect()) == [r for r in want if r[0] % 2 == 0]
+    assert extract.cited_in_parts(parts.limit(0)).count() == 0
+
+
+def test_orders_of_a_nation_meet_in_no_row(spark, tmp_path):
+    """One nation's orders, cited outside floats or inside: no text holds them all, and none is one task's."""
+    spark.range(40).selectExpr("id AS c_custkey", "cast(7 AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(6000).selectExpr("id AS o_orderkey", "id % 37 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalog.queries()["cited_outside_floats"](spark, str(tmp_path))
+    got = {(r.paper_id, r.label): (r.n_cited, r.first_order) for r in found.collect()}
+    cited = [k for k in range(6000) if k % 3]
+    assert got == {(7, f"tab:{c}"): (sum(k % 37 == c for k in cited), min(k for k in cited if k % 37 == c)) for c in range(37)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "bucket" in plan
+
+
 def test_fields_from_sql(spark, cells):
     papers, found = cells
     extract.register(spark)

@@ -20,6 +20,8 @@ from veritab.functions import latex, names, numbers
 TABLE_KEY = ["paper_id", "inline", "place"]
 #: Fields that a scan sends on at once; those of one paper stay together.
 FIELDS = 4096
+#: Part numbers of a paper whose references and floats meet in one task.
+PARTS = 1024
 _FIELDS = "inline boolean, place int, environment string, label string, caption string, row int, ruled boolean, field int, raw string, colspan int, rowspan int, text string"
 _NAMES, _KINDS = zip(*(x.split() for x in _FIELDS.split(", ")), strict=True)
 _TYPES = {"boolean": BooleanType(), "int": IntegerType(), "string": StringType()}
@@ -150,10 +152,25 @@ def cells_of(fields: DataFrame) -> DataFrame:
     )
 
 
+def _cited(text: str) -> dict[tuple[int, int], list[dict]]:
+    """The references of each paragraph (start, end) that has any, by place."""
+    cited: dict[tuple[int, int], list[dict]] = {}
+    for m in _REF.finditer(text):
+        start, end = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
+        place = (0 if start < 0 else start + 2, len(text) if end < 0 else end)
+        cited.setdefault(place, []).extend({"at": m.start(), "label": x.strip()} for x in m[1].split(","))
+    return cited
+
+
+def _paragraph(text: str) -> str:
+    """What a reader sees of a paragraph; its references are marked."""
+    return latex.flatten(_REF.sub(lambda r: ", ".join(f"\ue000{x.strip()}\ue001" for x in r[1].split(",")), text))
+
+
 def scan_citations(papers: DataFrame) -> DataFrame:
     """(paper_id, at, until, label, paragraph): floats with where they end, and references with their paragraph, by offset.
 
-    A paragraph that several references share is cleaned once.
+    A paragraph that several references share is cleaned once. A paper is one row and one task's: what grows beyond that comes in parts, to ``cited_in_parts``.
     """
     kind = papers.schema["paper_id"].dataType.simpleString()
 
@@ -163,14 +180,7 @@ def scan_citations(papers: DataFrame) -> DataFrame:
             for paper, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = latex.expand(latex.strip_comments(text or ""))
                 rows += [(paper, start, end, [], None) for _, start, _, _, end in latex.environments(text, latex.FLOATS)]
-                cited: dict[tuple[int, int], list[dict]] = {}
-                for m in _REF.finditer(text):
-                    start, end = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
-                    place = (0 if start < 0 else start + 2, len(text) if end < 0 else end)
-                    cited.setdefault(place, []).extend({"at": m.start(), "label": x.strip()} for x in m[1].split(","))
-                for (start, end), found in cited.items():
-                    marked = _REF.sub(lambda r: ", ".join(f"\ue000{x.strip()}\ue001" for x in r[1].split(",")), text[start:end])
-                    rows.append((paper, start, None, found, latex.flatten(marked)))
+                rows += [(paper, start, None, found, _paragraph(text[start:end])) for (start, end), found in _cited(text).items()]
             types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("label", pa.string())])), pa.string()]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["paper_id", "at", "until", "cited", "paragraph"])
@@ -189,6 +199,97 @@ def outside(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.withColumn("covered", F.coalesce(F.max("until").over(so_far) > F.col("at"), F.lit(False))).where("until is null and not covered").drop("until", "covered")
 
 
+def part_macros(parts: DataFrame) -> DataFrame:
+    """(paper_id, macros) of parts (paper_id, part, text): the macros that a paper's parts define, as ``latex.macros`` has them of its whole text."""
+    kind = parts.schema["paper_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for paper, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = latex.strip_comments(text)
+                rows += [(paper, part, k, by_def, *found) for by_def in (False, True) for k, found in enumerate(latex.definitions(text, by_def))]
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["paper_id", "part", "k", "by_def", "name", "n", "body"])
+
+    some = parts.where(F.col("text").rlike(r"\\(?:(?:re)?newcommand|def)")).select("paper_id", F.col("part").cast("long").alias("part"), "text")
+    found = some.mapInArrow(run, f"paper_id {kind}, part long, k int, by_def boolean, name string, n int, body string")
+    macro, place = F.struct("name", "n", "body"), F.struct("part", "k")
+    named = found.groupBy("paper_id", "name").agg(F.coalesce(F.max_by(F.when(~F.col("by_def"), macro), F.when(~F.col("by_def"), place)), F.min_by(F.when(F.col("by_def"), macro), F.when(F.col("by_def"), place))).alias("macro"))
+    return named.groupBy("paper_id").agg(F.collect_list("macro").alias("macros"))
+
+
+def cited_in_parts(parts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(paper_id, at, label, paragraph): the references outside floats of papers that are no one's row; at: (part, offset in it).
+
+    parts: (paper_id, part, text), part a whole number; a paper is its parts by number with blank lines between. Commands, macro definitions and paragraphs
+    stand whole in a part, floats may go over any number of them (a row for every PARTS numbers, so numbers shouldn't leave wide gaps there). known: ``part_macros(parts)`` where parts
+    use macros of others; without it each part's own are replaced. Null texts are empty.
+
+    A float of one part hides its references in the task that reads it. Begins and ends that are left meet over the paper; what they cover is
+    cut at every PARTS numbers, and references meet it there in one pass: no task holds a paper.
+    """
+    kind = parts.schema["paper_id"].dataType.simpleString()
+    texts = parts.select("paper_id", F.col("part").cast("long").alias("part"), "text")
+    marked, cites = r"\\(?:begin|end)\{", r"\\(?:\w*ref)\b"
+    texts = texts.withColumn("macros", F.lit(None).cast("array<struct<name:string,n:int,body:string>>")) if known is None else texts.join(known, "paper_id", "left")
+    # A macro may bring what the text itself doesn't show.
+    having = lambda pattern: texts.where(F.col("text").rlike(pattern) | (F.size("macros") > 0) | F.col("text").rlike(r"\\(?:(?:re)?newcommand|def)"))
+    own = known is None
+    read = lambda text, macros: latex.expand(latex.strip_comments(text or ""), known=None if own else {m["name"]: (m["n"], m["body"]) for m in macros or []})
+
+    def references(batches):
+        for b in batches:
+            rows = []
+            for paper, part, text, macros in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text, far, k = read(text, macros), 0, 0
+                spans = [(start, end) for _, start, _, _, end in latex.environments(text, latex.FLOATS)]
+                for (start, end), found in _cited(text).items():
+                    open_ = []
+                    for x in found:
+                        while k < len(spans) and spans[k][0] <= x["at"]:
+                            far, k = max(far, spans[k][1]), k + 1
+                        if x["at"] >= far:
+                            open_.append(x)
+                    if open_:
+                        paragraph = _paragraph(text[start:end])
+                        rows += [(paper, part, x["at"], x["label"], paragraph) for x in open_]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["paper_id", "part", "at", "label", "paragraph"])
+
+    def marks(batches):
+        for b in batches:
+            rows = []
+            for paper, part, text, macros in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(paper, part, *mark) for mark in latex.open_marks(read(text, macros), latex.FLOATS)]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["paper_id", "part", "at", "name", "step"])
+
+    bucket = lambda at: F.floor(at / PARTS)
+    points = having(cites).mapInArrow(references, f"paper_id {kind}, part long, at int, label string, paragraph string")
+    points = points.select("paper_id", bucket(F.col("part")).alias("bucket"), F.struct("part", "at").alias("at"), F.lit(None).cast("struct<part:bigint,at:int>").alias("until"), "label", "paragraph")
+    met = _covered(having(marked).mapInArrow(marks, f"paper_id {kind}, part long, at int, name string, step int").select("paper_id", F.struct("part", "at").alias("at"), "name", "step"))
+    spans = met.select("paper_id", F.explode(F.sequence(bucket(F.col("at.part")), bucket(F.col("until.part")))).alias("bucket"), "at", "until", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("paragraph"))
+    return outside(points.unionByName(spans), ["paper_id", "bucket"]).drop("bucket")
+
+
+def _covered(marks: DataFrame) -> DataFrame:
+    """(paper_id, at, until): stretches between marks (paper_id, at, name, step 1 or -1) that lie in a float: some begin before is still to end.
+
+    An end takes the last begin of its name, one without a begin counts for nothing, and a begin without an end covers nothing: covered is
+    where a name's depth is greater than it ever is later.
+    """
+    forth, back = Window.partitionBy("paper_id", "name").orderBy("at"), Window.partitionBy("paper_id", "name").orderBy(F.desc("at"))
+    so_far = forth.rowsBetween(Window.unboundedPreceding, 0)
+    out = marks.withColumn("sum", F.sum("step").over(so_far))
+    out = out.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    out = out.withColumns({"until": F.lag("at").over(back), "later": F.min("depth").over(back.rowsBetween(Window.unboundedPreceding, -1))})
+    return out.where("depth > later").select("paper_id", "at", "until")
+
+
 def citing_paragraphs(papers: DataFrame, cells: DataFrame) -> DataFrame:
     """(paper_id, label, ord, paragraph): paragraphs outside floats that refer to a table, their references resolved to its number."""
     cited = outside(scan_citations(papers), ["paper_id"]).withColumnRenamed("at", "ord")

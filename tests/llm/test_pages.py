@@ -48,6 +48,15 @@ def test_inline_elements_cut_no_block():
     assert H.blocks_of('<div>open <span class="ad">BUY</span> text</div>') == [(H.OPEN, "open text"), (H.DOUBTFUL, "BUY")]
 
 
+def test_odd_markup_takes_no_text_of_an_article():
+    """Comments that end at once or by --!>, empty tags inside drawings, names of code in code, names that tell what readers may do."""
+    assert main_text("<article><p>one</p><!--><p>two</p><!---><p>three</p><!-- no --!><p>four</p><!----><p>five</p><!-- no > -- no --><p>six</p></article>") == "one\ntwo\nthree\nfour\nfive\nsix"
+    assert main_text("<article><p>a <svg><title/><style/><script /><path d='x'/></svg> b</p><p>c <svg><title>no</title></svg></p></article>") == "a b\nc"
+    assert main_text("<article><pre><code>x = 1 <span class='hljs-comment'># one</span>\n<span class='token comment'># two</span> <b hidden>no</b></code></pre><p class='notice'>no</p></article>") == "x = 1 # one # two"
+    assert main_text("<div class='layout comments-open'><article><p>kept</p><p class='comments-closed'>no</p></article></div>") == "kept"
+    assert main_text("<div class='comments comments-open'><article>no</article></div><div id='comment-list'><article>no</article></div><script/>no</script>") == ""
+
+
 def test_built_pages(spark):
     """Pages put together from known blocks; what is expected is what was put in, not what any parser says."""
     import html
